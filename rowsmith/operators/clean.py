@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsmith.functions.text import is_empty, null_tokens, strip_text
-from rowsmith.operators.common import dense_row_number, maybe_broadcast, require_columns
+from rowsmith.operators.common import dense_row_number, maybe_broadcast, qcol, require_columns
 from rowsmith.plans.spec import SplitRule, TargetColumn
 
 ROW = "_row"
@@ -36,7 +36,7 @@ def trim_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     targets = [c for c in (columns or df.columns) if c in text and c != ROW]
     if not targets:
         return df
-    return df.withColumns({c: strip_text(c) for c in targets})
+    return df.withColumns({c: strip_text(qcol(c)) for c in targets})
 
 
 # -- S14 / S13 ------------------------------------------------------------
@@ -107,11 +107,11 @@ def apply_conversions(df: DataFrame, column: str, conversions: DataFrame, *, tri
     d = conversions.filter(F.col("column") == column).select(
         F.col("source").alias("__csrc"), F.col("target").alias("__ctgt")
     )
-    probe = F.col(column).cast("string")
+    probe = qcol(column).cast("string")
     if trim:
         probe = strip_text(probe)
     joined = df.join(maybe_broadcast(d), probe == F.col("__csrc"), "left")
-    return joined.withColumn(out or column, F.coalesce(F.col("__ctgt"), F.col(column).cast("string"))).drop("__csrc", "__ctgt")
+    return joined.withColumn(out or column, F.coalesce(F.col("__ctgt"), qcol(column).cast("string"))).drop("__csrc", "__ctgt")
 
 
 # -- P6 / P7 ----------------------------------------------------------------
@@ -166,10 +166,8 @@ def cast_to(c: Column, dtype: T.DataType) -> Column:
     """Cast a sheet cell to a target type without failing the job (ANSI on)."""
     if isinstance(dtype, T.StringType):
         return c.cast("string")
-    if isinstance(dtype, T.TimestampType):
-        return F.coalesce(F.try_to_timestamp(c.cast("string")), c.try_cast(dtype))
-    if isinstance(dtype, T.DateType):
-        return F.coalesce(F.try_to_date(c.cast("string")) if hasattr(F, "try_to_date") else c.try_cast(dtype), c.try_cast(dtype))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return c.cast("string").try_cast(dtype)
     return c.try_cast(dtype)
 
 
@@ -193,7 +191,7 @@ def map_columns(
     order += [t for _, t in mapping if t not in order]
     cols = [F.col(k) for k in keep if k in df.columns]
     for t in order:
-        c = F.col(src_for[t])
+        c = qcol(src_for[t])
         if t in by_name:
             c = cast_to(c, by_name[t].spark_type)
         cols.append(c.alias(t))

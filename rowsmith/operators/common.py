@@ -17,6 +17,11 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 _ROW = "_row"
 
 
+def qcol(name: str):
+    """Column by exact name (sheet headers may hold dots or blanks)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimized plan (``None`` if unknown)."""
     try:

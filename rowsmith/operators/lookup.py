@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions.text import lookup_key
 from rowsmith.operators.clean import apply_conversions
-from rowsmith.operators.common import maybe_broadcast, require_columns
+from rowsmith.operators.common import maybe_broadcast, qcol, require_columns
 from rowsmith.operators.validate import VIOLATION_SCHEMA, violations
 from rowsmith.plans.spec import Lookup
 
@@ -90,7 +90,7 @@ def resolve_lookups(
         if conversions is not None:
             out = apply_conversions(out, rule.sheet_column, conversions, trim=trim, out=conv_col)
         else:
-            out = out.withColumn(conv_col, F.col(rule.sheet_column).cast("string"))
+            out = out.withColumn(conv_col, qcol(rule.sheet_column).cast("string"))
         out = out.withColumn(f"__key{i}", lookup_key(conv_col, trim=trim))
         side = maybe_broadcast(keys.select(F.col("key").alias(f"__lk{i}"), F.col("id").alias(f"__id{i}")))
         out = out.join(side, F.col(f"__key{i}") == F.col(f"__lk{i}"), "left")
@@ -98,7 +98,7 @@ def resolve_lookups(
         flags.append(
             F.when(F.col(f"__key{i}") == "", F.struct(
                 F.lit(rule.sheet_column).alias("column"), F.lit("fk_empty").alias("kind"),
-                F.col(rule.sheet_column).cast("string").alias("value"),
+                qcol(rule.sheet_column).cast("string").alias("value"),
                 F.lit(f"empty value for {rule.target_column}").alias("detail"), F.lit(i).alias("ordinal")))
             .when(F.col(f"__id{i}").isNull(), F.struct(
                 F.lit(rule.sheet_column).alias("column"), F.lit("fk_not_found").alias("kind"),

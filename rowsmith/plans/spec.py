@@ -45,8 +45,10 @@ class TargetColumn:
         t = self.type.lower()
         if "bool" in t:
             return T.BooleanType()
-        if "timestamp" in t or "datetime" in t:
+        if "with time zone" in t or "timestamptz" in t:
             return T.TimestampType()
+        if "timestamp" in t or "datetime" in t:
+            return T.TimestampNTZType()
         if t.startswith("time"):
             return T.StringType()
         if "date" in t:

@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 # the data (about 128-256 MB per partition after AQE coalescing).
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -37,6 +38,7 @@ def get_spark(master: str | None = None, app: str = "rowsmith", conf: dict | Non
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -57,3 +59,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="rowsmith-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rowsmith`` importable in Python workers (UDFs, data sources).
+
+    Zips the package once per process and adds it with ``addPyFile``; Spark
+    distributes it to every executor.  On a cluster that already ships the
+    package (``--py-files``) this is harmless.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="rowsmith-pkg-")
+    archive = shutil.make_archive(os.path.join(out_dir, "rowsmith"), "zip", os.path.dirname(pkg_dir), "rowsmith")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
