@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from rowsmith.functions.text import DEFAULT_NULL_TOKENS, blank_class, column_label, duplicate_key, lookup_key
 from rowsmith.operators import clean, dedupe, lookup, similar, update, validate
 from rowsmith.operators.clean import SplitRule
+from rowsmith.operators.common import spread
 from rowsmith.plans.load import build_load
 from rowsmith.plans.spec import GridSlice, LoadSpec, Lookup, TargetColumn
 from rowsmith.sources import grid
@@ -38,7 +39,8 @@ def query(key: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table; under-split files are spread over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 # ---------------------------------------------------------------------------
@@ -401,10 +403,11 @@ _LABEL_LETTERS = 7
 
 def _sql_column_label(n: str, letters: int = _LABEL_LETTERS) -> str:
     parts = []
-    rest = n
-    for _ in range(letters):
-        parts.append(f"CASE WHEN {rest} > 0 THEN chr(CAST(65 + (({rest}) - 1) % 26 AS INTEGER)) ELSE '' END")
-        rest = f"(CASE WHEN {rest} > 0 THEN (({rest}) - 1) // 26 ELSE 0 END)"
+    s_k = 0
+    for k in range(letters):
+        p = 26**k
+        parts.append(f"CASE WHEN {n} > {s_k} THEN chr(CAST(65 + (({n} - {s_k + 1}) // {p}) % 26 AS INTEGER)) ELSE '' END")
+        s_k += 26 ** (k + 1)
     return " || ".join(reversed(parts))
 
 

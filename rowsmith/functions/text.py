@@ -193,16 +193,19 @@ def slug(c) -> Column:
 def column_label(n, letters: int = 3) -> Column:
     """1 -> A, 26 -> Z, 27 -> AA (bijective base 26).
 
-    ``letters`` digits cover 26 + 26^2 + ... + 26^letters columns; 3 covers the
+    Digit k (from the right) exists when n > S_k = 26 + ... + 26^k and is
+    ((n - S_k - 1) div 26^k) mod 26, so every digit is computed directly
+    (no nesting).  ``letters`` digits cover up to S_letters; 3 covers the
     16,384 columns of a sheet.
     """
     num = _c(n).cast("long")
     out = F.lit("")
-    rest = num
-    for _ in range(letters):
-        digit = F.when(rest > 0, F.char(F.lit(65) + F.pmod(rest - 1, F.lit(26))))
-        out = F.concat(F.coalesce(digit, F.lit("")), out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0)).cast("long")
+    s_k = 0
+    for k in range(letters):
+        p = 26**k
+        digit = F.pmod(F.floor((num - (s_k + 1)) / p).cast("long"), F.lit(26))
+        out = F.concat(F.when(num > s_k, F.char(digit + 65)).otherwise(F.lit("")), out)
+        s_k += 26 ** (k + 1)
     return F.when(num > 0, out)
 
 

@@ -38,6 +38,26 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFr
     return df
 
 
+def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+    """Round-robin a plain scan that has fewer splits than the cluster has cores.
+
+    Files written as one row group are read by one task, which leaves all
+    per-row text work (keys, trims, lookups) on one core.  Cluster-sized
+    inputs have far more splits than cores, so this is then a no-op.  Only
+    call it on a plain scan (its partition count is known without a job).
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = estimated_bytes(df) or 0
+    if size < min_bytes:
+        return df
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return df
+    return df.repartition(cores) if parts < cores else df
+
+
 def dense_row_number(
     df: DataFrame,
     order_cols: Sequence[str],

@@ -2,17 +2,23 @@
 
 Alternating large-star / small-star (Kiveris et al., "Connected Components
 in MapReduce and Beyond", SoCC 2014): O(log^2 n) rounds, each a few
-aggregations and joins.  Every round is cut with a reliable ``checkpoint()``
-into the session's checkpoint folder, so lineage stays short and a lost
-executor recomputes at most one round.
+aggregations and joins, no step that gathers a component into one task.
+
+Every round is written as a Parquet table under the session's checkpoint
+folder and read back: lineage stays one round deep, a lost executor costs at
+most one round, and each round is computed once (``checkpoint()`` would run
+the plan a second time to save it).  The loop stops when the edges form
+stars: every non-root node has exactly one edge, to a root that has none.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.operators.common import cut_lineage
+from rowsmith.session import checkpoint_dir
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -37,29 +43,51 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.union(selfs).filter(F.col("u") != F.col("v")).distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """True when no node has two out-edges and no edge ends at a non-root."""
+    outdeg = edges.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
+    multi = outdeg.filter(F.col("d") > 1).select("u")
+    chained = outdeg.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+    return multi.unionByName(chained).limit(1).count() == 0
+
+
+def _delete(spark, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - best effort; the folder is scratch space
+        pass
+
+
+def written_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet at ``path`` (shared storage) and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``node, component`` for every node that has an edge.
 
     ``edges`` has columns ``u, v`` of one orderable type; the component label
     is the smallest node of the component.  Isolated nodes are the caller's
-    business (they are their own component).
+    business (they are their own component).  Raises if the rounds do not
+    converge (never returns a partial answer).
     """
-    cur = cut_lineage(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct())
-    prev_sig = None
-    for round_no in range(max_rounds + 1):
-        if round_no == max_rounds:
-            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
-        nxt = cut_lineage(_small_star(_large_star(cur)))
-        # Converged when the edge set stops changing.  Cheap signature first
-        # (count + order-free hash), exact check only when it matches.
-        sig = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        sig = (sig[0], sig[1])
-        if sig == prev_sig and nxt.exceptAll(cur).limit(1).count() == 0:
-            cur = nxt
+    spark = edges.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/rowsmith-cc-{uuid.uuid4().hex}"
+    oriented = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v"))
+    cur = written_table(oriented.distinct(), f"{base}/r0")
+    paths = [f"{base}/r0"]
+    for i in range(1, max_rounds + 2):
+        if _is_star_forest(cur):  # also true for an empty edge list
             break
-        prev_sig = sig
-        cur = nxt
-    # After convergence every edge is (node, component min); add the roots.
+        if i > max_rounds:
+            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
+        cur = written_table(_small_star(_large_star(cur)), f"{base}/r{i}")
+        paths.append(f"{base}/r{i}")
+        if len(paths) > 2:
+            _delete(spark, paths.pop(0))
     roots = cur.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    members = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return members.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+    members = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return members.unionByName(roots)

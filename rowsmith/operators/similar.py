@@ -71,32 +71,34 @@ def _bound_t(a: F.Column) -> F.Column:
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """``k1 < k2`` key pairs that may be similar (a superset of the true pairs)."""
+    """``k1 < k2`` key pairs that may be similar (a superset of the true pairs).
+
+    Carries each key's length and first/last row through the token stages,
+    so no join back to the key table is needed.
+    """
+    meta = ["klen", "kmin", "kmax"]
     k = keys.filter(F.col("klen") >= 2)
-    grams = k.select("k", F.explode(F.sequence(F.lit(1), F.col("klen") - 1)).alias("pos")).select(
-        "k", F.substring(F.col("k"), F.col("pos"), 2).alias("gram")
+    grams = k.select("k", *meta, F.explode(F.sequence(F.lit(1), F.col("klen") - 1)).alias("pos")).select(
+        "k", *meta, F.substring(F.col("k"), F.col("pos"), 2).alias("gram")
     )
-    per = grams.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("cnt"))
-    tokens = per.select("k", "gram", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))).alias("occ"))
+    per = grams.groupBy("k", *meta, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    tokens = per.select("k", *meta, "gram", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))).alias("occ"))
     freq = tokens.groupBy("gram", "occ").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(freq, ["gram", "occ"]).join(k.select("k", "klen"), "k")
+    ranked = tokens.join(freq, ["gram", "occ"])
     size = F.col("klen") - 1
     t = _bound_t(F.col("klen"))
     p = F.when(t <= 1, size).otherwise(F.greatest(F.least(size - t + 1, size), F.lit(1)))
     w = Window.partitionBy("k").orderBy("df", "gram", "occ")
-    prefix = ranked.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= p).select("k", "klen", "gram", "occ")
-    a = prefix.select(F.col("k").alias("k1"), F.col("klen").alias("l1"), "gram", "occ")
-    b = prefix.select(F.col("k").alias("k2"), F.col("klen").alias("l2"), "gram", "occ")
+    prefix = ranked.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= p).drop("__rank", "df")
+    a = prefix.select(F.col("k").alias("k1"), F.col("klen").alias("l1"), F.col("kmin").alias("min1"), F.col("kmax").alias("max1"), "gram", "occ")
+    b = prefix.select(F.col("k").alias("k2"), F.col("klen").alias("l2"), F.col("kmin").alias("min2"), F.col("kmax").alias("max2"), "gram", "occ")
     pairs = a.join(b, ["gram", "occ"]).filter((F.col("k1") < F.col("k2")) & length_window(F.col("l1"), F.col("l2")))
-    return pairs.select("k1", "k2").distinct()
+    return pairs.drop("gram", "occ").distinct()
 
 
 def similar_key_edges(keys: DataFrame) -> DataFrame:
     """Similar key pairs ``u < v`` (T4 in every orientation that occurs)."""
-    cand = candidate_pairs(keys)
-    info = keys.select("k", "kmin", "kmax", "klen")
-    c = cand.join(info.select(F.col("k").alias("k1"), F.col("kmin").alias("min1"), F.col("kmax").alias("max1"), F.col("klen").alias("l1")), "k1")
-    c = c.join(info.select(F.col("k").alias("k2"), F.col("kmin").alias("min2"), F.col("kmax").alias("max2"), F.col("klen").alias("l2")), "k2")
+    c = candidate_pairs(keys)
     # value of k1 seen before a value of k2 -> ratio(k1, k2); and the reverse.
     fwd = c.filter(F.col("min1") < F.col("max2")).select(F.col("k1").alias("left"), F.col("k2").alias("right"), "k1", "k2", "l1", "l2")
     bwd = c.filter(F.col("min2") < F.col("max1")).select(F.col("k2").alias("left"), F.col("k1").alias("right"), "k1", "k2", "l1", "l2")
