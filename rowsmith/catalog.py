@@ -726,7 +726,7 @@ def q_update_by_key(spark, d):
                                            F.col("o_totalprice").alias("c_acctbal"))
     tgt = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     out = update.update_by_key(tgt, src, "c_custkey", ["c_acctbal"])
-    return out.withColumnRenamed("__updated", "updated")
+    return out.withColumnRenamed("_updated", "updated")
 
 
 # ---------------------------------------------------------------------------

@@ -38,7 +38,7 @@ def update_by_key(
 ) -> DataFrame:
     """The new version of ``target`` after the update.
 
-    Adds ``__updated`` (boolean) so callers can count changed rows (Q11 fix:
+    Adds ``_updated`` (boolean) so callers can count changed rows (Q11 fix:
     the reference reported only the number of source records).
     """
     cols = list(set_columns) if set_columns is not None else [c for c in source.columns if c not in (key, order)]
@@ -49,4 +49,4 @@ def update_by_key(
     joined = target.join(maybe_broadcast(src), F.col(key) == F.col("__k"), "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     out = joined.withColumns({c: F.when(hit, F.col(f"__s_{c}")).otherwise(F.col(c)) for c in cols})
-    return out.withColumn("__updated", hit).drop("__k", "__hit", *[f"__s_{c}" for c in cols])
+    return out.withColumn("_updated", hit).drop("__k", "__hit", *[f"__s_{c}" for c in cols])
