@@ -20,15 +20,18 @@ from rowsmith.sources.files import CONV_COLUMN, CONV_FILE_SUFFIX, CONV_SOURCE, C
 from rowsmith.sources.xlsx import register as register_xlsx
 
 ROW = "_row"
+# Spark's CSV writer strips leading/trailing blanks unless told not to;
+# exports must keep cell values exactly.
+CSV_EXACT = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def export_csv(df: DataFrame, path: str, *, mode: str = "errorifexists", keep_row: bool = False) -> None:
     """K3: header line, no index; booleans and dates as text."""
     out = df if keep_row else df.drop(ROW)
-    export_values(out).write.mode(mode).option("header", True).csv(path)
+    export_values(out).write.mode(mode).options(**CSV_EXACT).csv(path)
 
 
-def export_workbooks(df: DataFrame, path: str, *, mode: str = "errorifexists", keep_row: bool = False) -> None:
+def export_workbooks(df: DataFrame, path: str, *, mode: str = "append", keep_row: bool = False) -> None:
     """K4: one workbook per task, at most 1,048,575 data rows per sheet."""
     register_xlsx(df.sparkSession)
     out = df if keep_row else df.drop(ROW)
@@ -45,7 +48,7 @@ def export_conversions(replacements: DataFrame, path: str, *, mode: str = "overw
     """K5: long rows ``column, original, corrected`` with the dictionary's header."""
     replacements.select(
         F.col("column").alias(CONV_COLUMN), F.col("source").alias(CONV_SOURCE), F.col("target").alias(CONV_TARGET)
-    ).write.mode(mode).option("header", True).csv(path)
+    ).write.mode(mode).options(**CSV_EXACT).csv(path)
 
 
 @dataclass

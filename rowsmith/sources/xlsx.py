@@ -363,6 +363,10 @@ class XlsxGridWriter(DataSourceWriter):
         for m in messages:
             for f in getattr(m, "files", []):
                 os.replace(os.path.join(tmp, f), os.path.join(self.path, f))
+        try:
+            os.rmdir(tmp)
+        except OSError:
+            pass
         open(os.path.join(self.path, "_SUCCESS"), "w").close()
 
     def abort(self, messages):

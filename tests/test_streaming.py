@@ -1,0 +1,22 @@
+import os
+
+from rowsmith.plans.spec import LoadSpec, Lookup, TargetColumn
+from rowsmith.streaming.stream import start_load_stream
+
+
+def test_stream_load_keeps_first_across_batches(spark, tmp):
+    src = os.path.join(tmp, "in")
+    os.makedirs(src)
+    schema = "_row long, customer string, note string"
+    spark.createDataFrame([(1, "alpha", "a"), (2, "beta", "b")], schema).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([(3, " ALPHA", "c"), (4, "gamma", "d")], schema).coalesce(1).write.mode("append").parquet(src)
+    spec = LoadSpec("t", [TargetColumn("cid", "bigint"), TargetColumn("note", "text")], mapping=[("note", "note")],
+                    lookups=[Lookup("cid", "customer", "c", "id", "name")], remove_duplicates=True,
+                    duplicate_column="customer", on_error="quarantine")
+    tables = {"c": spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "gamma")], "id long, name string")}
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = start_load_stream(stream, spec, tables, output=os.path.join(tmp, "out"), checkpoint=os.path.join(tmp, "ck"),
+                          trigger={"availableNow": True})
+    q.awaitTermination(120)
+    rows = sorted((r._row, r.cid) for r in spark.read.parquet(os.path.join(tmp, "out", "rows")).collect())
+    assert rows == [(1, 1), (2, 2), (4, 3)]
