@@ -941,6 +941,80 @@ def q_load_report(spark, d):
     return run_feed(spark, d).report()
 
 
+# ---------------------------------------------------------------------------
+# S11 preview, W1 with blank keys kept, the suggestion -> replacement chain,
+# the load in quarantine mode, K6 violation summary
+# ---------------------------------------------------------------------------
+_SQL_GRID_SLICE = ORACLES["grid_slice"]
+
+
+@query("preview_first30", f"SELECT * FROM ({_SQL_GRID_SLICE}) ORDER BY _row LIMIT 30")
+def q_preview(spark, d):
+    return grid.preview(q_grid_slice(spark, d), 30)
+
+
+@query(
+    "dedupe_keep_blank",
+    f"""
+WITH s AS (SELECT doc_id AS _row, CASE WHEN lang = 'es' THEN '  ' ELSE text END AS v FROM documents),
+k AS (SELECT _row, {sql_dup_key('v')} AS k FROM s)
+SELECT _row FROM k WHERE k = ''
+UNION ALL
+SELECT _row FROM (SELECT _row, row_number() OVER (PARTITION BY k ORDER BY _row) AS rn FROM k WHERE k <> '') WHERE rn = 1
+""",
+)
+def q_dedupe_keep_blank(spark, d):
+    docs = table(spark, d, "documents")
+    s = docs.select(F.col("doc_id").alias("_row"), F.when(F.col("lang") == "es", F.lit("  ")).otherwise(F.col("text")).alias("v"))
+    return dedupe.keep_first(s, "v", keep_blank_keys=True).select("_row")
+
+
+@query(
+    "suggestions_replaced",
+    f"""
+SELECT p.p_partkey, coalesce(sg.canonical, p.p_name) AS p_name
+FROM part p LEFT JOIN ({suggestions_sql(_PART_SRC)}) sg ON p.p_name = sg.value
+""",
+)
+def q_suggestions_replaced(spark, d):
+    """Standardising similar words: suggestions become a replacement dictionary (P5)."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("_row"), "p_partkey", "p_name")
+    rep = similar.suggestions_to_replacements(similar.suggestions(p, "p_name", ordered=False), "p_name")
+    return clean.replace_values(p, rep, columns=["p_name"]).select("p_partkey", "p_name")
+
+
+@query(
+    "load_quarantine",
+    f"""
+WITH {_SQL_FEED}
+SELECT * FROM r WHERE customer_id IS NOT NULL AND length(priority) <= 8 AND length(status) <= 1
+""",
+)
+def q_load_quarantine(spark, d):
+    spec = feed_spec()
+    spec.on_error = "quarantine"
+    return build_load(feed_sheet(spark, d), spec, {"customer": table(spark, d, "customer")}).rows
+
+
+@query(
+    "violation_summary",
+    f"""
+WITH {_SQL_FEED},
+v AS (SELECT _row, 'customer_id' AS "column", 'required_null' AS kind FROM r WHERE customer_id IS NULL
+      UNION ALL SELECT _row, 'priority', 'too_long' FROM r WHERE length(priority) > 8
+      UNION ALL SELECT _row, 'status', 'too_long' FROM r WHERE length(status) > 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY "column", kind ORDER BY _row) AS rn,
+              count(*) OVER (PARTITION BY "column", kind) AS cnt FROM v)
+SELECT "column", kind, CAST(max(cnt) AS BIGINT) AS violations,
+       string_agg(CAST(_row AS VARCHAR), ', ' ORDER BY _row) FILTER (WHERE rn <= 4)
+         || CASE WHEN max(cnt) > 4 THEN ' +' || CAST(max(cnt) - 4 AS VARCHAR) ELSE '' END AS first_rows
+FROM rk GROUP BY "column", kind
+""",
+)
+def q_violation_summary(spark, d):
+    return validate.violation_summary(run_feed(spark, d).violations, 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -92,3 +92,25 @@ def summarise(v: DataFrame, n: int = 5) -> str:
     if total > len(head):
         lines.append(f"...and {total - len(head)} more")
     return "\n".join(lines)
+
+
+def violation_summary(v: DataFrame, n: int = 4) -> DataFrame:
+    """K6/Q25 as data: per (column, kind) the count and the first ``n`` rows (T7 text).
+
+    The first rows come from ``row_number() <= n`` (a partial top-n before the
+    shuffle), so no group is ever collected whole.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("column", "kind").orderBy(F.col(ROW).asc_nulls_first())
+    counts = v.groupBy("column", "kind").agg(F.count(F.lit(1)).alias("violations"))
+    first = (
+        v.withColumn("__rn", F.row_number().over(w))
+        .filter(F.col("__rn") <= n)
+        .groupBy("column", "kind")
+        .agg(F.array_sort(F.collect_list(F.struct("__rn", F.coalesce(F.col(ROW).cast("string"), F.lit("-")).alias("r")))).alias("__f"))
+    )
+    j = counts.join(first, ["column", "kind"])
+    head = F.array_join(F.transform("__f", lambda x: x["r"]), ", ")
+    text = F.when(F.col("violations") > n, F.concat(head, F.lit(" +"), (F.col("violations") - n).cast("string"))).otherwise(head)
+    return j.select("column", "kind", F.col("violations").cast("long"), text.alias("first_rows"))
