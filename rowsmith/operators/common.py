@@ -25,9 +25,11 @@ def qcol(name: str):
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimized plan (``None`` if unknown)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except Exception:  # noqa: BLE001 - Connect sessions have no JVM handle
         return None
+    # py4j turns a Scala BigInt into a Python int; keep a fallback for other bridges
+    return int(size) if isinstance(size, int) else int(str(size.toString()))
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
