@@ -56,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not _is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         conf_dir = tempfile.mkdtemp(prefix="rowsmith-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -64,18 +66,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _SHIPPED: set[int] = set()
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``rowsmith`` importable in Python workers (UDFs, data sources).
 
-    Zips the package once per process and adds it with ``addPyFile``; Spark
-    distributes it to every executor.  On a cluster that already ships the
-    package (``--py-files``) this is harmless.
+    In local mode the package is zipped once per process and added with
+    ``addPyFile``.  On a cluster the job ships it (``spark-submit --py-files``),
+    so nothing is done there.
     """
     import shutil
 
     sc = spark.sparkContext
     key = id(sc._jsc)
-    if key in _SHIPPED:
+    if key in _SHIPPED or not _is_local(spark):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="rowsmith-pkg-")
