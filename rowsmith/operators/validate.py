@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.functions.text import value_preview
@@ -41,39 +41,66 @@ def empty_violations(spark) -> DataFrame:
     return spark.createDataFrame([], VIOLATION_SCHEMA)
 
 
-def length_violations(df: DataFrame, limits: Mapping[str, int], *, row_col: str = ROW) -> DataFrame:
-    """V5: every (row, column) whose text is longer than the column's limit.
+ISSUE_TYPE = "array<struct<column:string,kind:string,value:string,detail:string>>"
 
-    One pass over the rows: an array of (column, limit, text) structs is
-    filtered and exploded, so k bounded columns cost one scan, not k.
-    """
+
+def _no_issues() -> Column:
+    return F.array().cast(ISSUE_TYPE)
+
+
+def length_issues(df: DataFrame, limits: Mapping[str, int]) -> Column:
+    """V5 per row: one issue per bounded column whose text is too long."""
     present = {c: int(n) for c, n in limits.items() if n and c in df.columns}
     if not present:
-        return empty_violations(df.sparkSession)
+        return _no_issues()
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(n).alias("limit"), F.col(c).cast("string").alias("text"))
         for c, n in present.items()
     ])
     over = F.filter(cells, lambda x: x["text"].isNotNull() & (F.length(x["text"]) > x["limit"]))
-    ex = df.select(F.col(row_col).alias(ROW), F.explode(over).alias("v"))
-    return ex.select(
-        ROW,
-        F.col("v.column").alias("column"),
+    return F.transform(over, lambda x: F.struct(
+        x["column"].alias("column"),
         F.lit("too_long").alias("kind"),
-        value_preview(F.col("v.text")).alias("value"),
-        F.concat(F.length("v.text").cast("string"), F.lit(" > "), F.col("v.limit").cast("string"), F.lit(" characters")).alias("detail"),
-    )
+        value_preview(x["text"]).alias("value"),
+        F.concat(F.length(x["text"]).cast("string"), F.lit(" > "), x["limit"].cast("string"), F.lit(" characters")).alias("detail"),
+    ))
 
 
-def required_nulls(df: DataFrame, columns: Sequence[str], *, row_col: str = ROW) -> DataFrame:
-    """V1 data side: NULL in a NOT NULL target column."""
+def required_issues(df: DataFrame, columns: Sequence[str]) -> Column:
+    """V1 data side per row: one issue per NOT NULL column holding NULL."""
     present = [c for c in columns if c in df.columns]
     if not present:
+        return _no_issues()
+    cells = F.array(*[
+        F.when(F.col(c).isNull(), F.struct(
+            F.lit(c).alias("column"), F.lit("required_null").alias("kind"),
+            F.lit(None).cast("string").alias("value"), F.lit("NULL in a NOT NULL column").alias("detail")))
+        for c in present
+    ])
+    return F.filter(cells, lambda x: x.isNotNull())
+
+
+def explode_issues(df: DataFrame, issues: Column, *, row_col: str = ROW) -> DataFrame:
+    ex = df.select(F.col(row_col).cast("long").alias(ROW), F.explode(issues).alias("v"))
+    return ex.select(ROW, "v.column", "v.kind", "v.value", "v.detail")
+
+
+def length_violations(df: DataFrame, limits: Mapping[str, int], *, row_col: str = ROW) -> DataFrame:
+    """V5: every (row, column) whose text is longer than the column's limit.
+
+    One pass over the rows: an array of (column, limit, text) structs is
+    filtered and exploded, so k bounded columns cost one scan, not k.
+    """
+    if not any(n and c in df.columns for c, n in limits.items()):
+        return empty_violations(df.sparkSession)
+    return explode_issues(df, length_issues(df, limits), row_col=row_col)
+
+
+def required_nulls(df: DataFrame, columns: Sequence[str], *, row_col: str = ROW) -> DataFrame:
+    """V1 data side: NULL in a NOT NULL target column."""
+    if not any(c in df.columns for c in columns):
         return empty_violations(df.sparkSession)
-    cells = F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in present])
-    ex = df.select(F.col(row_col).alias(ROW), F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("column"))
-    return ex.select(ROW, "column", F.lit("required_null").alias("kind"), F.lit(None).cast("string").alias("value"),
-                     F.lit("NULL in a NOT NULL column").alias("detail"))
+    return explode_issues(df, required_issues(df, columns), row_col=row_col)
 
 
 def first_violations(v: DataFrame, n: int = 5) -> DataFrame:

@@ -14,6 +14,7 @@ length and required-column validation.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -32,15 +33,17 @@ from rowsmith.operators.clean import (
 )
 from rowsmith.operators.common import qcol, require_columns
 from rowsmith.operators.dedupe import keep_first
-from rowsmith.operators.lookup import conflict_violations, resolve_lookups, split_unresolved
+from rowsmith.operators.lookup import conflict_violations, resolve_lookups
 from rowsmith.operators.validate import (
     LoadRejected,
     VIOLATION_COLUMNS,
     empty_violations,
-    length_violations,
-    required_nulls,
+    explode_issues,
+    length_issues,
+    required_issues,
     summarise,
 )
+from rowsmith.session import checkpoint_dir
 from rowsmith.plans.spec import LoadSpec, SplitRule
 
 ROW = "_row"
@@ -48,18 +51,47 @@ ROW = "_row"
 
 @dataclass
 class LoadResult:
-    rows: DataFrame
-    violations: DataFrame
+    """Lazy outcome of a load.
+
+    ``flagged`` holds every row that reaches the target step with an
+    ``__issues`` array (FK, length and required-column problems of that row);
+    ``rows`` and the row-level ``violations`` are both projections of it, so
+    one computation of ``flagged`` serves the check, the write and the
+    violation list.  ``materialize()`` writes it once to the checkpoint folder.
+    """
+
+    flagged: DataFrame
+    table_violations: DataFrame  # violations without a sheet row (lookup conflicts)
+    quarantine: bool = False
     stages: dict[str, DataFrame] = field(default_factory=dict)
     spec: LoadSpec | None = None
     split_column: str | None = None
 
+    @property
+    def rows(self) -> DataFrame:
+        f = self.flagged.filter(F.size("__issues") == 0) if self.quarantine else self.flagged
+        return f.drop("__issues")
+
+    @property
+    def violations(self) -> DataFrame:
+        return explode_issues(self.flagged, F.col("__issues")).unionByName(self.table_violations).select(*VIOLATION_COLUMNS)
+
+    def materialize(self, path: str | None = None) -> "LoadResult":
+        """Compute the load once: write ``flagged`` to shared storage, read it back."""
+        spark = self.flagged.sparkSession
+        if path is None:
+            path = f"{checkpoint_dir(spark).rstrip('/')}/rowsmith-load-{uuid.uuid4().hex}"
+        self.flagged.write.mode("overwrite").parquet(path)
+        self.flagged = spark.read.parquet(path)
+        return self
+
     def report(self) -> DataFrame:
         """``metric, value`` -- rows per stage and per violation kind."""
-        spark = self.rows.sparkSession
+        spark = self.flagged.sparkSession
+        stages = {**self.stages, "written": self.rows}
         parts = [
             st.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit(name).alias("metric"), "value")
-            for name, st in self.stages.items()
+            for name, st in stages.items()
         ]
         kinds = ["fk_empty", "fk_not_found", "fk_conflict", "too_long", "required_null"]
         by_kind = self.violations.groupBy("kind").agg(F.count(F.lit(1)).cast("long").alias("n"))
@@ -121,36 +153,38 @@ def build_load(
     # 8: defaults for unmapped targets
     projected = apply_defaults(projected, spec.defaults, spec.columns)
     # 9: FK lookups on surviving rows
-    violations = empty_violations(spark)
+    table_viol = empty_violations(spark)
+    issues = []
     if spec.lookups:
         rules = [
             type(lk)(lk.target_column, f"__fk{i}", lk.table, lk.id_column, lk.label_column)
             for i, lk in enumerate(spec.lookups)
         ]
-        flagged, prepared = resolve_lookups(projected, rules, tables, conversions=_renamed_conversions(conversions, fk_src), trim=spec.fk_trim_whitespace)
-        good, unresolved = split_unresolved(flagged)
+        projected, prepared = resolve_lookups(projected, rules, tables, conversions=_renamed_conversions(conversions, fk_src), trim=spec.fk_trim_whitespace)
         # report the sheet column name, not the carried alias
         names = F.create_map(*[F.lit(x) for kv in fk_src.items() for x in kv])
-        unresolved = unresolved.withColumn("column", F.coalesce(F.try_element_at(names, F.col("column")), F.col("column")))
-        violations = violations.unionByName(unresolved)
+        issues.append(F.transform("__fk_issues", lambda x: F.struct(
+            F.coalesce(F.try_element_at(names, x["column"]), x["column"]).alias("column"),
+            x["kind"].alias("kind"), x["value"].alias("value"), x["detail"].alias("detail"))))
+        seen = set()
         for lk, rule in zip(spec.lookups, rules):
-            violations = violations.unionByName(conflict_violations(prepared[rule.dictionary], lk))
-        projected = good if spec.on_error == "quarantine" else flagged.drop("__fk_issues")
+            if rule.dictionary not in seen:
+                seen.add(rule.dictionary)
+                table_viol = table_viol.unionByName(conflict_violations(prepared[rule.dictionary], lk))
     projected = projected.drop(*fk_src)
     # 10: generated PK is left out
     projected = drop_pk(projected, spec.generated_pk)
     # validation: lengths (V5) and, for inserts, NOT NULL targets (V1 data side)
     limits = {c.name: c.max_length for c in spec.columns if c.max_length}
-    too_long = length_violations(projected, limits)
-    violations = violations.unionByName(too_long)
+    issues.append(length_issues(projected, limits))
     if spec.operation == "insert":
         req = [c.name for c in spec.columns if not c.nullable and c.name != spec.generated_pk]
-        violations = violations.unionByName(required_nulls(projected, req))
-    if spec.on_error == "quarantine":
-        bad_rows = violations.filter(F.col(ROW).isNotNull()).select(ROW).distinct()
-        projected = projected.join(bad_rows, ROW, "left_anti")
-    stages["written"] = projected
-    return LoadResult(rows=projected, violations=violations.select(*VIOLATION_COLUMNS), stages=stages, spec=spec, split_column=split_col)
+        issues.append(required_issues(projected, req))
+    flagged = projected.withColumn("__issues", F.concat(*issues) if len(issues) > 1 else issues[0])
+    if "__fk_issues" in flagged.columns:
+        flagged = flagged.drop("__fk_issues")
+    return LoadResult(flagged=flagged, table_violations=table_viol, quarantine=spec.on_error == "quarantine",
+                      stages=stages, spec=spec, split_column=split_col)
 
 
 def _renamed_conversions(conversions: DataFrame | None, fk_src: dict[str, str]) -> DataFrame | None:

@@ -58,13 +58,17 @@ class WriteReport:
 
 
 def insert_rows(result: LoadResult, path: str, *, fmt: str = "parquet", generate_key: str | None = None,
-                key_width: int = 5, key_start: int | None = None) -> WriteReport:
+                key_width: int = 5, key_start: int | None = None, materialize: bool = True) -> WriteReport:
     """K1 into a table folder: rejected loads write nothing; one append job.
 
-    With ``generate_key`` the key column is filled by P13, counting on from
-    ``key_start`` (default: the largest key already in the table).  The
-    count comes from an observation of the write job (no second pass).
+    With ``materialize`` the load is computed once into the checkpoint folder,
+    so the check and the write both read that result instead of running the
+    whole plan twice.  With ``generate_key`` the key column is filled by P13,
+    counting on from ``key_start`` (default: the largest key already in the
+    table).  The count comes from an observation of the write job.
     """
+    if materialize:
+        result.materialize()
     if result.spec is not None and result.spec.on_error == "fail":
         result.check()
     rows = result.rows

@@ -94,6 +94,7 @@ def insert(result: LoadResult, opts: Mapping[str, str], table: str, schema: str
     ``generated`` maps a key column to an SQL expression the database
     evaluates (for a sequence); a database identity column is simply left out.
     """
+    result.materialize()  # one computation serves the check, the stage write and the count
     if result.spec is not None and result.spec.on_error == "fail":
         result.check()
     rows = result.rows.drop(ROW)
