@@ -1015,6 +1015,63 @@ def q_violation_summary(spark, d):
     return validate.violation_summary(run_feed(spark, d).violations, 4)
 
 
+# ---------------------------------------------------------------------------
+# The load at volume: every lineitem row, supplier resolved by name
+# ---------------------------------------------------------------------------
+_LINE_TARGET = [
+    TargetColumn("line_id", "bigint", nullable=False),
+    TargetColumn("supplier_id", "bigint", nullable=False),
+    TargetColumn("quantity", "double precision"),
+    TargetColumn("price", "double precision"),
+    TargetColumn("return_flag", "varchar(1)", max_length=1),
+    TargetColumn("line_status", "varchar(1)", max_length=1),
+    TargetColumn("shipped_at", "timestamp"),
+]
+
+
+def lineitem_sheet(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    su = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    s = li.join(su, li["l_suppkey"] == su["s_suppkey"], "left")
+    return s.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_row"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("line"),
+        F.concat(F.lit(" "), F.upper("s_name"), F.lit("  ")).alias("supplier"),
+        F.col("l_quantity").cast("string").alias("qty"),
+        F.col("l_extendedprice").cast("string").alias("price"),
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_linestatus").alias("status"),
+        F.col("l_shipdate").cast("string").alias("shipped"),
+    )
+
+
+def lineitem_spec() -> LoadSpec:
+    return LoadSpec(
+        table="lines", columns=_LINE_TARGET,
+        mapping=[("line", "line_id"), ("qty", "quantity"), ("price", "price"), ("flag", "return_flag"),
+                 ("status", "line_status"), ("shipped", "shipped_at")],
+        lookups=[Lookup("supplier_id", "supplier", "supplier", "s_suppkey", "s_name")],
+        trim_whitespace=True, on_error="quarantine",
+    )
+
+
+@query(
+    "load_lineitem",
+    f"""
+WITH k AS (SELECT {sql_lookup_key('s_name')} AS k, min(s_suppkey) AS id FROM supplier WHERE s_suppkey IS NOT NULL GROUP BY 1),
+s AS (SELECT l.l_orderkey * 10 + l.l_linenumber AS _row, ' ' || upper(su.s_name) || '  ' AS supplier, l.*
+      FROM lineitem l LEFT JOIN supplier su ON l.l_suppkey = su.s_suppkey)
+SELECT s._row, s._row AS line_id, k.id AS supplier_id, s.l_quantity AS quantity, s.l_extendedprice AS price,
+       s.l_returnflag AS return_flag, s.l_linestatus AS line_status, s.l_shipdate AS shipped_at
+FROM s LEFT JOIN k ON k.k = {sql_lookup_key(sql_strip('s.supplier'))}
+WHERE k.id IS NOT NULL AND length(s.l_returnflag) <= 1 AND length(s.l_linestatus) <= 1
+""",
+)
+def q_load_lineitem(spark, d):
+    tables = {"supplier": table(spark, d, "supplier")}
+    return build_load(lineitem_sheet(spark, d), lineitem_spec(), tables).rows
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

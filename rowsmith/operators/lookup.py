@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rowsmith.functions.text import lookup_key
 from rowsmith.operators.clean import apply_conversions
 from rowsmith.operators.common import maybe_broadcast, qcol, require_columns
-from rowsmith.operators.validate import VIOLATION_SCHEMA, violations
+from rowsmith.operators.validate import violations
 from rowsmith.plans.spec import Lookup
 
 ROW = "_row"
