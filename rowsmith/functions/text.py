@@ -76,7 +76,8 @@ PREVIEW_KEEP = 37
 
 
 def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column by exact name: sheet headers may hold dots (``name.1``) or blanks."""
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 # ---------------------------------------------------------------------------

@@ -51,7 +51,7 @@ def apply_null_tokens(df: DataFrame, columns: Sequence[str] | None = None, token
 def normalise_cells(df: DataFrame) -> DataFrame:
     """NaN in float columns becomes NULL (None/NaN/NaT are one null)."""
     fl = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fl}) if fl else df
+    return df.withColumns({c: F.when(~F.isnan(qcol(c)), qcol(c)) for c in fl}) if fl else df
 
 
 # -- P5 / T5 ----------------------------------------------------------------
@@ -81,18 +81,18 @@ def replace_values(
             d = replacements.filter(F.col("column") == c).select(
                 F.col("source").alias(f"__src_{c}"), F.col("target").alias(f"__tgt_{c}")
             )
-            probe = strip_text(c) if match_trimmed else F.col(c)
-            out = out.join(maybe_broadcast(d), probe == F.col(f"__src_{c}"), "left")
-            out = out.withColumn(c, F.coalesce(F.col(f"__tgt_{c}"), F.col(c))).drop(f"__src_{c}", f"__tgt_{c}")
+            probe = strip_text(qcol(c)) if match_trimmed else qcol(c)
+            out = out.join(maybe_broadcast(d), probe == qcol(f"__src_{c}"), "left")
+            out = out.withColumn(c, F.coalesce(qcol(f"__tgt_{c}"), qcol(c))).drop(f"__src_{c}", f"__tgt_{c}")
         return out
     exprs: dict[str, Column] = {}
     for c, mapping in replacements.items():
         if c not in text or not mapping:
             continue
-        probe = strip_text(c) if match_trimmed else F.col(c)
+        probe = strip_text(qcol(c)) if match_trimmed else qcol(c)
         if len(mapping) <= MAP_LITERAL_MAX:
             m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-            exprs[c] = F.coalesce(F.try_element_at(m, probe), F.col(c))
+            exprs[c] = F.coalesce(F.try_element_at(m, probe), qcol(c))
         else:
             raise ValueError("large dictionaries must be passed as a DataFrame")
     return df.withColumns(exprs) if exprs else df
@@ -135,7 +135,7 @@ def split_by_length(df: DataFrame, rule: SplitRule, *, trim_measure: bool = Fals
     extra = rule.extra_column
     if not extra or extra in df.columns:
         extra = next_extra_name(df.columns)
-    c = F.col(rule.column)
+    c = qcol(rule.column)
     measured = c.cast("string")
     if trim_measure:
         measured = strip_text(measured)

@@ -28,7 +28,7 @@ def keep_first(df: DataFrame, column: str, *, order: str = ROW, keep_blank_keys:
     """
     require_columns(df, [column, order])
     keyed = with_duplicate_key(df, column)
-    rn = F.row_number().over(Window.partitionBy("__dupkey").orderBy(F.col(order)))
+    rn = F.row_number().over(Window.partitionBy("__dupkey").orderBy(F.col("`" + order + "`")))
     if keep_blank_keys:
         blank = keyed.filter(F.col("__dupkey") == "")
         rest = keyed.filter(F.col("__dupkey") != "")
@@ -46,7 +46,7 @@ def duplicate_stats(df: DataFrame, column: str, replacements=None, *, approximat
     do not pile up in one task.
     """
     require_columns(df, [column])
-    d = trim_cells(df.select(column), [column])
+    d = trim_cells(df.select(F.col("`" + column.replace("`", "``") + "`")), [column])
     if replacements:
         d = replace_values(d, replacements)
     keyed = with_duplicate_key(d, column)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions.similarity import length_window, similar_from_ratio, sm_ratio
 from rowsmith.functions.text import casefold, similarity_key, strip_text
-from rowsmith.operators.common import require_columns
+from rowsmith.operators.common import qcol, require_columns
 from rowsmith.operators.components import connected_components
 
 ROW = "_row"
@@ -40,8 +40,8 @@ class TooManyValues(ValueError):
 def value_counts(df: DataFrame, column: str, *, row_col: str = ROW) -> DataFrame:
     """A2: ``value, n, first_row`` of the non-empty stripped texts."""
     require_columns(df, [column, row_col])
-    v = strip_text(F.col(column).cast("string"))
-    d = df.select(v.alias("value"), F.col(row_col).alias("__r")).filter(F.col("value").isNotNull() & (F.col("value") != ""))
+    v = strip_text(qcol(column).cast("string"))
+    d = df.select(v.alias("value"), qcol(row_col).alias("__r")).filter(F.col("value").isNotNull() & (F.col("value") != ""))
     return d.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("__r").alias("first_row"))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.operators.common import maybe_broadcast, require_columns
+from rowsmith.operators.common import maybe_broadcast, qcol, require_columns
 
 ROW = "_row"
 
@@ -23,9 +23,9 @@ def last_per_key(source: DataFrame, key: str, columns: Sequence[str], *, order:
     A partial aggregate runs before the shuffle, so a hot key sends one
     row per map task.  NULL keys are dropped: they match no target row.
     """
-    payload = F.struct(*[F.col(c) for c in columns])
-    agg = source.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(payload, F.col(order)).alias("__last"))
-    return agg.select(key, *[F.col(f"__last.{c}").alias(c) for c in columns])
+    payload = F.struct(*[qcol(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    agg = source.filter(qcol(key).isNotNull()).groupBy(qcol(key).alias(key)).agg(F.max_by(payload, qcol(order)).alias("__last"))
+    return agg.select(qcol(key), *[F.col(f"__last.c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def update_by_key(
@@ -45,8 +45,8 @@ def update_by_key(
     require_columns(source, [key, order, *cols], "source")
     require_columns(target, [key, *cols], "target")
     last = last_per_key(source, key, cols, order=order)
-    src = last.select(F.col(key).alias("__k"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__s_{c}") for c in cols])
-    joined = target.join(maybe_broadcast(src), F.col(key) == F.col("__k"), "left")
+    src = last.select(qcol(key).alias("__k"), F.lit(True).alias("__hit"), *[qcol(c).alias(f"__s{i}") for i, c in enumerate(cols)])
+    joined = target.join(maybe_broadcast(src), qcol(key) == F.col("__k"), "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
-    out = joined.withColumns({c: F.when(hit, F.col(f"__s_{c}")).otherwise(F.col(c)) for c in cols})
-    return out.withColumn("_updated", hit).drop("__k", "__hit", *[f"__s_{c}" for c in cols])
+    out = joined.withColumns({c: F.when(hit, F.col(f"__s{i}")).otherwise(qcol(c)) for i, c in enumerate(cols)})
+    return out.withColumn("_updated", hit).drop("__k", "__hit", *[f"__s{i}" for i in range(len(cols))])

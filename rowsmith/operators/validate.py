@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from rowsmith.functions.text import value_preview
 
 ROW = "_row"
+
+
+def _q(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 VIOLATION_SCHEMA = "_row long, column string, kind string, value string, detail string"
 VIOLATION_COLUMNS = [ROW, "column", "kind", "value", "detail"]
 
@@ -54,7 +60,7 @@ def length_issues(df: DataFrame, limits: Mapping[str, int]) -> Column:
     if not present:
         return _no_issues()
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(n).alias("limit"), F.col(c).cast("string").alias("text"))
+        F.struct(F.lit(c).alias("column"), F.lit(n).alias("limit"), _q(c).cast("string").alias("text"))
         for c, n in present.items()
     ])
     over = F.filter(cells, lambda x: x["text"].isNotNull() & (F.length(x["text"]) > x["limit"]))
@@ -72,7 +78,7 @@ def required_issues(df: DataFrame, columns: Sequence[str]) -> Column:
     if not present:
         return _no_issues()
     cells = F.array(*[
-        F.when(F.col(c).isNull(), F.struct(
+        F.when(_q(c).isNull(), F.struct(
             F.lit(c).alias("column"), F.lit("required_null").alias("kind"),
             F.lit(None).cast("string").alias("value"), F.lit("NULL in a NOT NULL column").alias("detail")))
         for c in present

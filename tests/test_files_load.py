@@ -173,3 +173,35 @@ def test_catalog_matches_oracles_at_sf0001(spark):
         res = con.execute(sql)
         c2, v2 = oracle_check.canon([d[0] for d in res.description], res.fetchall())
         assert (c1, v1) == (c2, v2), key
+
+
+def test_load_with_dotted_and_blank_headers(spark, tmp):
+    from rowsmith.plans.spec import GridSlice as GS
+    from rowsmith.sources import grid, xlsx
+
+    path = os.path.join(tmp, "d.xlsx")
+    xlsx.write_workbook(path, ["name", "name", "a b", "qty"], iter([
+        [" Alpha", "x", "long text here", "1"], ["alpha", "y", "t", "2"], ["beta ", None, "u", "3"], ["gamma", "z", "v", "4"]]))
+    sheet = grid.sheet_table(xlsx.read_grid(spark, path), GS(1))
+    assert sheet.columns == ["_row", "name", "name.1", "a b", "qty"]
+    spec = LoadSpec(
+        table="t", columns=[TargetColumn("cid", "bigint", nullable=False), TargetColumn("alt", "varchar(1)", max_length=1),
+                            TargetColumn("note", "varchar(5)", max_length=5), TargetColumn("qty", "integer")],
+        mapping=[("name.1", "alt"), ("a b", "note"), ("qty", "qty")],
+        lookups=[Lookup("cid", "name", "c", "id", "label")],
+        trim_whitespace=True, remove_duplicates=True, duplicate_column="name", on_error="quarantine",
+        split=SplitRule("a b", "gt", 8), replacements={"name.1": {"z": "w"}},
+    )
+    tables = {"c": spark.createDataFrame([(1, "alpha"), (2, "beta")], "id long, label string")}
+    res = build_load(sheet, spec, tables)
+    got = sorted((r._row, r.cid, r.alt, r.note, r.qty) for r in res.rows.collect())
+    # row 3 duplicates row 2 by name; row 5 (gamma) has no lookup match
+    assert got == [(2, 1, "x", None, 1), (4, 2, None, "u", 3)]
+    v = {(r._row, r.column, r.kind) for r in res.violations.collect()}
+    assert v == {(5, "name", "fk_not_found"), (5, "cid", "required_null")}
+    from rowsmith.operators import dedupe, similar, update
+
+    assert dedupe.duplicate_stats(sheet, "name.1").first().total_rows == 4
+    assert similar.value_counts(sheet, "a b").count() == 4
+    upd = update.update_by_key(sheet.select("name", "a b"), sheet.select("_row", "name", "a b"), "name", ["a b"])
+    assert upd.count() == 4
