@@ -85,3 +85,13 @@ def test_xlsx_writer_splits_sheets(spark, tmp):
 def test_header_names_col(spark):
     df = spark.createDataFrame([(["A", "A", None],)], "c array<string>")
     assert df.select(grid.header_names_col("c")).first()[0] == ["A", "A.1", "column_3"]
+
+
+def test_binary_file_reader_matches_data_source(spark, tmp):
+    for name, rows in (("a.xlsx", [["x", 1, None], [None, None, None], ["z", 2.5, "q"]]), ("b.xlsx", [[f"r{i}"] for i in range(20000)])):
+        xlsx.write_workbook(os.path.join(tmp, name), ["h1", "h2", "h3"], iter(rows))
+    a = xlsx.read_grid(spark, os.path.join(tmp, "*.xlsx"))
+    b = xlsx.read_grid_files(spark, tmp)
+    norm = lambda df: sorted((os.path.basename(r.path), r.sheet, r.row_idx, tuple(r.cells)) for r in df.collect())
+    assert norm(a) == norm(b)
+    assert xlsx.read_grid_files(spark, tmp, sheet="nope").count() == 0
