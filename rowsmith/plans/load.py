@@ -66,6 +66,7 @@ class LoadResult:
     stages: dict[str, DataFrame] = field(default_factory=dict)
     spec: LoadSpec | None = None
     split_column: str | None = None
+    extra_metrics: DataFrame | None = None  # metric, value (replacement counts)
 
     @property
     def rows(self) -> DataFrame:
@@ -97,11 +98,17 @@ class LoadResult:
         by_kind = self.violations.groupBy("kind").agg(F.count(F.lit(1)).cast("long").alias("n"))
         kind_rows = spark.createDataFrame([(k,) for k in kinds], "kind string").join(by_kind, "kind", "left")
         parts.append(kind_rows.select(F.col("kind").alias("metric"), F.coalesce("n", F.lit(0)).cast("long").alias("value")))
+        if self.extra_metrics is not None:
+            parts.append(self.extra_metrics)
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
+    def sample(self, n: int = 5) -> DataFrame:
+        """K6: the first ``n`` rows that would be written (top-n, no full sort)."""
+        return self.rows.orderBy(ROW).limit(n)
+
     def check(self, n: int = 5) -> "LoadResult":
         """``on_error='fail'``: raise with the first ``n`` violations and a count."""
         if self.violations.limit(1).count() > 0:
@@ -109,6 +116,20 @@ class LoadResult:
         return self
 
 
+def _replacement_counts(df: DataFrame, reps) -> DataFrame | None:
+    """K6: cells each replacement dictionary will change (one aggregate pass)."""
+    if not isinstance(reps, Mapping):
+        return None
+    cols = [(c, m) for c, m in reps.items() if c in df.columns and m]
+    if not cols:
+        return None
+    sums = [F.sum(F.when(qcol(c).isin(list(m)), 1).otherwise(0)).cast("long").alias(f"n{i}") for i, (c, m) in enumerate(cols)]
+    agg = df.agg(*sums)
+    rows = F.explode(F.array(*[F.struct(F.lit(f"replaced:{c}").alias("metric"), F.col(f"n{i}").alias("value"))
+                               for i, (c, _) in enumerate(cols)]))
+    return agg.select(rows.alias("x")).select("x.metric", F.coalesce("x.value", F.lit(0)).cast("long").alias("value"))
+
+
 def _replacement_cols(replacements) -> dict:
     return {c: m for c, m in replacements.items() if m} if isinstance(replacements, Mapping) else replacements
 
@@ -131,8 +152,11 @@ def build_load(
     # 2-3: trim, replacements
     if spec.trim_whitespace:
         df = trim_cells(df)
+    extra = None
     if spec.replacements:
-        df = replace_values(df, _replacement_cols(spec.replacements))
+        reps = _replacement_cols(spec.replacements)
+        extra = _replacement_counts(df, reps)
+        df = replace_values(df, reps)
     # 4: split by length
     split_col = None
     if spec.split is not None:
@@ -184,7 +208,7 @@ def build_load(
     if "__fk_issues" in flagged.columns:
         flagged = flagged.drop("__fk_issues")
     return LoadResult(flagged=flagged, table_violations=table_viol, quarantine=spec.on_error == "quarantine",
-                      stages=stages, spec=spec, split_column=split_col)
+                      stages=stages, spec=spec, split_column=split_col, extra_metrics=extra)
 
 
 def _renamed_conversions(conversions: DataFrame | None, fk_src: dict[str, str]) -> DataFrame | None:

@@ -101,7 +101,8 @@ def test_split_and_replacements_in_load(spark):
     # row 4's customer is replaced zeta -> beta, which makes it a duplicate of row 3
     assert got == [(2, None, 1)]
     report = {r.metric: r.value for r in res.report().collect()}
-    assert report["after_dedupe"] == 3
+    assert report["after_dedupe"] == 3 and report["replaced:customer"] == 1
+    assert [r._row for r in res.sample(5).collect()] == [2]
     assert res.split_column == "extra_1"
     assert {(r._row, r.column, r.kind) for r in res.violations.collect()} == {(3, "note", "too_long")}
 
