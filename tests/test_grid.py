@@ -95,3 +95,38 @@ def test_binary_file_reader_matches_data_source(spark, tmp):
     norm = lambda df: sorted((os.path.basename(r.path), r.sheet, r.row_idx, tuple(r.cells)) for r in df.collect())
     assert norm(a) == norm(b)
     assert xlsx.read_grid_files(spark, tmp, sheet="nope").count() == 0
+
+
+def test_xlsx_cell_types_and_date_formats(spark, tmp):
+    """Shared strings (with a phonetic run), booleans, date serials by built-in
+    and custom number formats, time-only cells, inline strings, formula text,
+    sparse cells and a relationship target that differs from sheet order."""
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    path = os.path.join(tmp, "types.xlsx")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets>'
+                   '<sheet name="Data" sheetId="1" r:id="rId7"/><sheet name="Other" sheetId="2" r:id="rId3"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels",
+                   '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="rId7" Target="worksheets/sheet2.xml"/><Relationship Id="rId3" Target="/xl/worksheets/sheet1.xml"/>'
+                   '</Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {ns}><si><t>name</t></si><si><r><t>Ca</t></r><r><t>fé</t></r>'
+                   '<rPh><t>KAFE</t></rPh></si></sst>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy"/>'
+                   '<numFmt numFmtId="165" formatCode="0.00%"/></numFmts><cellXfs>'
+                   '<xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="20"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData>'
+                   '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>when</t></is></c></row>'
+                   '<row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" t="b"><v>1</v></c><c r="C3" s="1"><v>45292</v></c>'
+                   '<c r="D3" s="2"><v>45293.5</v></c><c r="E3" s="3"><v>0.5</v></c><c r="F3" s="4"><v>0.25</v></c>'
+                   '<c r="G3"><v>7</v></c><c r="H3"><v>2.50</v></c><c r="I3" t="str"><f>A1</f><v>name</v></c></row>'
+                   '</sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="B1"><v>1</v></c></row></sheetData></worksheet>')
+    g = {(r.sheet, r.row_idx): r.cells for r in xlsx.read_grid(spark, path).collect()}
+    assert g[("Data", 1)] == ["name", None, "when"]
+    assert g[("Data", 3)] == ["Café", "True", "2024-01-01 00:00:00", "2024-01-02 12:00:00", "12:00:00", "0.25", "7", "2.5", "name"]
+    assert g[("Other", 1)] == [None, "1"]
+    assert xlsx.sheet_names(path) == ["Data", "Other"]
