@@ -32,20 +32,28 @@ UNNAMED = "unnamed:"
 
 
 # -- S7 -----------------------------------------------------------------------
-def _mangle_repeats(raw: Sequence[str]) -> list[str]:
-    """Repeated header texts as the reader delivers them: ``A``, ``A.1``, ``A.2``."""
-    counts: dict[str, int] = {}
-    out = []
-    for name in raw:
-        n = counts.get(name, 0)
-        cand = name
-        while n > 0:
-            counts[cand] = n + 1
-            cand = f"{name}.{n}"
-            n = counts.get(cand, 0)
-        counts[cand] = n + 1
-        out.append(cand)
-    return out
+def _mangle_repeats(raw: Sequence[str], unnamed: Sequence[int] = ()) -> list[str]:
+    """Repeated header texts as the spreadsheet reader delivers them.
+
+    Public pandas reader behaviour: named cells are handled before empty ones
+    (``Unnamed: <i>``); the k-th repeat of ``A`` becomes ``A.k``, and a
+    candidate that already stands in the header moves on to the next k.
+    """
+    names = list(raw)
+    empty = set(unnamed)
+    order = [i for i in range(len(names)) if i not in empty] + sorted(empty)
+    seen: dict[str, int] = {}
+    for i in order:
+        base = names[i]
+        name = base
+        k = seen.get(base, 0)
+        while k > 0:
+            seen[base] = k + 1
+            name = f"{base}.{k}"
+            k = k + 1 if name in names else seen.get(name, 0)
+        names[i] = name
+        seen[name] = 1
+    return names
 
 
 def header_names(cells: Sequence[object], prefix: str = DEFAULT_PREFIX) -> list[str]:
@@ -55,11 +63,12 @@ def header_names(cells: Sequence[object], prefix: str = DEFAULT_PREFIX) -> list[
     strip; empty or ``Unnamed:*`` -> ``<prefix><position>``; a name equal to
     an earlier one -> ``<name>_<n>`` with the first unused n >= 2 (Q4 fix).
     """
-    raw = [f"Unnamed: {i}" if c is None or str(c) == "" else str(c) for i, c in enumerate(cells)]
+    empty = [i for i, c in enumerate(cells) if c is None or str(c) == ""]
+    raw = [f"Unnamed: {i}" if i in empty else str(c) for i, c in enumerate(cells)]
     names: list[str] = []
     used: set[str] = set()
     seen: dict[str, int] = {}
-    for idx, col in enumerate(_mangle_repeats(raw), start=1):
+    for idx, col in enumerate(_mangle_repeats(raw, empty), start=1):
         name = col.strip()
         if not name or name.lower().startswith(UNNAMED):
             name = f"{prefix}{idx}"

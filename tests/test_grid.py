@@ -130,3 +130,28 @@ def test_xlsx_cell_types_and_date_formats(spark, tmp):
     assert g[("Data", 3)] == ["Café", "True", "2024-01-01 00:00:00", "2024-01-02 12:00:00", "12:00:00", "0.25", "7", "2.5", "name"]
     assert g[("Other", 1)] == [None, "1"]
     assert xlsx.sheet_names(path) == ["Data", "Other"]
+
+
+def test_repeat_mangling_matches_pandas_reader(tmp):
+    """Repeated and empty header cells must arrive as the spreadsheet reader
+    (pandas' Python parser, used for workbooks) names them."""
+    import csv
+    import io
+    import random
+
+    import pandas as pd
+
+    from rowsmith.sources.grid import _mangle_repeats
+
+    rnd = random.Random(4)
+    for _ in range(400):
+        names = [rnd.choice(["A", "A.1", "B", "A.2", "B.1", "C", "A.1.1", "", "Unnamed: 2"]) for _ in range(rnd.randint(1, 8))]
+        if not any(names):
+            continue  # a CSV header of empty fields reads as a blank line (a CSV artefact)
+        buf = io.StringIO()
+        csv.writer(buf).writerow(names)
+        buf.write(",".join("0" for _ in names) + "\n")
+        got = list(pd.read_csv(io.StringIO(buf.getvalue()), dtype=object, engine="python").columns)
+        empty = [i for i, n in enumerate(names) if n == ""]
+        raw = [f"Unnamed: {i}" if n == "" else n for i, n in enumerate(names)]
+        assert _mangle_repeats(raw, empty) == got, names
