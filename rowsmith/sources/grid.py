@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from rowsmith.functions.text import strip_text
+from rowsmith.functions.text import DEFAULT_NULL_TOKENS, null_tokens, strip_text
 from rowsmith.operators.clean import skip_empty_rows
 from rowsmith.operators.common import maybe_broadcast, qcol
 from rowsmith.plans.spec import GridSlice
@@ -152,11 +152,14 @@ def sheet_table(
     prefix: str = DEFAULT_PREFIX,
     keep_sheet: bool = False,
     drop_empty: bool = True,
+    tokens: Sequence[str] | None = DEFAULT_NULL_TOKENS,
 ) -> DataFrame:
     """Header row + data rectangle -> table with named string columns + ``_row``.
 
     Rows are cut by the physical row number (Q2/Q3 fix: ``start <= _row <=
     end``, empty rows do not shift the cut); columns by position (S6).
+    Cells equal to a missing-value token become NULL first (S14), so rows
+    holding only such tokens are dropped as empty (S8).
     ``names`` defaults to the normalised header row of the grid (which must
     then hold one sheet, or sheets of one layout).
     """
@@ -167,7 +170,10 @@ def sheet_table(
     if g.end_row is not None:
         rows = rows.filter(F.col("row_idx") <= g.end_row)
     cells = _col_slice(F.col("cells"), g)
-    cols = [F.try_element_at(cells, F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
+    cells_at = [F.try_element_at(cells, F.lit(i + 1)) for i in range(len(names))]
+    if tokens:  # S14: the reader's missing-value texts become NULL (header cells keep their text)
+        cells_at = [null_tokens(c, tokens) for c in cells_at]
+    cols = [c.alias(n) for c, n in zip(cells_at, names)]
     keep = [F.col(k) for k in SHEET_KEYS] if keep_sheet else []
     out = rows.select(*keep, F.col("row_idx").cast("long").alias(ROW), *cols)
     return drop_empty_rows(out, list(names)) if drop_empty else out

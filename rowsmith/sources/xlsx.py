@@ -137,12 +137,15 @@ def _in_phonetic(si, t) -> bool:
 
 
 def _number_text(v: str) -> str:
+    """Number cells as the spreadsheet reader gives them: integral values as
+    integers (``5.0`` -> ``5``), others as the shortest float text."""
     try:
-        if any(ch in v for ch in ".eE"):
-            return str(float(v))
-        return str(int(v))
+        if not any(ch in v for ch in ".eE"):
+            return str(int(v))
+        x = float(v)
     except ValueError:
         return v
+    return str(int(x)) if x.is_integer() else str(x)
 
 
 def _serial_to_text(v: str, date1904: bool, time_only: bool) -> str:
@@ -184,6 +187,8 @@ def iter_sheet_rows(z: zipfile.ZipFile, part: str, book: _Book, row_min: int = 1
                     text = "".join(x.text or "" for x in is_.iter(_q("t"))) if is_ is not None else None
                 elif t == "b" and text is not None:
                     text = "True" if text.strip() == "1" else "False"
+                elif t == "e":
+                    text = None  # error cells (#N/A, #DIV/0!, ...) read as missing
                 elif t in ("n",) and text is not None:
                     s = int(c.get("s", "0"))
                     if s in book.date_styles:

@@ -27,7 +27,7 @@ def test_used_range(spark):
 
 
 def test_sheet_table_ranges(spark):
-    rows = [(1, ["title", None, None]), (3, ["id", "name", "x"]), (4, ["1", "a", "q"]), (5, [None, None, None]),
+    rows = [(1, ["title", None, None]), (3, ["id", "name", "x"]), (4, ["1", "a", "q"]), (5, ["NA", "", "#N/A"]),
             (6, ["2", "b", "r"]), (7, ["3", "c", "s"]), (8, ["4", "d", "t"])]
     g = _grid(spark, rows)
     t = grid.sheet_table(g, GridSlice(header_row=3, start_row=5, end_row=7, start_col=2, end_col=3))
@@ -36,6 +36,8 @@ def test_sheet_table_ranges(spark):
     t = grid.sheet_table(g, GridSlice(header_row=3))
     assert [r._row for r in t.orderBy("_row").collect()] == [4, 6, 7, 8]
     assert [r._row for r in grid.preview(t, 2).collect()] == [4, 6]
+    kept = grid.sheet_table(g, GridSlice(header_row=3), tokens=None)
+    assert [r._row for r in kept.orderBy("_row").collect()] == [4, 5, 6, 7, 8]
     assert [r.sheet for r in grid.sheet_list(g).collect()] == ["S"]
 
 
@@ -122,12 +124,14 @@ def test_xlsx_cell_types_and_date_formats(spark, tmp):
                    '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>when</t></is></c></row>'
                    '<row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" t="b"><v>1</v></c><c r="C3" s="1"><v>45292</v></c>'
                    '<c r="D3" s="2"><v>45293.5</v></c><c r="E3" s="3"><v>0.5</v></c><c r="F3" s="4"><v>0.25</v></c>'
-                   '<c r="G3"><v>7</v></c><c r="H3"><v>2.50</v></c><c r="I3" t="str"><f>A1</f><v>name</v></c></row>'
+                   '<c r="G3"><v>7</v></c><c r="H3"><v>2.50</v></c><c r="I3" t="str"><f>A1</f><v>name</v></c>'
+                   '<c r="J3"><v>5.0</v></c><c r="K3"><v>1E3</v></c><c r="L3" t="e"><v>#N/A</v></c><c r="M3"><v>x</v></c></row>'
                    '</sheetData></worksheet>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="B1"><v>1</v></c></row></sheetData></worksheet>')
     g = {(r.sheet, r.row_idx): r.cells for r in xlsx.read_grid(spark, path).collect()}
     assert g[("Data", 1)] == ["name", None, "when"]
-    assert g[("Data", 3)] == ["Café", "True", "2024-01-01 00:00:00", "2024-01-02 12:00:00", "12:00:00", "0.25", "7", "2.5", "name"]
+    assert g[("Data", 3)] == ["Café", "True", "2024-01-01 00:00:00", "2024-01-02 12:00:00", "12:00:00", "0.25", "7", "2.5",
+                              "name", "5", "1000", None, "x"]
     assert g[("Other", 1)] == [None, "1"]
     assert xlsx.sheet_names(path) == ["Data", "Other"]
 
