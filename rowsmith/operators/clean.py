@@ -147,18 +147,21 @@ def split_by_length(df: DataFrame, rule: SplitRule, *, trim_measure: bool = Fals
 
 
 # -- P8 / P9 ----------------------------------------------------------------
-def all_empty(columns: Sequence[str]) -> Column:
-    """True when every given cell is empty (P8 on each)."""
+def all_empty(columns: Sequence[str], float_columns: Sequence[str] = ()) -> Column:
+    """True when every given cell is empty (P8 on each; NaN counts as empty in float columns)."""
     if not columns:
         return F.lit(False)
-    return reduce(lambda a, b: a & b, [is_empty(c) for c in columns])
+    floats = set(float_columns)
+    parts = [(is_empty(c) | F.isnan(qcol(c))) if c in floats else is_empty(c) for c in columns]
+    return reduce(lambda a, b: a & b, parts)
 
 
 def skip_empty_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Drop rows whose mapped source cells are all empty (none mapped: keep all)."""
     if not columns:
         return df
-    return df.filter(~all_empty(columns))
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.filter(~all_empty(columns, floats))
 
 
 # -- P1 / P2 / P10 / P11 / P12 ---------------------------------------------

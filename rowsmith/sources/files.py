@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.functions.text import strip_text
+from rowsmith.functions.text import null_tokens, strip_text
 from rowsmith.operators.common import with_source_rows
 
 ROW = "_row"
@@ -36,15 +36,17 @@ def read_conversions(spark: SparkSession, path: str, *, trim: bool = True) -> Da
     """``column, source, target`` from a conversion dictionary CSV.
 
     All columns are read as text (Q17 fix: ``1`` stays ``1``).  Fails if a
-    required column is missing (V7).  Rows with an empty source or target are
-    dropped; with ``trim`` both are stripped; blank sources are dropped; for a
+    required column is missing (V7).  Rows with an empty or missing-value
+    (``NA``, ``NULL``, ...) source or target are dropped; with ``trim`` both are stripped; blank sources are dropped; for a
     repeated (column, source) the last line of the file wins.
     """
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     missing = [c for c in (CONV_COLUMN, CONV_SOURCE, CONV_TARGET) if c not in raw.columns]
     if missing:
         raise ValueError("conversion file lacks columns: " + ", ".join(missing))
-    rows = with_source_rows(raw.select(CONV_COLUMN, CONV_SOURCE, CONV_TARGET), first_row=2)
+    # the reader's missing-value texts (NA, N/A, NULL, ...) count as empty cells
+    cells = raw.select(*[null_tokens(c).alias(c) for c in (CONV_COLUMN, CONV_SOURCE, CONV_TARGET)])
+    rows = with_source_rows(cells, first_row=2)
     src, dst = F.col(CONV_SOURCE), F.col(CONV_TARGET)
     rows = rows.filter(src.isNotNull() & dst.isNotNull())
     if trim:

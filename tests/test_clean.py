@@ -54,6 +54,8 @@ def test_skip_empty_rows(spark):
     df = spark.createDataFrame([(1, None, " "), (2, "a", None), (3, "\t", None)], "_row long, a string, b string")
     assert [r._row for r in clean.skip_empty_rows(df, ["a", "b"]).collect()] == [2]
     assert clean.skip_empty_rows(df, []).count() == 3
+    nums = spark.createDataFrame([(1, float("nan"), None), (2, 0.0, None), (3, None, "x")], "_row long, x double, s string")
+    assert sorted(r._row for r in clean.skip_empty_rows(nums, ["x", "s"]).collect()) == [2, 3]
 
 
 def test_map_columns_defaults_and_types(spark):

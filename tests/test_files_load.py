@@ -115,7 +115,7 @@ def test_conversion_file_round_trip(spark, tmp):
     assert back == sorted(tuple(r) for r in rep.collect())
     raw = os.path.join(tmp, "raw.csv")
     with open(raw, "w") as fh:
-        fh.write("coluna_excel,valor_original,valor_corrigido\nc,a,first\nc,a,last\nc,,x\nc, ,y\nc,b,\nc,007,0.7\n")
+        fh.write("coluna_excel,valor_original,valor_corrigido\nc,a,first\nc,a,last\nc,,x\nc, ,y\nc,b,\nc,007,0.7\nc,NA,z\nc,q,N/A\n")
     got = sorted(tuple(r) for r in fsrc.read_conversions(spark, raw).collect())
     assert got == [("c", "007", "0.7"), ("c", "a", "last")]
     bad = os.path.join(tmp, "bad.csv")
