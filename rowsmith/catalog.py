@@ -531,41 +531,65 @@ def q_header_names(spark, d):
 
 
 def _pages_grid(spark, d) -> DataFrame:
-    """Per page: 0-2 leading blank rows, a header row, a data row, a placeholder row."""
+    """Per page: 0-2 leading blank rows, for French pages a row of placeholder
+    names, then a header row and a data row."""
     p = table(spark, d, "pages")
-    blanks = F.when(F.col("url").contains("#"), 0).when(F.col("url").startswith("https"), 2).otherwise(1)
+    b = F.when(F.col("url").contains("#"), 0).when(F.col("url").startswith("https"), 2).otherwise(1)
+    pf = F.when(F.col("url").contains("/fr/"), 1).otherwise(0)
     none = F.lit(None).cast("string")
+
+    def row(n, keep, cells):
+        return F.struct(n.cast("int").alias("r"), keep.alias("keep"), F.array(*cells).alias("cells"))
+
     rows = F.array(
-        F.struct(F.lit(1).alias("r"), F.array(none, none).alias("cells")),
-        F.struct(F.lit(2).alias("r"), F.array(none, none).alias("cells")),
-        F.struct(F.lit(3).alias("r"), F.array(F.lit("url"), F.lit("page")).alias("cells")),
-        F.struct(F.lit(4).alias("r"), F.array(F.col("url"), F.col("page_id").cast("string")).alias("cells")),
+        row(F.lit(1), b >= 1, [none, none]),
+        row(F.lit(2), b >= 2, [none, none]),
+        row(b + 1, pf == 1, [F.lit("column_1"), F.lit("column_2")]),
+        row(b + pf + 1, F.lit(True), [F.lit("url"), F.lit("page")]),
+        row(b + pf + 2, F.lit(True), [F.col("url"), F.col("page_id").cast("string")]),
     )
-    ex = p.select(F.col("page_id"), blanks.alias("b"), F.explode(rows).alias("x"))
-    # shift: rows 1..2 are blank, header lands at b+1
-    keep = (F.col("x.r") > 2) | (F.col("x.r") <= F.col("b"))
-    idx = F.when(F.col("x.r") <= 2, F.col("x.r")).otherwise(F.col("x.r") - 2 + F.col("b"))
-    return ex.filter(keep).select(F.lit("pages").alias("path"), F.col("page_id").cast("string").alias("sheet"),
-                                  idx.cast("int").alias("row_idx"), F.col("x.cells").alias("cells"))
+    ex = p.select("page_id", F.explode(rows).alias("x")).filter("x.keep")
+    return ex.select(F.lit("pages").alias("path"), F.col("page_id").cast("string").alias("sheet"),
+                     F.col("x.r").alias("row_idx"), F.col("x.cells").alias("cells"))
+
+
+def _sql_real(v: str) -> str:
+    return f"({v} IS NOT NULL AND {v} <> '' AND NOT starts_with(lower({v}), 'unnamed:') AND NOT starts_with({v}, 'column_'))"
+
+
+def _sql_prefix_or_empty(v: str) -> str:
+    return f"({v} IS NULL OR {v} = '' OR starts_with({v}, 'column_'))"
 
 
 @query(
     "header_detect",
-    """
-WITH b AS (SELECT page_id, url, CASE WHEN url LIKE '%#%' THEN 0 WHEN url LIKE 'https%' THEN 2 ELSE 1 END AS b FROM pages),
+    f"""
+WITH b AS (SELECT page_id, url,
+                  CASE WHEN url LIKE '%#%' THEN 0 WHEN url LIKE 'https%' THEN 2 ELSE 1 END AS b,
+                  CASE WHEN url LIKE '%/fr/%' THEN 1 ELSE 0 END AS pf FROM pages),
 g AS (
   SELECT page_id, 1 AS row_idx, NULL AS v1, NULL AS v2 FROM b WHERE b >= 1
   UNION ALL SELECT page_id, 2, NULL, NULL FROM b WHERE b >= 2
-  UNION ALL SELECT page_id, b + 1, 'url', 'page' FROM b
-  UNION ALL SELECT page_id, b + 2, url, CAST(page_id AS VARCHAR) FROM b),
+  UNION ALL SELECT page_id, b + 1, 'column_1', 'column_2' FROM b WHERE pf = 1
+  UNION ALL SELECT page_id, b + pf + 1, 'url', 'page' FROM b
+  UNION ALL SELECT page_id, b + pf + 2, url, CAST(page_id AS VARCHAR) FROM b),
 f AS (SELECT page_id, row_idx,
              (v1 IS NOT NULL AND v1 <> '') OR (v2 IS NOT NULL AND v2 <> '') AS nonempty,
-             (v1 IS NOT NULL AND v1 <> '' AND NOT starts_with(lower(v1), 'unnamed:') AND NOT starts_with(v1, 'column_'))
-             OR (v2 IS NOT NULL AND v2 <> '' AND NOT starts_with(lower(v2), 'unnamed:') AND NOT starts_with(v2, 'column_')) AS real
-      FROM g WHERE row_idx >= 1)
-SELECT 'pages' AS path, CAST(page_id AS VARCHAR) AS sheet,
-       CAST(coalesce(min(CASE WHEN real THEN row_idx END), max(CASE WHEN nonempty OR row_idx = 1 THEN row_idx END)) AS INTEGER) AS header_row
-FROM f GROUP BY page_id
+             {_sql_real('v1')} OR {_sql_real('v2')} AS real,
+             {_sql_prefix_or_empty('v1')} AND {_sql_prefix_or_empty('v2')} AS allp
+      FROM g),
+c AS (SELECT * FROM f WHERE row_idx = 1 OR nonempty),
+s AS (SELECT page_id,
+             min(CASE WHEN real THEN row_idx END) AS a,
+             min(CASE WHEN row_idx > 1 AND nonempty AND allp THEN row_idx END) AS bb,
+             max(row_idx) AS last
+      FROM c GROUP BY page_id),
+p AS (SELECT s.page_id, max(c.row_idx) AS prev_b FROM s JOIN c ON c.page_id = s.page_id AND c.row_idx < s.bb GROUP BY s.page_id)
+SELECT 'pages' AS path, CAST(s.page_id AS VARCHAR) AS sheet,
+       CAST(CASE WHEN s.a IS NOT NULL AND (s.bb IS NULL OR s.a < s.bb) THEN s.a
+                 WHEN s.bb IS NOT NULL THEN coalesce(p.prev_b, 1)
+                 ELSE greatest(s.last, 1) END AS INTEGER) AS header_row
+FROM s LEFT JOIN p ON p.page_id = s.page_id
 """,
 )
 def q_header_detect(spark, d):
