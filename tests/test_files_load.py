@@ -206,3 +206,15 @@ def test_load_with_dotted_and_blank_headers(spark, tmp):
     assert similar.value_counts(sheet, "a b").count() == 4
     upd = update.update_by_key(sheet.select("name", "a b"), sheet.select("_row", "name", "a b"), "name", ["a b"])
     assert upd.count() == 4
+
+
+def test_load_applies_conversions_before_lookup(spark):
+    rows = spark.createDataFrame([(2, " alfa ", "a"), (3, "bta", "b"), (4, "beta", "c")], "_row long, customer string, note string")
+    conv = spark.createDataFrame([("customer", "alfa", "alpha"), ("customer", "bta", "BETA"), ("other", "beta", "zzz")],
+                                 "column string, source string, target string")
+    spec = LoadSpec("t", [TargetColumn("cid", "bigint", nullable=False), TargetColumn("note", "text")],
+                    mapping=[("note", "note")], lookups=[Lookup("cid", "customer", "cust", "id", "name")],
+                    on_error="quarantine")
+    res = build_load(rows, spec, _tables(spark), conversions=conv)
+    assert sorted((r._row, r.cid) for r in res.rows.collect()) == [(2, 1), (3, 2), (4, 2)]
+    assert res.violations.count() == 0
