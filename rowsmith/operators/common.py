@@ -40,6 +40,15 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFr
     return df
 
 
+def _size_conf(text: str) -> int:
+    """Spark size settings such as ``134217728b``, ``128m`` or ``1g`` in bytes."""
+    t = str(text).strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    if t and t[-1] in mult:
+        return int(float(t[:-1]) * mult[t[-1]])
+    return int(float(t or 0))
+
+
 def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     """Round-robin a plain scan that has fewer splits than the cluster has cores.
 
@@ -53,6 +62,9 @@ def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     size = estimated_bytes(df) or 0
     if size < min_bytes:
         return df
+    split = _size_conf(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    if size >= cores * split:
+        return df  # big enough to yield a split per core; skip asking for the partition list
     try:
         parts = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001
