@@ -62,3 +62,13 @@ def test_hot_bigram_does_not_pair_everything(spark):
     n = keys.count()
     cand = similar.candidate_pairs(keys).count()
     assert cand < n * (n - 1) / 2 / 4
+
+
+def test_no_registered_query_plans_a_cross_join(spark):
+    from rowsmith import catalog
+
+    for name, fn in catalog.queries().items():
+        df = fn(spark, "/root/testdata/sf0.001")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
