@@ -262,3 +262,32 @@ class LoadSpec:
             raise SpecError("on_error must be 'fail' or 'quarantine'")
         self.slice.validate()
         return self
+
+
+def target_columns_from_schema(
+    schema: T.StructType,
+    *,
+    primary_key: list[str] | tuple[str, ...] = (),
+    required: list[str] | tuple[str, ...] = (),
+) -> list[TargetColumn]:
+    """S17 for lake tables: target columns from a Spark schema.
+
+    ``varchar(n)``/``char(n)`` lengths come from the field metadata Spark
+    keeps for such columns; keys and NOT NULL columns that the table format
+    does not record are declared by the caller.
+    """
+    out = []
+    for f in schema.fields:
+        declared = (f.metadata or {}).get("__CHAR_VARCHAR_TYPE_STRING")
+        type_text = declared or f.dataType.simpleString()
+        max_len = None
+        if declared:
+            import re
+
+            m = re.search(r"\((\d+)\)", declared)
+            max_len = int(m.group(1)) if m else None
+        out.append(TargetColumn(
+            f.name, type_text, nullable=f.nullable and f.name not in required,
+            primary_key=f.name in primary_key, max_length=max_len,
+        ))
+    return out

@@ -111,3 +111,27 @@ def output_folder(base: str, sheet: str, kind: str) -> str:
 
 
 __all__ = ["export_csv", "export_workbooks", "export_conversions", "insert_rows", "update_table", "slug"]
+
+
+def insert_into_table(result: LoadResult, name: str, *, path: str | None = None, materialize: bool = True) -> WriteReport:
+    """K1 into a Spark catalog table: create it (optionally at ``path``) or append by column name."""
+    if materialize:
+        result.materialize()
+    if result.spec is not None and result.spec.on_error == "fail":
+        result.check()
+    spark = result.flagged.sparkSession
+    rows = result.rows.drop(ROW)
+    obs = Observation("insert_table")
+    if spark.catalog.tableExists(name):
+        cols = [c.name for c in spark.catalog.listColumns(name)]
+        missing = [c for c in rows.columns if c not in cols]
+        if missing:
+            raise ValueError(f"columns not in {name}: {', '.join(missing)}")
+        out = rows.select(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).alias(c) for c in cols])
+        out.observe(obs, F.count(F.lit(1)).alias("n")).write.insertInto(name)
+    else:
+        w = rows.observe(obs, F.count(F.lit(1)).alias("n")).write.format("parquet")
+        if path:
+            w = w.option("path", path)
+        w.saveAsTable(name)
+    return WriteReport(records=int(obs.get.get("n", 0)))

@@ -218,3 +218,19 @@ def test_load_applies_conversions_before_lookup(spark):
     res = build_load(rows, spec, _tables(spark), conversions=conv)
     assert sorted((r._row, r.cid) for r in res.rows.collect()) == [(2, 1), (3, 2), (4, 2)]
     assert res.violations.count() == 0
+
+
+def test_catalog_table_insert_and_schema_targets(spark, tmp):
+    from rowsmith.plans.spec import target_columns_from_schema
+
+    spark.sql(f"CREATE TABLE t_orders (id BIGINT, note VARCHAR(5), flag BOOLEAN) USING parquet LOCATION '{tmp}/t_orders'")
+    cols = target_columns_from_schema(spark.table("t_orders").schema, primary_key=["id"], required=["id"])
+    assert [(c.name, c.type, c.max_length, c.nullable, c.primary_key) for c in cols] == [
+        ("id", "bigint", None, False, True), ("note", "varchar(5)", 5, True, False), ("flag", "boolean", None, True, False)]
+    sheet = spark.createDataFrame([(2, "1", "short"), (3, "2", "too long"), (4, "3", "ok")], "_row long, a string, b string")
+    spec = LoadSpec("t_orders", cols, mapping=[("a", "id"), ("b", "note")], defaults={"flag": True}, on_error="quarantine")
+    rep = fsink.insert_into_table(build_load(sheet, spec), "t_orders")
+    assert rep.records == 2
+    got = sorted(tuple(r) for r in spark.table("t_orders").collect())
+    assert got == [(1, "short", True), (3, "ok", True)]
+    spark.sql("DROP TABLE t_orders")
