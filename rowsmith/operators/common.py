@@ -72,6 +72,18 @@ def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     return df.repartition(cores) if parts < cores else df
 
 
+def _bucket_of(col, bounds: list) -> F.Column:
+    """Number of ``bounds`` (sorted) that are <= ``col``, as a binary search; NULL -> -1."""
+
+    def build(lo: int, hi: int):
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+
+    return F.when(col.isNull(), F.lit(-1)).otherwise(build(0, len(bounds)))
+
+
 def dense_row_number(
     df: DataFrame,
     order_cols: Sequence[str],
@@ -82,36 +94,39 @@ def dense_row_number(
     """1-based row number by ``order_cols`` (within ``partition_cols`` groups).
 
     A plain ``row_number()`` window without PARTITION BY moves every row into
-    one task.  Here the frame is range-partitioned on the ordering keys and
-    sorted inside each partition; ``monotonically_increasing_id`` then counts
-    rows in order within each task.  A small table of per-(task, group) counts
-    gives each block its offset.  The block table has one row per (partition,
-    group) pair, so a hot group that spans many partitions costs one row per
-    partition, never one task.
+    one task.  Instead the first (numeric) ordering column is cut into
+    quantile buckets -- the bounds are computed once, ``n - 1`` scalars -- and
+    every row's bucket is a pure function of its value.  Rows are numbered
+    inside their bucket by a window partitioned by bucket, and a small table
+    of bucket counts gives each bucket its offset.
+
+    The bounds are fixed before any branch runs, so the counts and the rows
+    always agree.  (Range partitioning would sample its bounds again in every
+    branch that is not reused, and can then disagree.)
     """
-    keys = [*partition_cols, *order_cols]
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = ranged.withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
-    )
-    blocks = tagged.groupBy("__pid", *partition_cols).agg(
-        F.count(F.lit(1)).alias("__cnt"), F.min("__local").alias("__lmin")
-    )
-    w = Window.partitionBy(*partition_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
-    joined = tagged.join(blocks.drop("__cnt"), on=["__pid", *partition_cols], how="inner")
-    return joined.withColumn(out, (F.col("__off") + F.col("__local") - F.col("__lmin") + 1).cast("long")).drop(
-        "__pid", "__local", "__lmin", "__off"
-    )
+    first = order_cols[0]
+    n = max(2, min(num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1024))
+    probs = [i / n for i in range(1, n)]
+    raw = df.approxQuantile(first, probs, 0.001) if probs else []
+    bounds = sorted({b for b in raw if b is not None})
+    keyed = df.withColumn("__bucket", _bucket_of(qcol(first), bounds))
+    counts = keyed.groupBy(*partition_cols, "__bucket").agg(F.count(F.lit(1)).alias("__cnt"))
+    w = Window.partitionBy(*partition_cols).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0))).drop("__cnt")
+    within = Window.partitionBy(*partition_cols, "__bucket").orderBy(*[qcol(c) for c in order_cols])
+    numbered = keyed.withColumn("__rn", F.row_number().over(within)).join(offsets, [*partition_cols, "__bucket"], "inner")
+    return numbered.withColumn(out, (F.col("__off") + F.col("__rn")).cast("long")).drop("__bucket", "__rn", "__off")
 
 
 def with_source_rows(df: DataFrame, out: str = _ROW, first_row: int = 1, file_col: str = "_file") -> DataFrame:
     """Physical row number per input file for file sources (CSV, JSON, ...).
 
-    Rows are ordered by (file, split start, position inside the split); the
-    position is taken right after the scan, before any shuffle.  The number of
-    the first data row is ``first_row`` (2 for a CSV with a header line).
+    A split of a file is read by one task, row after row, so the position
+    ``monotonically_increasing_id`` gives right after the scan is contiguous
+    inside each split.  A small table of rows per split (one row per split)
+    gives each split its offset within its file; no shuffle of the rows and no
+    sampling is needed.  The first data row gets ``first_row`` (2 for a CSV
+    with a header line).
     """
     tagged = df.select(
         "*",
@@ -119,8 +134,12 @@ def with_source_rows(df: DataFrame, out: str = _ROW, first_row: int = 1, file_co
         F.col("_metadata.file_block_start").alias("__blk"),
         F.monotonically_increasing_id().alias("__pos"),
     )
-    numbered = dense_row_number(tagged, ["__blk", "__pos"], out="__n", partition_cols=[file_col])
-    return numbered.withColumn(out, F.col("__n") + (first_row - 1)).drop("__n", "__blk", "__pos")
+    blocks = tagged.groupBy(file_col, "__blk").agg(F.count(F.lit(1)).alias("__cnt"), F.min("__pos").alias("__pmin"))
+    w = Window.partitionBy(file_col).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0))).drop("__cnt")
+    j = tagged.join(blocks, [file_col, "__blk"], "inner")
+    row = F.col("__off") + (F.col("__pos") - F.col("__pmin")) + first_row
+    return j.withColumn(out, row.cast("long")).drop("__blk", "__pos", "__pmin", "__off")
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
