@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowsmith.operators.clean import (
@@ -67,6 +67,8 @@ class LoadResult:
     spec: LoadSpec | None = None
     split_column: str | None = None
     extra_metrics: DataFrame | None = None  # metric, value (replacement counts)
+    observed: dict[str, int] | None = None  # stage counts taken while materializing
+    _rebuild: object = field(default=None, repr=False)
 
     @property
     def rows(self) -> DataFrame:
@@ -78,11 +80,22 @@ class LoadResult:
         return explode_issues(self.flagged, F.col("__issues")).unionByName(self.table_violations).select(*VIOLATION_COLUMNS)
 
     def materialize(self, path: str | None = None) -> "LoadResult":
-        """Compute the load once: write ``flagged`` to shared storage, read it back."""
+        """Compute the load once: write ``flagged`` to shared storage, read it back.
+
+        The write runs a fresh build of the same plan with an ``Observation``
+        at every stage, so the same job also counts each stage's rows and
+        ``report()`` needs no further pass over the input.
+        """
         spark = self.flagged.sparkSession
         if path is None:
             path = f"{checkpoint_dir(spark).rstrip('/')}/rowsmith-load-{uuid.uuid4().hex}"
-        self.flagged.write.mode("overwrite").parquet(path)
+        frame, obs = self.flagged, None
+        if self._rebuild is not None and self.observed is None:
+            obs = {}
+            frame = self._rebuild(obs).flagged
+        frame.write.mode("overwrite").parquet(path)
+        if obs:
+            self.observed = {name: int(o.get.get("n", 0)) for name, o in obs.items()}
         self.flagged = spark.read.parquet(path)
         return self
 
@@ -90,10 +103,15 @@ class LoadResult:
         """``metric, value`` -- rows per stage and per violation kind."""
         spark = self.flagged.sparkSession
         stages = {**self.stages, "written": self.rows}
-        parts = [
-            st.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit(name).alias("metric"), "value")
-            for name, st in stages.items()
-        ]
+        if self.observed:  # counted during materialize(): no new pass over the input
+            known = [(name, self.observed[name]) for name in self.stages if name in self.observed]
+            parts = [spark.createDataFrame(known, "metric string, value long")] if known else []
+            parts.append(self.rows.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit("written").alias("metric"), "value"))
+        else:
+            parts = [
+                st.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit(name).alias("metric"), "value")
+                for name, st in stages.items()
+            ]
         kinds = ["fk_empty", "fk_not_found", "fk_conflict", "too_long", "required_null"]
         by_kind = self.violations.groupBy("kind").agg(F.count(F.lit(1)).cast("long").alias("n"))
         kind_rows = spark.createDataFrame([(k,) for k in kinds], "kind string").join(by_kind, "kind", "left")
@@ -141,12 +159,28 @@ def build_load(
     *,
     conversions: DataFrame | None = None,
     validate_spec: bool = True,
+    observations: dict | None = None,
 ) -> LoadResult:
-    """Build the whole load as lazy frames (see module docstring)."""
+    """Build the whole load as lazy frames (see module docstring).
+
+    With ``observations`` (a dict) every stage is wrapped in ``observe`` and
+    its ``Observation`` stored there, so one full action on ``flagged`` also
+    counts the rows of every stage.
+    """
     if validate_spec:
         spec.validate()
     tables = tables or {}
     spark = sheet.sparkSession
+    sheet_in = sheet
+
+    def stage(name: str, frame: DataFrame) -> DataFrame:
+        if observations is None:
+            return frame
+        obs = Observation(f"rowsmith_{name}_{uuid.uuid4().hex[:8]}")
+        observations[name] = obs
+        return frame.observe(obs, F.count(F.lit(1)).alias("n"))
+
+    sheet = stage("read", sheet)
     stages: dict[str, DataFrame] = {"read": sheet}
     df = sheet
     # 2-3: trim, replacements
@@ -163,13 +197,13 @@ def build_load(
         df, split_col = split_by_length(df, spec.split, trim_measure=spec.trim_whitespace)
     # 5: keep-first dedupe
     if spec.remove_duplicates and spec.duplicate_column:
-        df = keep_first(df, spec.duplicate_column)
+        df = stage("after_dedupe", keep_first(df, spec.duplicate_column))
         stages["after_dedupe"] = df
     # 6: every needed sheet column must exist
     mapping = spec.effective_mapping()
     require_columns(df, spec.needed_sheet_columns(), "sheet")
     # 7: skip empty rows, project (FK source cells ride along), normalise
-    df = skip_empty_rows(df, [s for s, _ in mapping])
+    df = stage("after_skip_empty", skip_empty_rows(df, [s for s, _ in mapping]))
     stages["after_skip_empty"] = df
     fk_src = {f"__fk{i}": lk.sheet_column for i, lk in enumerate(spec.lookups)}
     projected = map_columns(df.withColumns({h: qcol(s) for h, s in fk_src.items()}), mapping, spec.columns, keep=[ROW, *fk_src])
@@ -207,8 +241,10 @@ def build_load(
     flagged = projected.withColumn("__issues", F.concat(*issues) if len(issues) > 1 else issues[0])
     if "__fk_issues" in flagged.columns:
         flagged = flagged.drop("__fk_issues")
-    return LoadResult(flagged=flagged, table_violations=table_viol, quarantine=spec.on_error == "quarantine",
-                      stages=stages, spec=spec, split_column=split_col, extra_metrics=extra)
+    result = LoadResult(flagged=flagged, table_violations=table_viol, quarantine=spec.on_error == "quarantine",
+                        stages=stages, spec=spec, split_column=split_col, extra_metrics=extra)
+    result._rebuild = lambda obs: build_load(sheet_in, spec, tables, conversions=conversions, validate_spec=False, observations=obs)
+    return result
 
 
 def _renamed_conversions(conversions: DataFrame | None, fk_src: dict[str, str]) -> DataFrame | None:

@@ -234,3 +234,11 @@ def test_catalog_table_insert_and_schema_targets(spark, tmp):
     got = sorted(tuple(r) for r in spark.table("t_orders").collect())
     assert got == [(1, "short", True), (3, "ok", True)]
     spark.sql("DROP TABLE t_orders")
+
+
+def test_report_counts_taken_while_materializing(spark):
+    res = build_load(_feed(spark), _spec(), _tables(spark))
+    plain = {r.metric: r.value for r in res.report().collect()}
+    res.materialize()
+    assert res.observed == {"read": 6, "after_dedupe": 4, "after_skip_empty": 3}
+    assert {r.metric: r.value for r in res.report().collect()} == plain
