@@ -1,4 +1,4 @@
-"""Shared plan helpers: size-checked broadcast, dense row numbers, checkpoints."""
+"""Shared plan helpers: size-checked broadcast, dense row numbers, file row numbers, spreading."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsmith.session import checkpoint_dir
 
 # A side is broadcast only when the optimizer's size estimate is below this
 # bound.  Above it the join stays a shuffle join, which AQE may still turn
@@ -142,12 +141,6 @@ def with_source_rows(df: DataFrame, out: str = _ROW, first_row: int = 1, file_co
     return j.withColumn(out, row.cast("long")).drop("__blk", "__pos", "__pmin", "__off")
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def require_columns(df: DataFrame, columns: Sequence[str], what: str = "sheet") -> None:
     """Fail before any job when a needed column is missing."""
     missing = [c for c in columns if c not in df.columns]

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from rowsmith.functions.text import DEFAULT_NULL_TOKENS, null_tokens, strip_text
-from rowsmith.operators.clean import skip_empty_rows
 from rowsmith.operators.common import maybe_broadcast, qcol
 from rowsmith.plans.spec import GridSlice
 
@@ -242,7 +241,3 @@ def read_records(table: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Mapped columns present in the sheet, renamed to target names."""
     pairs = [(s, t) for s, t in mapping.items() if s in table.columns]
     return table.select(*([F.col(ROW)] if ROW in table.columns else []), *[qcol(s).alias(t) for s, t in pairs])
-
-
-def skip_blank(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return skip_empty_rows(df, columns)
