@@ -68,6 +68,7 @@ class LoadResult:
     split_column: str | None = None
     extra_metrics: DataFrame | None = None  # metric, value (replacement counts)
     observed: dict[str, int] | None = None  # stage counts taken while materializing
+    materialized_path: str | None = None
     _rebuild: object = field(default=None, repr=False)
 
     @property
@@ -97,8 +98,21 @@ class LoadResult:
         if obs:
             self.observed = {name: int(o.get.get("n", 0)) for name, o in obs.items()}
         self.flagged = spark.read.parquet(path)
+        self.materialized_path = path
         return self
 
+    def release(self) -> None:
+        """Delete the materialized copy (best effort); the frames must not be used afterwards."""
+        if not self.materialized_path:
+            return
+        spark = self.flagged.sparkSession
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(self.materialized_path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        finally:
+            self.materialized_path = None
+
     def report(self) -> DataFrame:
         """``metric, value`` -- rows per stage and per violation kind."""
         spark = self.flagged.sparkSession

@@ -242,3 +242,7 @@ def test_report_counts_taken_while_materializing(spark):
     res.materialize()
     assert res.observed == {"read": 6, "after_dedupe": 4, "after_skip_empty": 3}
     assert {r.metric: r.value for r in res.report().collect()} == plain
+    path = res.materialized_path
+    assert path and os.path.exists(path.replace("file:", ""))
+    res.release()
+    assert not os.path.exists(path.replace("file:", "")) and res.materialized_path is None
