@@ -851,6 +851,13 @@ def q_similar_pairs(spark, d):
     return similar.similar_key_edges(keys)
 
 
+@query("similar_pairs_nation", pairs_sql(_NATION_SRC))
+def q_similar_pairs_nation(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("_row"), "n_name")
+    _, keys = similar._keys(similar.value_counts(n, "n_name"))
+    return similar.similar_key_edges(keys)
+
+
 @query("similar_suggestions", suggestions_sql(_PART_SRC))
 def q_similar_suggestions(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("_row"), "p_name")
