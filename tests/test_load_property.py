@@ -74,3 +74,24 @@ def test_load_matches_python_simulation(spark, cells, trim, dedupe):
     exp_rows, exp_issues = simulate(rows, trim, dedupe, replacements)
     assert got_rows == exp_rows
     assert got_issues == exp_issues
+
+
+KEY = st.one_of(st.none(), st.integers(0, 5))
+VAL = st.one_of(st.none(), st.sampled_from(["p", "q", "r"]))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(KEY, VAL), min_size=0, max_size=12), st.lists(st.tuples(KEY, VAL), min_size=0, max_size=12))
+def test_update_matches_statement_per_record(spark, target, source):
+    """One UPDATE ... WHERE k = :k per source record, in record order (Q23)."""
+    from rowsmith.operators.update import update_by_key
+
+    expected = [list(t) for t in target]
+    for k, v in source:  # records in _row order
+        for row in expected:
+            if k is not None and row[0] == k:  # NULL matches nothing
+                row[1] = v  # a NULL value overwrites
+    tgt = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(target)], "i long, k long, v string")
+    src = spark.createDataFrame([(i + 2, k, v) for i, (k, v) in enumerate(source)], "_row long, k long, v string")
+    got = sorted((r.i, r.k, r.v) for r in update_by_key(tgt, src.repartition(3), "k", ["v"]).collect())
+    assert got == sorted((i, k, v) for i, (k, v) in enumerate(expected))
