@@ -211,18 +211,20 @@ def detect_header(grid: DataFrame, g: GridSlice, *, prefix: str = DEFAULT_PREFIX
     vals = F.filter(F.transform(cells, lambda x: strip_text(x)), lambda x: x.isNotNull() & (x != ""))
     real_name = F.exists(vals, lambda x: ~F.lower(x).startswith(UNNAMED) & ~x.startswith(prefix))
     all_prefix = F.forall(vals, lambda x: x.startswith(prefix))
-    rows = grid.filter(F.col("row_idx") >= g.header_row).select(
+    h0 = g.header_row
+    rows = grid.select(
         *SHEET_KEYS, "row_idx", (F.size(vals) > 0).alias("nonempty"), real_name.alias("real"), all_prefix.alias("allp")
     )
-    h0 = g.header_row
-    cand = rows.filter((F.col("row_idx") == h0) | F.col("nonempty"))
-    firsts = cand.groupBy(*SHEET_KEYS).agg(
-        F.min(F.when(F.col("real"), F.col("row_idx"))).alias("A"),
+    # every sheet appears, even one whose rows are all empty
+    at = (F.col("row_idx") >= h0) & ((F.col("row_idx") == h0) | F.col("nonempty"))
+    firsts = rows.groupBy(*SHEET_KEYS).agg(
+        F.min(F.when(at & F.col("real"), F.col("row_idx"))).alias("A"),
         F.min(F.when((F.col("row_idx") > h0) & F.col("nonempty") & F.col("allp"), F.col("row_idx"))).alias("B"),
-        F.max("row_idx").alias("last"),
+        F.max(F.when(at, F.col("row_idx"))).alias("last"),
     )
     before_b = (
-        cand.join(firsts.select(*SHEET_KEYS, "B"), SHEET_KEYS)
+        rows.filter(at)
+        .join(firsts.select(*SHEET_KEYS, "B"), SHEET_KEYS)
         .filter(F.col("B").isNotNull() & (F.col("row_idx") < F.col("B")))
         .groupBy(*SHEET_KEYS)
         .agg(F.max("row_idx").alias("prevB"))
@@ -231,7 +233,7 @@ def detect_header(grid: DataFrame, g: GridSlice, *, prefix: str = DEFAULT_PREFIX
     header = (
         F.when(F.col("A").isNotNull() & (F.col("B").isNull() | (F.col("A") < F.col("B"))), F.col("A"))
         .when(F.col("B").isNotNull(), F.coalesce(F.col("prevB"), F.lit(h0)))
-        .otherwise(F.greatest(F.col("last"), F.lit(h0)))
+        .otherwise(F.greatest(F.coalesce(F.col("last"), F.lit(h0)), F.lit(h0)))
     )
     return j.select(*SHEET_KEYS, header.cast("int").alias("header_row"))
 

@@ -95,3 +95,44 @@ def test_update_matches_statement_per_record(spark, target, source):
     src = spark.createDataFrame([(i + 2, k, v) for i, (k, v) in enumerate(source)], "_row long, k long, v string")
     got = sorted((r.i, r.k, r.v) for r in update_by_key(tgt, src.repartition(3), "k", ["v"]).collect())
     assert got == sorted((i, k, v) for i, (k, v) in enumerate(expected))
+
+
+GRID_CELL = st.sampled_from([None, "", " ", "x", "h", "column_1", "Unnamed: 0", "column_2"])
+
+
+def _simulate_header(rows: dict, h0: int, prefix: str = "column_") -> int:
+    """The reference's loop: move the header down while all names are placeholders
+    and the first data row has a value that does not look like a placeholder."""
+    from rowsmith.sources.grid import header_names
+
+    h = h0
+    while True:
+        names = header_names(rows.get(h, [None, None]), prefix)
+        if not all(n.startswith(prefix) for n in names):
+            return h
+        later = [r for r in sorted(rows) if r > h and any(c is not None and str(c).strip() != "" for c in rows[r])]
+        if not later:
+            return h
+        values = [str(c).strip() for c in rows[later[0]] if c is not None and str(c).strip() != ""]
+        if not values or all(v.startswith(prefix) for v in values):
+            return h
+        h += 1
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(1, 7), st.tuples(GRID_CELL, GRID_CELL), max_size=6), min_size=1, max_size=6))
+def test_header_detection_matches_reference_loop(spark, sheets):
+    from rowsmith.plans.spec import GridSlice
+    from rowsmith.sources.grid import GRID_SCHEMA, detect_header
+
+    data = [("f", f"s{i}", r, list(c)) for i, rows in enumerate(sheets) for r, c in rows.items()]
+    if not data:
+        return
+    grid = spark.createDataFrame(data, GRID_SCHEMA)
+    got = {r.sheet: r.header_row for r in detect_header(grid, GridSlice(1)).collect()}
+    for i, rows in enumerate(sheets):
+        if rows:
+            assert got[f"s{i}"] == _simulate_header({r: list(c) for r, c in rows.items()}, 1), rows
+    # a sheet of empty rows with no row at the start row still gets an answer
+    empty = spark.createDataFrame([("f", "e", 3, [None, " "])], GRID_SCHEMA)
+    assert detect_header(empty, GridSlice(1)).first().header_row == 1
