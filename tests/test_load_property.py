@@ -136,3 +136,19 @@ def test_header_detection_matches_reference_loop(spark, sheets):
     # a sheet of empty rows with no row at the start row still gets an answer
     empty = spark.createDataFrame([("f", "e", 3, [None, " "])], GRID_SCHEMA)
     assert detect_header(empty, GridSlice(1)).first().header_row == 1
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.dictionaries(st.integers(1, 8), st.lists(st.sampled_from([None, "a", "b"]), max_size=4), min_size=1, max_size=6))
+def test_used_range_matches_reference_formula(spark, rows):
+    from rowsmith.sources.grid import GRID_SCHEMA, used_range
+
+    grid = spark.createDataFrame([("f", "s", r, c) for r, c in rows.items()], GRID_SCHEMA)
+    got = {r.row_idx: list(r.cells) for r in used_range(grid).collect()}
+    nonempty = [r for r, c in rows.items() if any(v is not None for v in c)]
+    if not nonempty:  # nothing is cut when every cell is empty
+        assert got == rows
+        return
+    last_row = max(nonempty)
+    last_col = max(max((i + 1 for i, v in enumerate(c) if v is not None), default=0) for c in rows.values())
+    assert got == {r: c[:last_col] for r, c in rows.items() if r <= last_row}
