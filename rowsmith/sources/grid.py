@@ -208,12 +208,20 @@ def detect_header(grid: DataFrame, g: GridSlice, *, prefix: str = DEFAULT_PREFIX
     """
     g = g.corrected()
     cells = _col_slice(F.col("cells"), g)
-    vals = F.filter(F.transform(cells, lambda x: strip_text(x)), lambda x: x.isNotNull() & (x != ""))
-    real_name = F.exists(vals, lambda x: ~F.lower(x).startswith(UNNAMED) & ~x.startswith(prefix))
-    all_prefix = F.forall(vals, lambda x: x.startswith(prefix))
+    tokens = list(DEFAULT_NULL_TOKENS)
+    # a cell is present unless the reader reads it as missing (NULL or an NA text)
+    present = F.filter(cells, lambda x: x.isNotNull() & ~x.isin(tokens))
+    vals = F.filter(F.transform(present, lambda x: strip_text(x)), lambda x: x != "")
+    # repeated blank header texts are renamed " .1", " .2", ... by the reader, which
+    # strip to real-looking names -- the header then counts as named
+    blanks = F.filter(cells, lambda x: x.isNotNull() & (x != "") & (strip_text(x) == ""))
+    dup_blank = F.size(F.array_distinct(blanks)) < F.size(blanks)
+    real_name = F.exists(vals, lambda x: ~F.lower(x).startswith(UNNAMED) & ~x.startswith(prefix)) | dup_blank
+    # a data row stops the walk when it has no text or only placeholder-like text
+    stopper = (F.size(vals) == 0) | F.forall(vals, lambda x: x.startswith(prefix))
     h0 = g.header_row
     rows = grid.select(
-        *SHEET_KEYS, "row_idx", (F.size(vals) > 0).alias("nonempty"), real_name.alias("real"), all_prefix.alias("allp")
+        *SHEET_KEYS, "row_idx", (F.size(present) > 0).alias("nonempty"), real_name.alias("real"), stopper.alias("allp")
     )
     # every sheet appears, even one whose rows are all empty
     at = (F.col("row_idx") >= h0) & ((F.col("row_idx") == h0) | F.col("nonempty"))

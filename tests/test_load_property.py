@@ -110,10 +110,13 @@ def _simulate_header(rows: dict, h0: int, prefix: str = "column_") -> int:
         names = header_names(rows.get(h, [None, None]), prefix)
         if not all(n.startswith(prefix) for n in names):
             return h
-        later = [r for r in sorted(rows) if r > h and any(c is not None and str(c).strip() != "" for c in rows[r])]
+        from rowsmith.functions.text import DEFAULT_NULL_TOKENS
+
+        # the reader drops rows whose cells are all missing (NULL or an NA text); blanks are text
+        later = [r for r in sorted(rows) if r > h and any(c is not None and c not in DEFAULT_NULL_TOKENS for c in rows[r])]
         if not later:
             return h
-        values = [str(c).strip() for c in rows[later[0]] if c is not None and str(c).strip() != ""]
+        values = [str(c).strip() for c in rows[later[0]] if c is not None and c not in DEFAULT_NULL_TOKENS and str(c).strip() != ""]
         if not values or all(v.startswith(prefix) for v in values):
             return h
         h += 1
