@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import substring
+from rowsmith.llm import hyperminhash, substring
 from rowsmith.llm.frames import table
 
 
@@ -14,5 +14,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_substring_dedup,)}
+    return {f.__name__: f for f in (op4_substring_dedup, op9_minhash_near_dedup)}
