@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import hyperminhash, substring
+from rowsmith.llm import decontaminate, hyperminhash, substring
 from rowsmith.llm.frames import table
 
 
@@ -18,5 +18,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10, with_text=False)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_substring_dedup, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op4_substring_dedup, op7_benchmark_decontamination, op9_minhash_near_dedup)}
