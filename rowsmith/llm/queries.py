@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontaminate, hyperminhash, substring
+from rowsmith.llm import decontaminate, hyperminhash, mixing, substring
 from rowsmith.llm.frames import table
 
 
@@ -25,5 +25,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, taken = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_substring_dedup, op7_benchmark_decontamination, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op7_benchmark_decontamination, op9_minhash_near_dedup)}
