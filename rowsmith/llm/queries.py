@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontaminate, hyperminhash, mixing, substring
+from rowsmith.llm import decontaminate, hyperminhash, mixing, secrets, substring
 from rowsmith.llm.frames import table
 
 
@@ -30,5 +30,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = [secrets.n_of(F.col("base"), k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), *count, F.sha2(secrets.labels(F.col("base")), 256).alias("base_sha256"), secrets.labels(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op7_benchmark_decontamination, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op9_minhash_near_dedup)}
