@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontaminate, hyperminhash, mixing, secrets, substring
-from rowsmith.llm.frames import table
+from rowsmith.llm import decontaminate, hyperminhash, mixing, secrets, substring, warc
+from rowsmith.llm.frames import table, written
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +37,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), *count, F.sha2(secrets.labels(F.col("base")), 256).alias("base_sha256"), secrets.labels(F.col("spans")).alias("spans"))
 
 
+def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = warc.captures(table(spark, sf_dir, "pages"))
+    flat = whole.select(
+        "capture", "copies", F.element_at("metadata.fields", "pageId").cast("long").alias("page_id"),
+        F.coalesce(F.col("response.payload_bytes").cast("long"), F.element_at("metadata.fields", "payloadBytes").cast("long")).alias("payload_bytes"),
+        F.coalesce("response.payload_sha256", F.expr("substring_index(response.payload_digest, ':', -1)")).alias("payload_digest"),
+        F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"))
+    flat = written(flat, "captures")
+    target = flat.filter("record_type = 'response'").select(F.col("capture").alias("to"), F.col("page_id").alias("refers_to"))
+    flat = flat.join(target, "to", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return flat.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup)}
