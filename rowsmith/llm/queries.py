@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontaminate, hyperminhash, mixing, secrets, substring, warc
+from rowsmith.llm import decontaminate, hyperminhash, mixing, nra, secrets, substring, warc
 from rowsmith.llm.frames import table, written
 
 
@@ -50,5 +50,10 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nra.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup, op10_top_k_search)}
