@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontaminate, hyperminhash, mixing, nra, secrets, substring, toxicity, warc
+from rowsmith.llm import decontaminate, hyperminhash, mixing, nra, quality, secrets, substring, toxicity, warc
 from rowsmith.llm.frames import table, written
 
 
@@ -63,5 +63,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup, op10_top_k_search)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup, op10_top_k_search)}
