@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontaminate, hyperminhash, mixing, nra, quality, secrets, substring, toxicity, warc
-from rowsmith.llm.frames import table, written
+from rowsmith.llm import decontaminate, hyperminhash, mixing, nra, quality, rollups, secrets, substring, toxicity, warc
+from rowsmith.llm.frames import scratch, table, written
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +67,53 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in; then every tenth is revised and another tenth deleted, in a batch that is sent twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    kept = rollups.TokenRollups(spark, scratch(spark, "rollups"))
+    kept.apply("1", docs.withColumns({"op": F.lit("insert"), "seq": F.lit(1)}))
+    op = F.when(F.col("doc_id") % 10 == 3, "revise").when(F.col("doc_id") % 10 == 7, "delete")
+    second = docs.withColumns({"op": op, "seq": F.lit(2), "text": F.concat_ws(" ", "text", "lang", "source")}).filter("op IS NOT NULL")
+    kept.apply("2", second)
+    kept.apply("2", second)
+    return kept.totals()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup, op10_top_k_search)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_substring_dedup, op5_secret_scan, op6_token_rollups, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup, op10_top_k_search)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL where it can express a query: text and hashing without state or sketches."""
+    return {
+        "op8_warc_transactions": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+            d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+            f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+            FROM f""",
+        "op10_top_k_search": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (
+                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.c, c.c), lambda z: z[1] * z[2])) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+        "op4_substring_dedup": """
+            WITH w AS (
+                SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') END AS words FROM documents),
+            t AS (SELECT doc_id, len(words) AS n, words FROM w),
+            s AS (SELECT doc_id, n, words, unnest(range(1, n - 33)) AS at FROM t WHERE n >= 35),
+            h AS (SELECT doc_id, at, md5(array_to_string(list_slice(words, at, at + 34), ' ')) AS h FROM s),
+            r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+            c AS (SELECT DISTINCT doc_id, unnest(range(at, at + 35)) AS k FROM h JOIN r USING (h)),
+            g AS (SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id)
+            SELECT t.doc_id, n AS n_words, coalesce(len(gone), 0) AS n_removed,
+                   sha256(array_to_string(CASE WHEN gone IS NULL THEN words
+                       ELSE list_transform(list_filter(list_zip(words, range(1, n + 1)), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256
+            FROM t LEFT JOIN g USING (doc_id)""",
+    }
