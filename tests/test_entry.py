@@ -19,4 +19,3 @@ def test_entry_contract(spark):
     qs, sql = m.queries(), m.oracle_sql()
     assert set(sql) <= set(qs)
     assert all(callable(f) for f in qs.values())
-    assert not any(k.startswith("op") or "pipeline" in k for k in qs)
