@@ -107,10 +107,10 @@ def oracle_sql() -> dict[str, str]:
             WITH w AS (
                 SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') END AS words FROM documents),
             t AS (SELECT doc_id, len(words) AS n, words FROM w),
-            s AS (SELECT doc_id, n, words, unnest(range(1, n - 33)) AS at FROM t WHERE n >= 35),
-            h AS (SELECT doc_id, at, md5(array_to_string(list_slice(words, at, at + 34), ' ')) AS h FROM s),
+            s AS (SELECT doc_id, n, words, unnest(range(1, n - 33)) AS pos FROM t WHERE n >= 35),
+            h AS (SELECT doc_id, pos, md5(array_to_string(list_slice(words, pos, pos + 34), ' ')) AS h FROM s),
             r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
-            c AS (SELECT DISTINCT doc_id, unnest(range(at, at + 35)) AS k FROM h JOIN r USING (h)),
+            c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS k FROM h JOIN r USING (h)),
             g AS (SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id)
             SELECT t.doc_id, n AS n_words, coalesce(len(gone), 0) AS n_removed,
                    sha256(array_to_string(CASE WHEN gone IS NULL THEN words
