@@ -192,7 +192,10 @@ def _confirm(size: int, percent: int):
 
 
 def _across(percent: int):
-    """Members of band buckets, in blocks -> candidate pairs of different classes, each from the first band it shares."""
+    """Members of band buckets, in blocks -> per piece, each document of a candidate pair of different classes, with its partners.
+
+    A pair comes up once, in the first band it shares.
+    """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rep, comp, bucket = (rows.column(c).to_numpy() for c in ("rep", "comp", "key"))
@@ -203,7 +206,7 @@ def _across(percent: int):
         order = np.lexsort((part[:, 1], part[:, 0], bucket))
         b, p = bucket[order], part[order]
         turn = np.flatnonzero((b[1:] != b[:-1]) | (p[1:, :2] != p[:-1, :2]).any(axis=1)) + 1
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        partners: dict[int, list[np.ndarray]] = {}
         for piece in np.split(order, turn):
             i, j = part[piece[0], 0], part[piece[0], 1]
             own = part[piece, 2]
@@ -217,9 +220,44 @@ def _across(percent: int):
                 if len(other):
                     shared = keys[other] == keys[x]
                     other = other[keys[x][shared.argmax(axis=1)] == bucket[x]]
-                    out.append((np.full(len(other), rep[x]), rep[other]))
-        u, v = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"u": pa.array(np.maximum(u, v), pa.int64()), "v": pa.array(np.minimum(u, v), pa.int64())})
+                    if len(other):
+                        partners.setdefault(int(rep[x]), []).append(rep[other])
+        lists = {u: np.unique(np.concatenate(v)) for u, v in partners.items()}
+        needed = set(lists).union(*[v.tolist() for v in lists.values()]) if lists else set()
+        reps = sorted(needed)
+        none = np.zeros(0, np.int64)
+        return pa.table({
+            "piece": pa.array([key[0].as_py()] * len(reps), pa.int64()), "rep": pa.array(reps, pa.int64()),
+            "others": pa.array([lists.get(r, none) for r in reps], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _confirm_lists(size: int, percent: int):
+    """Documents of a piece with their partners -> links between different classes, as a forest: a pair already connected adds none."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        sets, _ = _row_sets(rows.column("text").combine_chunks(), size)
+        at = {r: k for k, r in enumerate(rows.column("rep").to_pylist())}
+        root = list(range(len(sets)))
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        links: list[tuple[int, int]] = []
+        for u, others in zip(rows.column("rep").to_pylist(), rows.column("others").to_pylist()):
+            a = sets[at[u]]
+            for v in others:
+                b = sets[at[v]]
+                if top(at[u]) == top(at[v]) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both and 100 * both >= percent * (len(a) + len(b) - both):
+                    links.append((max(u, v), min(u, v)))
+                    root[top(at[u])] = top(at[v])
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
 
     return run
 
@@ -273,8 +311,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         .withColumn("piece", F.pmod(F.xxhash64("key", "i", "j"), F.lit(_pieces(placed))))
         .select("piece", "key", "i", "j", "own", "rep", "comp", "n_shingles", "regs")
     )
-    pairs = across.groupBy("piece").applyInArrow(_across(percent), "u long, v long")
-    final = connected_components(star.unionByName(links(pairs.distinct())))
+    candidates = across.groupBy("piece").applyInArrow(_across(percent), "piece long, rep long, others array<long>")
+    more = candidates.join(texts, "rep").select("piece", "rep", "others", "text").groupBy("piece").applyInArrow(_confirm_lists(size, percent), "u long, v long")
+    final = connected_components(star.unionByName(more))
 
     member_of = reps.select("a", "b", "n_shingles", F.col("m.doc_id").alias("rep"))
     member_of = member_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
