@@ -132,7 +132,7 @@ class Model:
         """Per text: log counts and shares of windows that save each number of bytes, and log windows."""
         plain, both = self.compressors()
         out = []
-        for lo, hi in blocks(texts, 16 << 20):
+        for lo, hi in blocks(texts, 8 << 20):
             words = Words(texts.slice(lo, hi - lo), lower=True)
             coded = pa.array(words.hashes()).dictionary_encode()
             which = coded.indices.to_numpy()

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+PIECE = 1 << 19
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 # Byte classes. SPACED: anything but blank and \t..\r.  ALNUM: digits, a-z, non-ASCII.
@@ -91,7 +92,16 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        return mix(sliding(BYTE_CODES[self.bytes], self.starts, self.ends))
+        """A hash of each word, computed over pieces of about ``PIECE`` bytes: the working memory does not follow the block."""
+        out = np.empty(len(self), np.uint64)
+        lo = 0
+        while lo < len(out):
+            base = self.starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.ends, base + PIECE, side="right")))
+            codes = BYTE_CODES[self.bytes[base : self.ends[hi - 1]]]
+            out[lo:hi] = mix(sliding(codes, self.starts[lo:hi] - base, self.ends[lo:hi] - base))
+            lo = hi
+        return out
 
     def text_of(self) -> np.ndarray:
         """The text number of each word."""
