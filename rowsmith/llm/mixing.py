@@ -114,10 +114,11 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), cap: float = 3.0, block: in
         "doc_id", "source", "row", "key", "block",
         (F.greatest(F.col("block") * block, F.col("start")) - F.col("start")).alias("first"),
         (F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.col("start")).alias("last"))
-    pieces = cut.join(drawn, ["key", "block"])
+    # sizes after explode are not known to the planner: no broadcast
+    pieces = cut.join(drawn.hint("merge"), ["key", "block"])
 
     times = drawn.groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = cut.join(times, ["key", "block"]).groupBy("row").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
+    taken = cut.join(times.hint("merge"), ["key", "block"]).groupBy("row").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
     of_source = plan.select(F.col("source").alias("s"), "source_size", "target")
     documents = placed.join(taken, "row", "left").join(of_source, _same(F.col("source"), F.col("s")), "left")
     documents = documents.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
