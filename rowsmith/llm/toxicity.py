@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.llm.fitting import Logistic, held_out, labelled_sample
-from rowsmith.llm.words import Words, blocks
+from rowsmith.llm.words import Words, blocks, mix
 
-PER_CLASS = 2500
+PER_CLASS = 1000
 MAX_CHARS = 20_000
 DICT_BYTES = 1024
 GRAMS = range(4, 9)
@@ -38,13 +38,18 @@ LEVELS = (2, 3, 4, 5, 6, 7)
 TAIL = b" " * 16
 
 
-def _contexts(texts: list[bytes]) -> Counter:
+def _contexts(texts: list[bytes]) -> dict[bytes, int]:
     """How many distinct words each word follows."""
-    pairs: set[tuple[bytes, bytes]] = set()
-    for t in texts:
-        words = t.split()
-        pairs.update(zip([b"", *words], words))
-    return Counter(w for _, w in pairs)
+    words = Words(pa.array(texts, pa.binary()).cast(pa.string()))
+    h = words.hashes()
+    before = np.zeros(len(h), np.uint64)
+    before[1:] = h[:-1]
+    before[words.first[:-1][words.counts > 0]] = 0
+    _, once = np.unique(mix(before) + h, return_index=True)
+    _, at, counts = np.unique(h[once], return_index=True, return_counts=True)
+    at = once[at]
+    raw = words.raw.tobytes()
+    return {raw[x:y]: n for x, y, n in zip(words.starts[at].tolist(), words.ends[at].tolist(), counts.tolist())}
 
 
 def _grams(word: bytes) -> set[bytes]:
