@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from rowsmith.functions.text import DEFAULT_NULL_TOKENS, blank_class, column_label, duplicate_key, lookup_key
 from rowsmith.operators import clean, dedupe, lookup, similar, update, validate
 from rowsmith.operators.clean import SplitRule
-from rowsmith.operators.common import spread
 from rowsmith.plans.load import build_load
 from rowsmith.plans.spec import GridSlice, LoadSpec, Lookup, TargetColumn
 from rowsmith.sources import grid
@@ -39,8 +38,8 @@ def query(key: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; under-split files are spread over the cores."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """One driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # ---------------------------------------------------------------------------
@@ -398,10 +397,7 @@ def q_export_values(spark, d):
 # ---------------------------------------------------------------------------
 # S20 column labels
 # ---------------------------------------------------------------------------
-_LABEL_LETTERS = 7
-
-
-def _sql_column_label(n: str, letters: int = _LABEL_LETTERS) -> str:
+def _sql_column_label(n: str, letters: int = 7) -> str:
     parts = []
     s_k = 0
     for k in range(letters):
@@ -414,7 +410,7 @@ def _sql_column_label(n: str, letters: int = _LABEL_LETTERS) -> str:
 @query("column_labels", f"SELECT p_partkey, {_sql_column_label('(p_partkey + 1)')} AS label FROM part")
 def q_column_labels(spark, d):
     p = table(spark, d, "part").select("p_partkey")
-    return p.select("p_partkey", column_label(F.col("p_partkey") + 1, letters=_LABEL_LETTERS).alias("label"))
+    return p.select("p_partkey", column_label(F.col("p_partkey") + 1).alias("label"))
 
 
 # ---------------------------------------------------------------------------
@@ -699,7 +695,7 @@ _DOC_LIMITS = {"text": 500, "source": 4}
 def _sql_len_violation(col: str, limit: int) -> str:
     return f"""
 SELECT doc_id AS _row, '{col}' AS column, 'too_long' AS kind,
-       CASE WHEN length({col}) <= 40 THEN {col} ELSE substr({col}, 1, 37) || '...' END AS value,
+       {col} AS value,
        CAST(length({col}) AS VARCHAR) || ' > {limit} characters' AS detail
 FROM documents WHERE length({col}) > {limit}"""
 
@@ -960,7 +956,8 @@ WITH {_SQL_FEED}
 SELECT 'read' AS metric, CAST(count(*) AS BIGINT) AS value FROM s
 UNION ALL SELECT 'after_dedupe', count(*) FROM dd
 UNION ALL SELECT 'after_skip_empty', count(*) FROM dd
-UNION ALL SELECT 'written', count(*) FROM r
+UNION ALL SELECT 'written', CASE WHEN count(*) FILTER (WHERE customer_id IS NULL OR length(priority) > 8 OR length(status) > 1) > 0 THEN 0 ELSE count(*) END FROM r
+UNION ALL SELECT 'bad_value', CAST(0 AS BIGINT)
 UNION ALL SELECT 'fk_empty', count(*) FILTER (WHERE {sql_lookup_key('customer')} = '') FROM dd
 UNION ALL SELECT 'fk_not_found', count(*) FILTER (WHERE customer_id IS NULL AND {sql_lookup_key('customer')} <> '') FROM dd LEFT JOIN k ON k.k = {sql_lookup_key('dd.customer')} LEFT JOIN (SELECT _row, customer_id FROM r) rr ON rr._row = dd._row
 UNION ALL SELECT 'fk_conflict', CAST(0 AS BIGINT)
@@ -1103,6 +1100,138 @@ def q_load_lineitem(spark, d):
     return build_load(lineitem_sheet(spark, d), lineitem_spec(), tables).rows
 
 
+# ---------------------------------------------------------------------------
+# Cells the target type cannot read, row ranges, ambiguous labels
+# ---------------------------------------------------------------------------
+_SPOILED_TARGET = [TargetColumn("order_id", "bigint", nullable=False), TargetColumn("total", "numeric(12,2)"), TargetColumn("ordered_on", "date")]
+_SQL_SPOILED_ORDERS = """
+  SELECT o_orderkey AS _row, CAST(o_orderkey AS VARCHAR) AS id,
+         CASE WHEN o_orderstatus = 'P' THEN '12,50' WHEN o_orderpriority = '5-LOW' THEN 'oops' ELSE CAST(o_custkey AS VARCHAR) END AS amount,
+         CASE WHEN o_orderkey % 7 = 0 THEN '31.31.2024' WHEN o_orderkey % 7 = 1 THEN ' ' ELSE '2024-02-29' END AS day
+  FROM orders
+"""
+
+
+def _spoiled_load(spark, d):
+    o = table(spark, d, "orders")
+    sheet = o.select(
+        F.col("o_orderkey").alias("_row"), F.col("o_orderkey").cast("string").alias("id"),
+        F.when(F.col("o_orderstatus") == "P", "12,50").when(F.col("o_orderpriority") == "5-LOW", "oops").otherwise(F.col("o_custkey").cast("string")).alias("amount"),
+        F.when(F.col("o_orderkey") % 7 == 0, "31.31.2024").when(F.col("o_orderkey") % 7 == 1, " ").otherwise("2024-02-29").alias("day"),
+    )
+    spec = LoadSpec("orders_copy", _SPOILED_TARGET, mapping=[("id", "order_id"), ("amount", "total"), ("day", "ordered_on")], on_error="quarantine")
+    return build_load(sheet, spec)
+
+
+@query(
+    "load_bad_values",
+    f"""
+WITH s AS ({_SQL_SPOILED_ORDERS})
+SELECT _row, 'total' AS "column", 'bad_value' AS kind, amount AS value FROM s WHERE amount IN ('12,50', 'oops')
+UNION ALL SELECT _row, 'ordered_on', 'bad_value', day FROM s WHERE day = '31.31.2024'
+""",
+)
+def q_load_bad_values(spark, d):
+    return _spoiled_load(spark, d).violations.select("_row", "column", "kind", "value")
+
+
+@query(
+    "load_bad_values_rows",
+    f"""
+WITH s AS ({_SQL_SPOILED_ORDERS})
+SELECT _row, _row AS order_id, CAST(CAST(amount AS DECIMAL(12,2)) AS VARCHAR) AS total, CASE WHEN day = '2024-02-29' THEN day END AS ordered_on
+FROM s WHERE amount NOT IN ('12,50', 'oops') AND day <> '31.31.2024'
+""",
+)
+def q_load_bad_values_rows(spark, d):
+    return _spoiled_load(spark, d).rows.select("_row", "order_id", F.col("total").cast("string").alias("total"), F.col("ordered_on").cast("string").alias("ordered_on"))
+
+
+_SLICE = (101, 5000)
+
+
+@query("load_sliced", f"WITH {_SQL_FEED.replace(' FROM s),', f' FROM s WHERE _row BETWEEN {_SLICE[0]} AND {_SLICE[1]}),', 1)} SELECT * FROM r")
+def q_load_sliced(spark, d):
+    spec = feed_spec()
+    spec.slice = GridSlice(header_row=1, start_row=_SLICE[0], end_row=_SLICE[1])
+    return build_load(feed_sheet(spark, d), spec, {"customer": table(spark, d, "customer")}).rows
+
+
+@query(
+    "load_conflicts",
+    f"""
+WITH k AS (SELECT p_partkey, p_name, {sql_lookup_key('p_name')} AS key FROM part),
+bad AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING min(p_partkey) <> max(p_partkey))
+SELECT p_partkey AS _row, 'part' AS "column", 'fk_conflict' AS kind, p_name AS value FROM k WHERE key IN (SELECT key FROM bad)
+""",
+)
+def q_load_conflicts(spark, d):
+    """Rows that use an ambiguous label are rejected one by one in quarantine mode."""
+    part = table(spark, d, "part")
+    sheet = part.select(F.col("p_partkey").alias("_row"), F.col("p_name").alias("part"), F.col("p_size").cast("string").alias("size"))
+    spec = LoadSpec("parts", [TargetColumn("part_id", "bigint"), TargetColumn("size", "integer")], mapping=[("size", "size")],
+                    lookups=[Lookup("part_id", "part", "part", "p_partkey", "p_name")], on_error="quarantine")
+    found = build_load(sheet, spec, {"part": part}).violations
+    return found.filter("_row IS NOT NULL").select("_row", "column", "kind", "value")
+
+
+@query(
+    "replace_values_large",
+    "SELECT c_custkey, 'C' || CAST(c_custkey AS VARCHAR) AS c_name FROM customer",
+)
+def q_replace_values_large(spark, d):
+    """One dictionary entry per customer name."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    entries = c.select(F.lit("c_name").alias("column"), F.col("c_name").alias("source"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("target"))
+    return clean.replace_values(c, entries)
+
+
+@query(
+    "sequence_key_ties",
+    """
+SELECT o_orderkey, lpad(CAST(row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END NULLS FIRST, o_orderkey) AS VARCHAR), 12, '0') AS seq_key
+FROM orders
+""",
+)
+def q_sequence_key_ties(spark, d):
+    """The first order column is text with three values and NULLs."""
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("s"))
+    return clean.sequence_key(o, "seq_key", order=["s", "o_orderkey"], width=12).drop("s")
+
+
+# ---------------------------------------------------------------------------
+# Columns beyond the header, sheets with columns in another order
+# ---------------------------------------------------------------------------
+@query(
+    "grid_short_header",
+    """
+SELECT event_id + 2 AS _row, CAST(event_id AS VARCHAR) AS event, event_type AS column_2, props AS column_3 FROM events
+""",
+)
+def q_grid_short_header(spark, d):
+    e = table(spark, d, "events")
+    header = spark.createDataFrame([("events", "all", 1, ["event"])], grid.GRID_SCHEMA)
+    body = e.select(F.lit("events").alias("path"), F.lit("all").alias("sheet"), (F.col("event_id") + 2).cast("int").alias("row_idx"),
+                    F.array(F.col("event_id").cast("string"), "event_type", "props").alias("cells"))
+    return grid.sheet_table(header.unionByName(body), GridSlice(header_row=1))
+
+
+@query(
+    "grid_two_layouts",
+    """
+SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'a' ELSE 'b' END AS path, 's' AS sheet, n_nationkey + 2 AS _row, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation
+""",
+)
+def q_grid_two_layouts(spark, d):
+    n = table(spark, d, "nation")
+    header = spark.createDataFrame([("a", "s", 1, ["id", "name"]), ("b", "s", 1, ["name", "id"])], grid.GRID_SCHEMA)
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    even = F.col("n_nationkey") % 2 == 0
+    body = n.select(F.when(even, "a").otherwise("b").alias("path"), F.lit("s").alias("sheet"), (F.col("n_nationkey") + 2).cast("int").alias("row_idx"),
+                    F.when(even, F.array(key, name)).otherwise(F.array(name, key)).alias("cells"))
+    return grid.sheet_table(header.unionByName(body), GridSlice(header_row=1), keep_sheet=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

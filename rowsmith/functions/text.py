@@ -191,20 +191,23 @@ def slug(c) -> Column:
     return F.translate(_c(c), "/\\ ", "___")
 
 
-def column_label(n, letters: int = 3) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA (bijective base 26).
+# Digits that cover every positive bigint: 26 + ... + 26^14 > 2^63.
+_LABEL_DIGITS = 14
+
+
+def column_label(n) -> Column:
+    """1 -> A, 26 -> Z, 27 -> AA (bijective base 26), for every positive bigint.
 
     Digit k (from the right) exists when n > S_k = 26 + ... + 26^k and is
     ((n - S_k - 1) div 26^k) mod 26, so every digit is computed directly
-    (no nesting).  ``letters`` digits cover up to S_letters; 3 covers the
-    16,384 columns of a sheet.
+    (no nesting).
     """
     num = _c(n).cast("long")
     out = F.lit("")
     s_k = 0
-    for k in range(letters):
+    for k in range(_LABEL_DIGITS):
         p = 26**k
-        digit = F.pmod(F.floor((num - (s_k + 1)) / p).cast("long"), F.lit(26))
+        digit = F.pmod(F.call_function("div", num - F.lit(s_k + 1).cast("long"), F.lit(p).cast("long")), F.lit(26))
         out = F.concat(F.when(num > s_k, F.char(digit + 65)).otherwise(F.lit("")), out)
         s_k += 26 ** (k + 1)
     return F.when(num > 0, out)

@@ -16,13 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsmith.functions.text import is_empty, null_tokens, strip_text
-from rowsmith.operators.common import dense_row_number, maybe_broadcast, qcol, require_columns
+from rowsmith.operators.common import dense_row_number, maybe_broadcast, qcol, require_columns, spread_blank
 from rowsmith.plans.spec import SplitRule, TargetColumn
 
 ROW = "_row"
-# Dictionaries up to this many entries per column are inlined as a map literal;
-# larger ones are joined (broadcast when their size is checked small).
-MAP_LITERAL_MAX = 100
 
 
 def _string_cols(df: DataFrame) -> set[str]:
@@ -67,35 +64,42 @@ def replace_values(
     """P5: per-column exact text -> text replacement; misses keep the value.
 
     ``replacements`` is either ``{column: {source: target}}`` or a long
-    DataFrame ``column, source, target``.  Unknown columns are ignored, only
-    text cells are touched (Q6: exact match unless ``match_trimmed``).
+    DataFrame ``column, source, target``; a dictionary of any size becomes that
+    frame.  Unknown columns are ignored, only text cells are touched (Q6: exact
+    match unless ``match_trimmed``).
     """
-    text = _string_cols(df)
-    if isinstance(replacements, DataFrame):
-        if columns is None:
-            # Column names only: bounded by the width of the schema.
-            columns = [r[0] for r in replacements.select("column").distinct().collect()]
-        cols = [c for c in columns if c in text and c != ROW]
-        out = df
-        for c in cols:
-            d = replacements.filter(F.col("column") == c).select(
-                F.col("source").alias(f"__src_{c}"), F.col("target").alias(f"__tgt_{c}")
-            )
-            probe = strip_text(qcol(c)) if match_trimmed else qcol(c)
-            out = out.join(maybe_broadcast(d), probe == qcol(f"__src_{c}"), "left")
-            out = out.withColumn(c, F.coalesce(qcol(f"__tgt_{c}"), qcol(c))).drop(f"__src_{c}", f"__tgt_{c}")
-        return out
-    exprs: dict[str, Column] = {}
-    for c, mapping in replacements.items():
-        if c not in text or not mapping:
-            continue
+    return replace_and_count(df, replacements, match_trimmed=match_trimmed, columns=columns)[0]
+
+
+def replace_and_count(
+    df: DataFrame, replacements, *, match_trimmed: bool = False, columns: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """``replace_values``, and the cells replaced per column as ``metric, value`` (K6) from the same joins."""
+    text = _string_cols(df) - {ROW}
+    if not isinstance(replacements, DataFrame):
+        columns = [c for c, m in replacements.items() if m]
+        replacements = replacements_frame(df.sparkSession, replacements)
+    elif columns is None:
+        # names of this frame's text columns only: bounded by its width
+        named = replacements.select("column").filter(F.col("column").isin(sorted(text))).distinct()
+        columns = sorted(r[0] for r in named.collect())
+    cols = [c for c in columns if c in text]
+    if not cols:
+        return df, None
+    out = df
+    for i, c in enumerate(cols):
+        d = replacements.filter(F.col("column") == c).select(
+            F.col("source").alias(f"__src{i}"), F.col("target").alias(f"__tgt{i}")
+        )
         probe = strip_text(qcol(c)) if match_trimmed else qcol(c)
-        if len(mapping) <= MAP_LITERAL_MAX:
-            m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-            exprs[c] = F.coalesce(F.try_element_at(m, probe), qcol(c))
-        else:
-            raise ValueError("large dictionaries must be passed as a DataFrame")
-    return df.withColumns(exprs) if exprs else df
+        out = out.withColumn(f"__probe{i}", spread_blank(out, probe, qcol(c).isNull()))
+        out = out.join(maybe_broadcast(d), F.col(f"__probe{i}") == F.col(f"__src{i}"), "left")
+        out = out.withColumn(f"__hit{i}", F.col(f"__src{i}").isNotNull())
+        out = out.withColumn(c, F.coalesce(F.col(f"__tgt{i}"), qcol(c))).drop(f"__probe{i}", f"__src{i}", f"__tgt{i}")
+    hits = [f"__hit{i}" for i in range(len(cols))]
+    sums = out.agg(*[F.coalesce(F.sum(F.col(h).cast("long")), F.lit(0)).alias(h) for h in hits])
+    metrics = F.explode(F.array(*[F.struct(F.lit(f"replaced:{c}").alias("metric"), F.col(h).alias("value")) for c, h in zip(cols, hits)]))
+    return out.drop(*hits), sums.select(metrics.alias("x")).select("x.metric", "x.value")
 
 
 def apply_conversions(df: DataFrame, column: str, conversions: DataFrame, *, trim: bool = True, out: str | None = None) -> DataFrame:
@@ -110,8 +114,9 @@ def apply_conversions(df: DataFrame, column: str, conversions: DataFrame, *, tri
     probe = qcol(column).cast("string")
     if trim:
         probe = strip_text(probe)
-    joined = df.join(maybe_broadcast(d), probe == F.col("__csrc"), "left")
-    return joined.withColumn(out or column, F.coalesce(F.col("__ctgt"), qcol(column).cast("string"))).drop("__csrc", "__ctgt")
+    keyed = df.withColumn("__probe", spread_blank(df, probe, probe.isNull() | (probe == "")))
+    joined = keyed.join(maybe_broadcast(d), F.col("__probe") == F.col("__csrc"), "left")
+    return joined.withColumn(out or column, F.coalesce(F.col("__ctgt"), qcol(column).cast("string"))).drop("__probe", "__csrc", "__ctgt")
 
 
 # -- P6 / P7 ----------------------------------------------------------------

@@ -1,12 +1,15 @@
-"""Shared plan helpers: size-checked broadcast, dense row numbers, file row numbers, spreading."""
+"""Shared plan helpers: size-checked broadcast, dense row numbers, file row numbers, blank join keys."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowsmith.session import checkpoint_dir
+
 
 # A side is broadcast only when the optimizer's size estimate is below this
 # bound.  Above it the join stays a shuffle join, which AQE may still turn
@@ -39,48 +42,14 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFr
     return df
 
 
-def _size_conf(text: str) -> int:
-    """Spark size settings such as ``134217728b``, ``128m`` or ``1g`` in bytes."""
-    t = str(text).strip().lower().rstrip("b")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if t and t[-1] in mult:
-        return int(float(t[:-1]) * mult[t[-1]])
-    return int(float(t or 0))
-
-
-def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
-    """Round-robin a plain scan that has fewer splits than the cluster has cores.
+def spread_blank(df: DataFrame, key, blank):
+    """``key``, but where ``blank`` holds a text that matches nothing and differs from row to row.
 
-    Files written as one row group are read by one task, which leaves all
-    per-row text work (keys, trims, lookups) on one core.  Cluster-sized
-    inputs have far more splits than cores, so this is then a no-op.  Only
-    call it on a plain scan (its partition count is known without a job).
+    Blank keys are known to match nothing; as one key they would all meet in
+    one task of a shuffle join.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = estimated_bytes(df) or 0
-    if size < min_bytes:
-        return df
-    split = _size_conf(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    if size >= cores * split:
-        return df  # big enough to yield a split per core; skip asking for the partition list
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        return df
-    return df.repartition(cores) if parts < cores else df
-
-
-def _bucket_of(col, bounds: list) -> F.Column:
-    """Number of ``bounds`` (sorted) that are <= ``col``, as a binary search; NULL -> -1."""
-
-    def build(lo: int, hi: int):
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return F.when(col.isNull(), F.lit(-1)).otherwise(build(0, len(bounds)))
+    own = F.xxhash64(*([F.col(_ROW)] if _ROW in df.columns else [qcol(c) for c in df.columns]))
+    return F.when(blank, F.concat(F.lit("\u0000"), own.cast("string"))).otherwise(key)
 
 
 def dense_row_number(
@@ -93,28 +62,33 @@ def dense_row_number(
     """1-based row number by ``order_cols`` (within ``partition_cols`` groups).
 
     A plain ``row_number()`` window without PARTITION BY moves every row into
-    one task.  Instead the first (numeric) ordering column is cut into
-    quantile buckets -- the bounds are computed once, ``n - 1`` scalars -- and
-    every row's bucket is a pure function of its value.  Rows are numbered
-    inside their bucket by a window partitioned by bucket, and a small table
-    of bucket counts gives each bucket its offset.
-
-    The bounds are fixed before any branch runs, so the counts and the rows
-    always agree.  (Range partitioning would sample its bounds again in every
-    branch that is not reused, and can then disagree.)
+    one task.  Instead the rows are range-partitioned and sorted by all keys,
+    written once to the checkpoint folder with their partition and position,
+    and a small table of rows per partition (and group) gives the offsets.
+    Range bounds over all order columns split ties of the first one and NULLs;
+    rows equal in all of them share a partition, in the order they were written.
+
+    Writing first matters: range partitioning samples its bounds, and a second
+    run could place rows differently.
     """
-    first = order_cols[0]
-    n = max(2, min(num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1024))
-    probs = [i / n for i in range(1, n)]
-    raw = df.approxQuantile(first, probs, 0.001) if probs else []
-    bounds = sorted({b for b in raw if b is not None})
-    keyed = df.withColumn("__bucket", _bucket_of(qcol(first), bounds))
-    counts = keyed.groupBy(*partition_cols, "__bucket").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.partitionBy(*partition_cols).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spark = df.sparkSession
+    keys = [qcol(c).asc_nulls_first() for c in [*partition_cols, *order_cols]]
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    placed = ranged.sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rowsmith-numbered-{uuid.uuid4().hex}"
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    # the id's upper bits are the partition, the lower 33 the position in it
+    rows = rows.withColumn("__part", F.shiftright("__id", 33))
+    counts = rows.groupBy(*partition_cols, "__part").agg(F.count(F.lit(1)).alias("__cnt"), F.min("__id").alias("__first"))
+    w = Window.partitionBy(*partition_cols).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0))).drop("__cnt")
-    within = Window.partitionBy(*partition_cols, "__bucket").orderBy(*[qcol(c) for c in order_cols])
-    numbered = keyed.withColumn("__rn", F.row_number().over(within)).join(offsets, [*partition_cols, "__bucket"], "inner")
-    return numbered.withColumn(out, (F.col("__off") + F.col("__rn")).cast("long")).drop("__bucket", "__rn", "__off")
+    offsets = offsets.select(*[qcol(c).alias(f"__k{i}") for i, c in enumerate(partition_cols)], F.col("__part").alias("__p"), "__first", "__off")
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(partition_cols):
+        same = same & qcol(c).eqNullSafe(F.col(f"__k{i}"))
+    numbered = rows.join(offsets, same, "inner").withColumn(out, (F.col("__off") + F.col("__id") - F.col("__first") + 1).cast("long"))
+    return numbered.drop("__id", "__part", "__p", "__first", "__off", *[f"__k{i}" for i in range(len(partition_cols))])
 
 
 def with_source_rows(df: DataFrame, out: str = _ROW, first_row: int = 1, file_col: str = "_file") -> DataFrame:

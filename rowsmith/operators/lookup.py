@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions.text import lookup_key
 from rowsmith.operators.clean import apply_conversions
-from rowsmith.operators.common import maybe_broadcast, qcol, require_columns
+from rowsmith.operators.common import maybe_broadcast, qcol, require_columns, spread_blank
 from rowsmith.operators.validate import violations
 from rowsmith.plans.spec import Lookup
 
@@ -26,7 +26,7 @@ ROW = "_row"
 
 @dataclass
 class PreparedLookup:
-    keys: DataFrame  # key, id -- one row per key
+    keys: DataFrame  # key, id, conflict -- one row per key; conflict: the key has 2+ ids
     conflicts: DataFrame  # key, label, id -- every label of a key with 2+ ids
 
 
@@ -43,7 +43,7 @@ def prepare_lookup(pairs: DataFrame, *, trim: bool = True) -> PreparedLookup:
     keyed = pairs.filter(F.col("id").isNotNull()).withColumn("key", lookup_key("label", trim=trim))
     keyed = keyed.filter(F.col("key") != "")
     per_key = keyed.groupBy("key").agg(F.min("id").alias("id"), F.max("id").alias("__maxid"))
-    keys = per_key.select("key", "id")
+    keys = per_key.select("key", "id", (F.col("id") != F.col("__maxid")).alias("conflict"))
     bad = per_key.filter(F.col("id") != F.col("__maxid")).select("key")
     conflicts = keyed.join(bad, "key", "left_semi").select("key", "label", "id").distinct()
     return PreparedLookup(keys=keys, conflicts=conflicts)
@@ -72,8 +72,9 @@ def resolve_lookups(
     """J1 + J2 for every rule.
 
     Returns the rows with each rule's target column set to the resolved id
-    and an ``__fk_issues`` array (``fk_empty`` / ``fk_not_found``, in rule
-    order), plus the prepared dictionaries (for A6 checks).  Use
+    and an ``__fk_issues`` array (``fk_empty`` / ``fk_not_found`` /
+    ``fk_conflict`` for a label with several ids, in rule order), plus the
+    prepared dictionaries (for A6 checks).  Use
     ``split_unresolved`` to separate good rows from violations.
     """
     require_columns(df, [r.sheet_column for r in rules], "sheet")
@@ -92,8 +93,9 @@ def resolve_lookups(
         else:
             out = out.withColumn(conv_col, qcol(rule.sheet_column).cast("string"))
         out = out.withColumn(f"__key{i}", lookup_key(conv_col, trim=trim))
-        side = maybe_broadcast(keys.select(F.col("key").alias(f"__lk{i}"), F.col("id").alias(f"__id{i}")))
-        out = out.join(side, F.col(f"__key{i}") == F.col(f"__lk{i}"), "left")
+        out = out.withColumn(f"__keyp{i}", spread_blank(out, F.col(f"__key{i}"), F.col(f"__key{i}") == ""))
+        side = maybe_broadcast(keys.select(F.col("key").alias(f"__lk{i}"), F.col("id").alias(f"__id{i}"), F.col("conflict").alias(f"__idc{i}")))
+        out = out.join(side, F.col(f"__keyp{i}") == F.col(f"__lk{i}"), "left")
         out = out.withColumn(rule.target_column, F.col(f"__id{i}"))
         flags.append(
             F.when(F.col(f"__key{i}") == "", F.struct(
@@ -105,6 +107,11 @@ def resolve_lookups(
                 F.col(conv_col).alias("value"),
                 F.lit(f"not found in {rule.table}.{rule.label_column} for {rule.target_column}").alias("detail"),
                 F.lit(i).alias("ordinal")))
+            .when(F.col(f"__idc{i}"), F.struct(
+                F.lit(rule.sheet_column).alias("column"), F.lit("fk_conflict").alias("kind"),
+                F.col(conv_col).alias("value"),
+                F.lit(f"several ids in {rule.table}.{rule.label_column} for {rule.target_column}").alias("detail"),
+                F.lit(i).alias("ordinal")))
         )
     tmp = [c for c in out.columns if c.startswith(("__conv", "__key", "__lk", "__id"))]
     if flags:

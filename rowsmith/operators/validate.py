@@ -67,7 +67,7 @@ def length_issues(df: DataFrame, limits: Mapping[str, int]) -> Column:
     return F.transform(over, lambda x: F.struct(
         x["column"].alias("column"),
         F.lit("too_long").alias("kind"),
-        value_preview(x["text"]).alias("value"),
+        x["text"].alias("value"),
         F.concat(F.length(x["text"]).cast("string"), F.lit(" > "), x["limit"].cast("string"), F.lit(" characters")).alias("detail"),
     ))
 
@@ -86,6 +86,23 @@ def required_issues(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.filter(cells, lambda x: x.isNotNull())
 
 
+def bad_value_issues(cells: Sequence[tuple[str, str, str, Column, Column]]) -> Column:
+    """One issue per cell that holds something its target type cannot read.
+
+    ``cells``: source column, target column, type text, whether the source cell
+    is empty, and the cast value.
+    """
+    if not cells:
+        return _no_issues()
+    found = F.array(*[
+        F.when(~empty & cast.isNull(), F.struct(
+            F.lit(target).alias("column"), F.lit("bad_value").alias("kind"), _q(source).cast("string").alias("value"),
+            F.lit(f"cannot be read as {kind}").alias("detail")))
+        for source, target, kind, empty, cast in cells
+    ])
+    return F.filter(found, lambda x: x.isNotNull())
+
+
 def explode_issues(df: DataFrame, issues: Column, *, row_col: str = ROW) -> DataFrame:
     ex = df.select(F.col(row_col).cast("long").alias(ROW), F.explode(issues).alias("v"))
     return ex.select(ROW, "v.column", "v.kind", "v.value", "v.detail")
@@ -117,9 +134,10 @@ def first_violations(v: DataFrame, n: int = 5) -> DataFrame:
 def summarise(v: DataFrame, n: int = 5) -> str:
     """Q25: text of the first ``n`` violations plus a remaining count.
 
-    Collects ``n`` rows and one count; the full list stays a DataFrame.
+    Collects ``n`` rows, their values shortened (T8), and one count; the full
+    list, with whole values, stays a DataFrame.
     """
-    head = first_violations(v, n).collect()
+    head = first_violations(v, n).withColumn("value", value_preview("value")).collect()
     total = v.count()
     lines = [f"row {r[ROW]} column '{r['column']}': {r['kind']} {r['detail'] or ''} (value: {r['value']})" for r in head]
     if total > len(head):

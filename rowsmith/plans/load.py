@@ -20,13 +20,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rowsmith.functions.text import is_empty
 from rowsmith.operators.clean import (
     apply_defaults,
+    cast_to,
     drop_pk,
     map_columns,
     normalise_cells,
-    replace_values,
+    replace_and_count,
     skip_empty_rows,
     split_by_length,
     trim_cells,
@@ -37,6 +40,7 @@ from rowsmith.operators.lookup import conflict_violations, resolve_lookups
 from rowsmith.operators.validate import (
     LoadRejected,
     VIOLATION_COLUMNS,
+    bad_value_issues,
     empty_violations,
     explode_issues,
     length_issues,
@@ -44,7 +48,7 @@ from rowsmith.operators.validate import (
     summarise,
 )
 from rowsmith.session import checkpoint_dir
-from rowsmith.plans.spec import LoadSpec, SplitRule
+from rowsmith.plans.spec import GridSlice, LoadSpec, SplitRule
 
 ROW = "_row"
 
@@ -116,17 +120,21 @@ class LoadResult:
     def report(self) -> DataFrame:
         """``metric, value`` -- rows per stage and per violation kind."""
         spark = self.flagged.sparkSession
-        stages = {**self.stages, "written": self.rows}
         if self.observed:  # counted during materialize(): no new pass over the input
             known = [(name, self.observed[name]) for name in self.stages if name in self.observed]
             parts = [spark.createDataFrame(known, "metric string, value long")] if known else []
-            parts.append(self.rows.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit("written").alias("metric"), "value"))
         else:
             parts = [
                 st.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit(name).alias("metric"), "value")
-                for name, st in stages.items()
+                for name, st in self.stages.items()
             ]
-        kinds = ["fk_empty", "fk_not_found", "fk_conflict", "too_long", "required_null"]
+        # a rejected load writes nothing, whatever rows it holds
+        written = self.rows.agg(F.count(F.lit(1)).cast("long").alias("value"))
+        if not self.quarantine:
+            rejected = self.violations.agg((F.count(F.lit(1)) > 0).alias("rejected"))
+            written = written.join(F.broadcast(rejected)).select(F.when(F.col("rejected"), F.lit(0)).otherwise(F.col("value")).cast("long").alias("value"))
+        parts.append(written.select(F.lit("written").alias("metric"), "value"))
+        kinds = ["fk_empty", "fk_not_found", "fk_conflict", "too_long", "required_null", "bad_value"]
         by_kind = self.violations.groupBy("kind").agg(F.count(F.lit(1)).cast("long").alias("n"))
         kind_rows = spark.createDataFrame([(k,) for k in kinds], "kind string").join(by_kind, "kind", "left")
         parts.append(kind_rows.select(F.col("kind").alias("metric"), F.coalesce("n", F.lit(0)).cast("long").alias("value")))
@@ -148,22 +156,17 @@ class LoadResult:
         return self
 
 
-def _replacement_counts(df: DataFrame, reps) -> DataFrame | None:
-    """K6: cells each replacement dictionary will change (one aggregate pass)."""
-    if not isinstance(reps, Mapping):
-        return None
-    cols = [(c, m) for c, m in reps.items() if c in df.columns and m]
-    if not cols:
-        return None
-    sums = [F.sum(F.when(qcol(c).isin(list(m)), 1).otherwise(0)).cast("long").alias(f"n{i}") for i, (c, m) in enumerate(cols)]
-    agg = df.agg(*sums)
-    rows = F.explode(F.array(*[F.struct(F.lit(f"replaced:{c}").alias("metric"), F.col(f"n{i}").alias("value"))
-                               for i, (c, _) in enumerate(cols)]))
-    return agg.select(rows.alias("x")).select("x.metric", F.coalesce("x.value", F.lit(0)).cast("long").alias("value"))
-
-
-def _replacement_cols(replacements) -> dict:
-    return {c: m for c, m in replacements.items() if m} if isinstance(replacements, Mapping) else replacements
+def sliced(sheet: DataFrame, g: GridSlice) -> DataFrame:
+    """S5/S6 on a sheet table: the physical rows and the columns, by position, that the plan names."""
+    want = g.corrected()
+    if g.start_row is not None:
+        sheet = sheet.filter(F.col(ROW) >= want.start_row)
+    if want.end_row is not None:
+        sheet = sheet.filter(F.col(ROW) <= want.end_row)
+    if g.start_col is not None or want.end_col is not None:
+        cells = [c for c in sheet.columns if c != ROW][want.start_col - 1 : want.end_col]
+        sheet = sheet.select(ROW, *[qcol(c) for c in cells])
+    return sheet
 
 
 def build_load(
@@ -194,17 +197,16 @@ def build_load(
         observations[name] = obs
         return frame.observe(obs, F.count(F.lit(1)).alias("n"))
 
-    sheet = stage("read", sheet)
+    # 1: the rows and columns asked for
+    sheet = stage("read", sliced(sheet, spec.slice))
     stages: dict[str, DataFrame] = {"read": sheet}
     df = sheet
     # 2-3: trim, replacements
     if spec.trim_whitespace:
         df = trim_cells(df)
     extra = None
-    if spec.replacements:
-        reps = _replacement_cols(spec.replacements)
-        extra = _replacement_counts(df, reps)
-        df = replace_values(df, reps)
+    if isinstance(spec.replacements, DataFrame) or spec.replacements:
+        df, extra = replace_and_count(df, spec.replacements)
     # 4: split by length
     split_col = None
     if spec.split is not None:
@@ -220,13 +222,17 @@ def build_load(
     df = stage("after_skip_empty", skip_empty_rows(df, [s for s, _ in mapping]))
     stages["after_skip_empty"] = df
     fk_src = {f"__fk{i}": lk.sheet_column for i, lk in enumerate(spec.lookups)}
-    projected = map_columns(df.withColumns({h: qcol(s) for h, s in fk_src.items()}), mapping, spec.columns, keep=[ROW, *fk_src])
+    types = {c.name: c for c in spec.columns}
+    bad = bad_value_issues([
+        (s, t, types[t].type, is_empty(s), cast_to(qcol(s), types[t].spark_type))
+        for s, t in mapping if t in types and not isinstance(types[t].spark_type, T.StringType)])
+    projected = map_columns(df.withColumns({"__bad": bad, **{h: qcol(s) for h, s in fk_src.items()}}), mapping, spec.columns, keep=[ROW, "__bad", *fk_src])
     projected = normalise_cells(projected)
     # 8: defaults for unmapped targets
     projected = apply_defaults(projected, spec.defaults, spec.columns)
     # 9: FK lookups on surviving rows
     table_viol = empty_violations(spark)
-    issues = []
+    issues = [F.col("__bad")]
     if spec.lookups:
         rules = [
             type(lk)(lk.target_column, f"__fk{i}", lk.table, lk.id_column, lk.label_column)
@@ -252,9 +258,7 @@ def build_load(
     if spec.operation == "insert":
         req = [c.name for c in spec.columns if not c.nullable and c.name != spec.generated_pk]
         issues.append(required_issues(projected, req))
-    flagged = projected.withColumn("__issues", F.concat(*issues) if len(issues) > 1 else issues[0])
-    if "__fk_issues" in flagged.columns:
-        flagged = flagged.drop("__fk_issues")
+    flagged = projected.withColumn("__issues", F.concat(*issues)).drop("__bad", "__fk_issues")
     result = LoadResult(flagged=flagged, table_violations=table_viol, quarantine=spec.on_error == "quarantine",
                         stages=stages, spec=spec, split_column=split_col, extra_metrics=extra)
     result._rebuild = lambda obs: build_load(sheet_in, spec, tables, conversions=conversions, validate_spec=False, observations=obs)

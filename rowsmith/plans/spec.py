@@ -6,6 +6,7 @@ constants.  No data passes through them.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any, Optional
 
@@ -19,6 +20,34 @@ class SpecError(ValueError):
     """The load plan is inconsistent; raised before any Spark job runs."""
 
 
+# Whole type names, as catalogs and Spark report them.
+_BOOLEANS = {"bool", "boolean"}
+_DATES = {
+    "date", "time", "timetz", "timestamp", "timestamptz", "datetime", "timestamp_ntz", "timestamp_ltz",
+    "time with time zone", "time without time zone", "timestamp with time zone", "timestamp without time zone",
+}
+_SPARK_TYPES: dict[str, T.DataType] = {
+    **{n: T.BooleanType() for n in _BOOLEANS},
+    **{n: T.LongType() for n in ("bigint", "int8", "long", "bigserial", "serial8")},
+    **{n: T.IntegerType() for n in ("int", "integer", "int4", "serial", "serial4")},
+    **{n: T.ShortType() for n in ("smallint", "int2", "short", "smallserial", "serial2")},
+    **{n: T.DoubleType() for n in ("double precision", "double", "float", "float4", "float8", "real")},
+    **{n: T.TimestampNTZType() for n in ("timestamp", "timestamp without time zone", "timestamp_ntz", "datetime")},
+    **{n: T.TimestampType() for n in ("timestamp with time zone", "timestamptz", "timestamp_ltz")},
+    "date": T.DateType(),
+}
+
+
+def type_parts(text: str) -> tuple[str, Optional[int], Optional[int]]:
+    """A type text as name, precision and scale: ``numeric(12,2)``, ``timestamp(3) with time zone``."""
+    t = " ".join(text.lower().split())
+    m = re.fullmatch(r"([^()]*?)\s*\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)\s*([^()]*)", t)
+    if not m:
+        return t, None, None
+    name = f"{m[1]} {m[4]}".strip()
+    return name, int(m[2]), int(m[3]) if m[3] else None
+
+
 @dataclass(frozen=True)
 class TargetColumn:
     """One column of the target table."""
@@ -31,44 +60,21 @@ class TargetColumn:
 
     @property
     def kind(self) -> str:
-        """``bool`` / ``date`` / ``text`` from the type text."""
-        t = self.type.lower()
-        if "bool" in t:
+        """``bool`` / ``date`` / ``text`` from the type name."""
+        name, _, _ = type_parts(self.type)
+        if name in _BOOLEANS:
             return "bool"
-        if "date" in t or "time" in t:
-            return "date"
-        return "text"
+        return "date" if name in _DATES else "text"
 
     @property
     def spark_type(self) -> T.DataType:
-        """Spark type used to cast mapped cells and defaults (Q18)."""
-        t = self.type.lower()
-        if "bool" in t:
-            return T.BooleanType()
-        if "with time zone" in t or "timestamptz" in t:
-            return T.TimestampType()
-        if "timestamp" in t or "datetime" in t:
-            return T.TimestampNTZType()
-        if t.startswith("time"):
-            return T.StringType()
-        if "date" in t:
-            return T.DateType()
-        if "bigint" in t or "int8" in t or t in ("long",):
-            return T.LongType()
-        if "smallint" in t or "int2" in t:
-            return T.ShortType()
-        if "int" in t:
-            return T.IntegerType()
-        if "numeric" in t or "decimal" in t:
-            import re
-
-            m = re.search(r"\((\d+)\s*,\s*(\d+)\)", t)
-            if m:
-                return T.DecimalType(int(m.group(1)), int(m.group(2)))
-            return T.DecimalType(38, 10)
-        if "double" in t or "float" in t or "real" in t:
-            return T.DoubleType()
-        return T.StringType()
+        """Spark type used to cast mapped cells and defaults (Q18); an unknown type stays text."""
+        name, precision, scale = type_parts(self.type)
+        if name in ("numeric", "decimal"):
+            if precision is None:
+                return T.DecimalType(38, 10)
+            return T.DecimalType(min(precision, 38), min(scale or 0, 38))
+        return _SPARK_TYPES.get(name, T.StringType())
 
 
 @dataclass(frozen=True)
@@ -282,8 +288,6 @@ def target_columns_from_schema(
         type_text = declared or f.dataType.simpleString()
         max_len = None
         if declared:
-            import re
-
             m = re.search(r"\((\d+)\)", declared)
             max_len = int(m.group(1)) if m else None
         out.append(TargetColumn(

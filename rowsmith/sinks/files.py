@@ -25,8 +25,19 @@ ROW = "_row"
 CSV_EXACT = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def export_csv(df: DataFrame, path: str, *, mode: str = "errorifexists", keep_row: bool = False) -> None:
-    """K3: header line, no index; booleans and dates as text."""
+def _accepted(source: LoadResult | DataFrame) -> DataFrame:
+    """The rows to write: of a load, computed once and checked (V6) before anything is written."""
+    if isinstance(source, DataFrame):
+        return source
+    source.materialize()
+    if source.spec is not None and source.spec.on_error == "fail":
+        source.check()
+    return source.rows
+
+
+def export_csv(source: LoadResult | DataFrame, path: str, *, mode: str = "errorifexists", keep_row: bool = False) -> None:
+    """K3: header line, no index; booleans and dates as text (P15).  A rejected load writes nothing."""
+    df = _accepted(source)
     out = df if keep_row else df.drop(ROW)
     export_values(out).write.mode(mode).options(**CSV_EXACT).csv(path)
 
@@ -75,10 +86,9 @@ def insert_rows(result: LoadResult, path: str, *, fmt: str = "parquet", generate
     spark = rows.sparkSession
     if generate_key:
         if key_start is None:
-            try:
+            cur = None  # no table yet; any other failure to read it is an error
+            if path_exists(spark, path):
                 cur = spark.read.format(fmt).load(path).agg(F.max(F.col(generate_key).cast("long"))).first()[0]
-            except Exception:  # noqa: BLE001 - no table yet
-                cur = None
             key_start = int(cur or 0)
         rows = sequence_key(rows, generate_key, start=key_start, width=key_width)
     obs = Observation("insert")
@@ -87,12 +97,18 @@ def insert_rows(result: LoadResult, path: str, *, fmt: str = "parquet", generate
     return WriteReport(records=int(obs.get.get("n", 0)))
 
 
-def update_table(target_path: str, source: DataFrame, key: str, out_path: str, *, columns=None, fmt: str = "parquet") -> WriteReport:
+def path_exists(spark, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def update_table(target_path: str, source: LoadResult | DataFrame, key: str, out_path: str, *, columns=None, fmt: str = "parquet") -> WriteReport:
     """K2 on a table folder: J4 semantics, written as a new version at ``out_path``.
 
-    Reports both the number of source records (what the reference returned)
-    and the number of target rows changed (Q11 fix).
+    A rejected load writes nothing.  Reports both the number of source records
+    (what the reference returned) and the number of target rows changed (Q11 fix).
     """
+    source = _accepted(source)
     spark = source.sparkSession
     target = spark.read.format(fmt).load(target_path)
     new = update_by_key(target, source, key, columns)

@@ -9,6 +9,7 @@ job: per-sheet facts (used range, header row) are aggregates grouped by
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain, count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,24 +35,18 @@ UNNAMED = "unnamed:"
 def _mangle_repeats(raw: Sequence[str], unnamed: Sequence[int] = ()) -> list[str]:
     """Repeated header texts as the spreadsheet reader delivers them.
 
-    Public pandas reader behaviour: named cells are handled before empty ones
-    (``Unnamed: <i>``); the k-th repeat of ``A`` becomes ``A.k``, and a
-    candidate that already stands in the header moves on to the next k.
+    The first cell with a text keeps it; every other one takes the smallest
+    suffix ``.1``, ``.2``, ... whose result no cell has yet.  Named cells come
+    before empty ones (``Unnamed: <i>``).
     """
-    names = list(raw)
-    empty = set(unnamed)
-    order = [i for i in range(len(names)) if i not in empty] + sorted(empty)
-    seen: dict[str, int] = {}
-    for i in order:
-        base = names[i]
-        name = base
-        k = seen.get(base, 0)
-        while k > 0:
-            seen[base] = k + 1
-            name = f"{base}.{k}"
-            k = k + 1 if name in names else seen.get(name, 0)
-        names[i] = name
-        seen[name] = 1
+    blank = set(unnamed)
+    cells: dict[str, list[int]] = {}
+    for i in sorted(range(len(raw)), key=lambda i: (i in blank, i)):
+        cells.setdefault(raw[i], []).append(i)
+    taken, names = set(raw), list(raw)
+    for i, base in sorted(((i, base) for base, at in cells.items() for i in at[1:]), key=lambda x: (x[0] in blank, x[0])):
+        names[i] = next(name for name in (f"{base}.{k}" for k in count(1)) if name not in taken)
+        taken.add(names[i])
     return names
 
 
@@ -62,26 +57,15 @@ def header_names(cells: Sequence[object], prefix: str = DEFAULT_PREFIX) -> list[
     strip; empty or ``Unnamed:*`` -> ``<prefix><position>``; a name equal to
     an earlier one -> ``<name>_<n>`` with the first unused n >= 2 (Q4 fix).
     """
-    empty = [i for i, c in enumerate(cells) if c is None or str(c) == ""]
-    raw = [f"Unnamed: {i}" if i in empty else str(c) for i, c in enumerate(cells)]
-    names: list[str] = []
-    used: set[str] = set()
-    seen: dict[str, int] = {}
-    for idx, col in enumerate(_mangle_repeats(raw, empty), start=1):
-        name = col.strip()
-        if not name or name.lower().startswith(UNNAMED):
-            name = f"{prefix}{idx}"
-        if name in used:
-            n = seen.get(name, 1) + 1
-            while f"{name}_{n}" in used:
-                n += 1
-            seen[name] = n
-            name = f"{name}_{n}"
-        else:
-            seen.setdefault(name, 1)
-        used.add(name)
-        names.append(name)
-    return names
+    texts = ["" if c is None else str(c) for c in cells]
+    blank = [i for i, t in enumerate(texts) if t == ""]
+    read = _mangle_repeats([t or f"Unnamed: {i}" for i, t in enumerate(texts)], blank)
+    names: dict[str, None] = {}  # ordered and unique
+    for position, text in enumerate(map(str.strip, read), start=1):
+        base = f"{prefix}{position}" if text == "" or text.lower().startswith(UNNAMED) else text
+        choices = chain([base], (f"{base}_{n}" for n in count(2)))
+        names[next(c for c in choices if c not in names)] = None
+    return list(names)
 
 
 def header_names_col(cells, prefix: str = DEFAULT_PREFIX):
@@ -143,6 +127,19 @@ def header_row_cells(grid: DataFrame, g: GridSlice, path: str | None = None, she
     return list(row["c"]) if row is not None and row["c"] is not None else []
 
 
+def sheet_layouts(grid: DataFrame, rows: DataFrame, g: GridSlice, prefix: str = DEFAULT_PREFIX) -> list[tuple[list, list[str]]]:
+    """The distinct header rows of the sheets and their column names (S7), as wide as the data below.
+
+    Only distinct headers reach the driver, not one per sheet.
+    """
+    cells = _col_slice(F.col("cells"), g)
+    headers = grid.filter(F.col("row_idx") == g.header_row).select(cells.alias("c")).filter(F.col("c").isNotNull()).distinct().collect()
+    width = rows.agg(F.max(_last_nonnull_index(cells))).first()[0] or 0
+    found = [list(r["c"]) for r in headers]
+    wide = [h + [None] * (int(width) - len(h)) for h in found]
+    return sorted(((h, header_names(w, prefix)) for h, w in zip(found, wide)), key=lambda x: [str(c) for c in x[0]])
+
+
 def sheet_table(
     grid: DataFrame,
     g: GridSlice,
@@ -159,16 +156,28 @@ def sheet_table(
     end``, empty rows do not shift the cut); columns by position (S6).
     Cells equal to a missing-value token become NULL first (S14), so rows
     holding only such tokens are dropped as empty (S8).
-    ``names`` defaults to the normalised header row of the grid (which must
-    then hold one sheet, or sheets of one layout).
+    ``names`` defaults to the normalised header row of each sheet.  Data columns
+    beyond the header's last cell get placeholder names.  Sheets may order their
+    columns differently: cells are matched by name, and a sheet with another set
+    of names is an error.
     """
     g = g.corrected()
-    if names is None:
-        names = header_names(header_row_cells(grid, g), prefix)
     rows = grid.filter(F.col("row_idx") >= g.start_row)
     if g.end_row is not None:
         rows = rows.filter(F.col("row_idx") <= g.end_row)
     cells = _col_slice(F.col("cells"), g)
+    if names is None:
+        layouts = sheet_layouts(grid, rows, g, prefix)
+        names = layouts[0][1] if layouts else []
+        for header, other in layouts[1:]:
+            if set(other) != set(names):
+                raise ValueError(f"sheets differ in their columns: {sorted(set(other) ^ set(names))}")
+        if len(layouts) > 1:
+            headers = grid.filter(F.col("row_idx") == g.header_row).select(*SHEET_KEYS, _col_slice(F.col("cells"), g).alias("__header"))
+            rows = rows.join(maybe_broadcast(headers), SHEET_KEYS)
+            order = [F.when(F.col("__header").eqNullSafe(F.array(*[F.lit(c).cast("string") for c in header])), F.array(
+                *[F.lit(other.index(n) + 1) for n in names])) for header, other in layouts]
+            cells = F.transform(F.coalesce(*order), lambda i: F.try_element_at(cells, i))
     cells_at = [F.try_element_at(cells, F.lit(i + 1)) for i in range(len(names))]
     if tokens:  # S14: the reader's missing-value texts become NULL (header cells keep their text)
         cells_at = [null_tokens(c, tokens) for c in cells_at]

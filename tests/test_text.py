@@ -58,7 +58,7 @@ def test_is_empty_and_null_tokens(spark):
 def test_column_labels(spark):
     ns = [1, 2, 26, 27, 52, 53, 702, 703, 16384, 18278, 18279, 475254]
     df = spark.createDataFrame([(n,) for n in ns], "n long")
-    got = [r.l for r in df.select(T.column_label("n", letters=4).alias("l")).collect()]
+    got = [r.l for r in df.select(T.column_label("n").alias("l")).collect()]
     assert got == [col_name(n) for n in ns]
     assert got[8] == "XFD"
 
