@@ -32,8 +32,8 @@ from rowsmith.llm.words import Words, blocks, mix
 PER_CLASS = 1000
 MAX_CHARS = 20_000
 DICT_BYTES = 1024
-GRAMS = range(4, 9)
-RATIO = 30
+GRAMS = range(4, 13)
+RATIO = 15
 LEVELS = (2, 3, 4, 5, 6, 7)
 TAIL = b" " * 16
 
