@@ -123,6 +123,9 @@ class Model:
         yc = y[check].astype(float)
         weight = np.where(yc == 1, totals.get(1, 0) / max(1, (yc == 1).sum()), totals.get(0, 0) / max(1, (yc == 0).sum()))
         self.logistic = Logistic(x, yc, weight / max(weight.sum(), 1e-9) * len(yc))
+        if not (y == 1).any():  # no toxic text to learn from: nothing counts as toxic
+            self.logistic.w[:] = 0
+            self.logistic.w[-1] = -5.0
 
     def compressors(self):
         options = zstandard.ZstdCompressionParameters(
@@ -177,6 +180,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
 
     The score, from 0 to 1, rises with the likelihood of label 1. A null text
     scores as an empty one. Repeated rows score alike; an empty table gives none.
+    A model fitted without any toxic text scores everything near 0.
     """
     cols = carry or docs.columns
     src = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), F.col(text_col).cast("string").alias("text"))
