@@ -78,7 +78,8 @@ def test_length_violations_and_summary(spark):
     got = sorted((r._row, r.column) for r in v.collect())
     assert got == [(i, "code") for i in range(2, 9)] + [(21, "code"), (21, "note")]
     note = [r for r in v.collect() if r.column == "note"][0]
-    assert note.value == "y" * 37 + "..." and note.detail == "50 > 40 characters"
+    assert note.value == "y" * 50 and note.detail == "50 > 40 characters"
+    assert "y" * 37 + "..." in validate.summarise(v, 20) and "y" * 38 not in validate.summarise(v, 20)
     text = validate.summarise(v, 5)
     assert text.count("\n") == 5 and text.endswith("...and 4 more")
     first = [r._row for r in validate.first_violations(v, 5).collect()]
