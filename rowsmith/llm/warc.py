@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm.frames import scratch, shard_of
 
-FILE_BYTES = 32 << 20
+FILE_BYTES = 8 << 20
 MIN_REVISIT = 100
 END = "\r\n"
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, fields map<string,string>, payload binary"
@@ -130,25 +130,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: the response or revisit, with the request and metadata concurrent to it.
 
-    ``capture, target_uri, response, request, metadata, copies``. Records with
+    ``capture, target_uri, copies, response, request, metadata``. Records with
     one id are equal and count once; ``copies`` tells how many responses had the
     id. A response without request or metadata has null there; a record that is
     concurrent to no response is left out, as it belongs to no capture.
     """
-    answers = records.filter(F.col("type").isin("response", "revisit"))
-    fields = ["type", "target_uri", "refers_to", "payload_digest", "payload"]
-    size = F.octet_length("payload")
-    sha = F.when(F.col("type") == "response", F.sha2("payload", 256))
-    answers = answers.groupBy("record_id").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in fields])
-    answers = answers.select(
-        F.col("record_id").alias("capture"), "target_uri", "copies",
-        F.struct("type", "refers_to", "payload_digest", size.alias("payload_bytes"), sha.alias("payload_sha256"), "payload").alias("response"))
-
-    def beside(kind: str) -> DataFrame:
-        own = records.filter((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
-        return own.groupBy(F.col("concurrent_to").alias("capture")).agg(F.first(F.struct("record_id", "target_uri", "fields")).alias(kind))
-
-    return answers.join(beside("request"), "capture", "left").join(beside("metadata"), "capture", "left")
+    kind, answer = F.col("type"), F.col("type").isin("response", "revisit")
+    capture = F.when(answer, F.col("record_id")).when(kind.isin("request", "metadata"), F.col("concurrent_to"))
+    # length and hash are taken before the shuffle, so payloads move only where a caller asks for them
+    own = records.select(
+        "*", capture.alias("capture"), F.octet_length("payload").alias("payload_bytes"), F.when(kind == "response", F.sha2("payload", 256)).alias("payload_sha256"))
+    fields = ["refers_to", "payload_digest", "payload_bytes", "payload_sha256", "payload"]
+
+    def first_of(which: Column, value: Column) -> Column:
+        return F.first(F.when(which, value), ignorenulls=True)
+
+    beside = F.struct("record_id", "target_uri", "fields")
+    found = own.filter("capture IS NOT NULL").groupBy("capture").agg(
+        F.count_if(answer).alias("copies"), first_of(answer, kind).alias("kind"), first_of(answer, F.col("target_uri")).alias("uri"),
+        *[first_of(answer, F.col(c)).alias(c) for c in fields], *[first_of(kind == k, beside).alias(k) for k in ("request", "metadata")])
+    return found.filter("copies > 0").select(
+        "capture", F.col("uri").alias("target_uri"), "copies", F.struct(F.col("kind").alias("type"), *fields).alias("response"), "request", "metadata")
 
 
 def captures(pages: DataFrame, **options) -> DataFrame:
