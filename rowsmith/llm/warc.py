@@ -3,13 +3,14 @@
 Per page a request, a response (or revisit) and a metadata record are written;
 request and metadata name the response's record id in WARC-Concurrent-To. A
 record ends with two line ends, which the text writer puts as its separator, so
-the files are plain WARC/1.1 in any store Spark can write. Files are read whole
-(``binaryFile``), so their number follows the payload size, and records are cut
-by Content-Length.
+the files are WARC/1.1, each one gzip member, in any store Spark can write. Files
+are read whole (``binaryFile``), so their number follows the payload size, and
+records are cut by Content-Length.
 """
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm.frames import scratch, shard_of
 
-FILE_BYTES = 8 << 20
+FILE_BYTES = 16 << 20  # before compression
 MIN_REVISIT = 100
 END = "\r\n"
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, fields map<string,string>, payload binary"
@@ -70,11 +71,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     n = max(1, -(-total // file_bytes))
     spread = rows.repartition(n, shard_of(n, "page", "capture"))
     records = spread.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", END + END).text(path)
+    records.write.options(lineSep=END + END, compression="gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """Records of one WARC file."""
+    """Records of one WARC file, plain or gzip."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while (head_end := data.find(b"\r\n\r\n", at)) >= 0:
         lines = data[at:head_end].decode().split("\r\n")

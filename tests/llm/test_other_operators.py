@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 from collections import defaultdict
@@ -124,6 +125,7 @@ def test_warc(spark, tmp):
 def test_warc_rejects_broken_files():
     good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     assert len(list(warc.parse_records(good * 3))) == 3
+    assert list(warc.parse_records(gzip.compress(good) + gzip.compress(good))) == list(warc.parse_records(good * 2))
     for bad in (good[:-8], b"junk\r\n\r\n" + good):
         with pytest.raises(ValueError):
             list(warc.parse_records(bad))
