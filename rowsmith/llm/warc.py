@@ -4,7 +4,7 @@ Per page a request, a response (or revisit) and a metadata record are written;
 request and metadata name the response's record id in WARC-Concurrent-To. A
 record ends with two line ends, which the text writer puts as its separator, so
 the files are WARC/1.1, each one gzip member, in any store Spark can write. Files
-are read whole (``binaryFile``), so their number follows the payload size, and
+are read whole (``binaryFile``), so the records per file follow the mean size, and
 records are cut by Content-Length.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm.frames import scratch, shard_of
+from rowsmith.llm.frames import scratch, written
 
 FILE_BYTES = 16 << 20  # before compression
 MIN_REVISIT = 100
@@ -50,28 +50,30 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("capture", F.sha2(F.concat_ws("\n", F.coalesce("page", F.lit("-")), "uri", "digest"), 256))
     # the smallest id of each payload, as a number where ids are numbers; ties by capture
     rank = F.struct(F.col("page").isNull(), F.expr("try_cast(page AS decimal(38,0))"), F.col("page"), F.col("capture"))
-    firsts = rows.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min(rank).alias("m"), F.count(F.lit(1)).alias("copies"))
+    small = written(rows.filter(F.col("bytes") >= min_revisit).select("digest", "capture", rank.alias("rank")), "warc-digests")
+    firsts = small.groupBy("digest").agg(F.min("rank").alias("m"), F.count(F.lit(1)).alias("copies"))
     firsts = firsts.filter("copies > 1").select("digest", F.col("m.capture").alias("first"))
-    rows = rows.join(firsts, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("first") != F.col("capture"))
+    # payloads move once, by capture, so rows with one payload spread out
+    again = small.join(firsts, "digest").filter("first <> capture").select("capture", "first").distinct()
+    rows = rows.join(again, "capture", "left")
+    revisit = F.col("first").isNotNull()
     rid = F.concat(F.lit("urn:capture:"), F.col("capture"), F.lit(":response"))
     first_id = F.concat(F.lit("<urn:capture:"), F.col("first"), F.lit(":response>"))
     status = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END + END))
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
     uri = F.col("uri")
     response = _head("response", rid, uri, "application/http;msgtype=response", [("WARC-Payload-Digest", digest)], F.concat(status, F.col("payload")))
-    again = _head("revisit", rid, uri, "application/http;msgtype=response", [
+    repeat = _head("revisit", rid, uri, "application/http;msgtype=response", [
         ("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", first_id)], status)
     to = [("WARC-Concurrent-To", F.concat(F.lit("<"), rid, F.lit(">")))]
     ask = F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END}User-Agent: rowsmith{END}{END}"))
     request = _head("request", F.concat(F.lit("urn:capture:"), F.col("capture"), F.lit(":request")), uri, "application/http;msgtype=request", to, ask)
     about = F.concat_ws(END, F.concat(F.lit("pageId: "), F.col("page")), F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string")), F.lit(""))
     metadata = _head("metadata", F.concat(F.lit("urn:capture:"), F.col("capture"), F.lit(":metadata")), uri, "application/warc-fields", to, about)
-    total = pages.agg(F.coalesce(F.sum(F.octet_length(payload) + 2000), F.lit(0)).cast("long")).first()[0]
-    n = max(1, -(-total // file_bytes))
-    spread = rows.repartition(n, shard_of(n, "page", "capture"))
-    records = spread.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
-    records.write.options(lineSep=END + END, compression="gzip").text(path)
+    count, total = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(payload) + 2000), F.lit(0)).cast("long")).first()
+    per_file = max(3, 3 * file_bytes * count // max(1, total))
+    records = rows.select(F.explode(F.array(request, F.when(revisit, repeat).otherwise(response), metadata)).alias("value"))
+    records.write.options(lineSep=END + END, compression="gzip", maxRecordsPerFile=per_file).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
