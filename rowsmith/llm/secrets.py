@@ -1,4 +1,6 @@
-"""Secret scans in DataFrame functions: patterns, and sliding-window entropy over candidate strings.
+"""Secret scans in DataFrame functions: patterns, and sliding-window entropy over the runs of each
+character class in candidate strings: a window is judged by the narrowest class it
+lies in, and the whole run is the secret.
 
 Positions come from the pieces between the matches: match i begins after the
 first i + 1 pieces and i matches. The entropy of a window of ``WINDOW``
@@ -24,7 +26,9 @@ ASSIGN_LENGTH = 12
 
 WINDOW = 20
 CANDIDATE = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: Character classes, the first that fits counts: pattern and least entropy of a window in bits.
+#: Runs of each character class in a candidate. A run with a dense window is reported whole.
+RUNS = tuple(f"[{c}]{{{WINDOW},}}" for c in ("0-9a-fA-F", "A-Za-z0-9", "A-Za-z0-9+/_=-"))
+#: Classes of runs, the first that fits counts: pattern and least entropy of a window in bits.
 CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9]+$", 3.7), ("^[A-Za-z0-9+/_=-]+$", 3.9))
 #: Candidates that are never secrets: words in any joining, numbers, UUIDs, documented examples.
 ALLOW = (
@@ -64,10 +68,9 @@ def _count(s: Column, ch: Column) -> Column:
     return (F.length(s) - F.length(F.replace(s, ch, F.lit("")))).cast("double")
 
 
-def _dense_part(s: Column, least: Column) -> Column:
-    """First and last window of ``s`` with at least ``least`` bits, as offsets start and end; start is null if there is none."""
-    none = F.lit(None).cast("long")
-    begin = F.struct(F.lit(0.0).alias("sum"), none.alias("start"), none.alias("end"))
+def _is_dense(s: Column, least: Column) -> Column:
+    """Whether a window of ``s`` has at least ``least`` bits."""
+    begin = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("lowest"))
 
     def step(acc: Column, i: Column) -> Column:
         last = F.substr(s, F.greatest(i - WINDOW, F.lit(0)) + 1, F.least(i, F.lit(WINDOW)))  # the window so far
@@ -76,28 +79,38 @@ def _dense_part(s: Column, least: Column) -> Column:
         came = F.substr(s, i + 1, F.lit(1))
         gone, there = _count(last, out), _count(rest, came)
         total = acc["sum"] - F.when(full, _weight(gone) - _weight(gone - 1)).otherwise(F.lit(0.0)) + _weight(there + 1) - _weight(there)
-        dense = (i >= WINDOW - 1) & (F.log2(F.lit(float(WINDOW))) - total / WINDOW >= least - 1e-9)
-        return F.struct(
-            total.alias("sum"),
-            F.when(dense & acc["start"].isNull(), (i - (WINDOW - 1)).cast("long")).otherwise(acc["start"]).alias("start"),
-            F.when(dense, (i + 1).cast("long")).otherwise(acc["end"]).alias("end"))
+        return F.struct(total.alias("sum"), F.when(i >= WINDOW - 1, F.least(acc["lowest"], total)).otherwise(acc["lowest"]).alias("lowest"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), begin, step, lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
+    return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), begin, step, lambda acc: F.log2(F.lit(float(WINDOW))) - acc["lowest"] / WINDOW >= least - 1e-9)
 
 
-def _entropy_spans(strings: Column, at: Column, allow: tuple) -> Column:
-    pairs = F.arrays_zip(strings.alias("s"), at.alias("at"))
-    if allow:
-        pairs = F.filter(pairs, lambda x: ~F.rlike(x["s"], F.lit("|".join(f"(?:{p})" for p in allow))))
+def _runs(s: Column) -> Column:
+    """The runs of every class in ``s`` with their offsets, each once."""
+    found = []
+    for pattern in RUNS:
+        texts = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+        found.append(F.transform(F.arrays_zip(texts.alias("s"), _positions(s, pattern, texts).alias("at")), lambda x: F.struct(
+            x["at"]["start"].alias("start"), x["at"]["end"].alias("end"), x["s"].alias("s"))))
+    return F.array_distinct(F.concat(*found))
+
 
+def _entropy_spans(strings: Column, at: Column, allow: tuple) -> Column:
     def dense(x: Column) -> Column:
         least = F.lit(CLASSES[-1][1])
         for pattern, bits in reversed(CLASSES[:-1]):
             least = F.when(F.rlike(x["s"], F.lit(pattern)), F.lit(bits)).otherwise(least)
-        return F.struct(x["at"]["start"].alias("at"), _dense_part(x["s"], least).alias("part"))
+        return _is_dense(x["s"], least)
+
+    def spans(x: Column) -> Column:
+        found = F.filter(_runs(x["s"]), dense)
+        return F.transform(found, lambda r: F.struct((x["at"]["start"] + r["start"]).alias("start"), F.lit(3).alias("kind"), (x["at"]["start"] + r["end"]).alias("end")))
 
-    found = F.filter(F.transform(pairs, dense), lambda x: x["part"]["start"].isNotNull())
-    return F.transform(found, lambda x: F.struct((x["at"] + x["part"]["start"]).alias("start"), F.lit(3).alias("kind"), (x["at"] + x["part"]["end"]).alias("end")))
+    pairs = F.arrays_zip(strings.alias("s"), at.alias("at"))
+    if allow:
+        pairs = F.filter(pairs, lambda x: ~F.rlike(x["s"], F.lit("|".join(f"(?:{p})" for p in allow))))
+    found = F.transform(pairs, spans)
+    # of runs inside one another the widest
+    return F.flatten(F.transform(found, lambda own: F.filter(own, lambda e: ~F.exists(own, lambda o: (o != e) & (o["start"] <= e["start"]) & (e["end"] <= o["end"])))))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", allow: tuple = ALLOW) -> DataFrame:
@@ -105,8 +118,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", allow: tuple = ALLOW)
 
     ``base`` holds pattern matches, leftmost and non-overlapping per kind: assign
     (value of 12 or more characters), access, hex. ``spans`` adds kind 3, the
-    high-entropy parts of candidate strings that are not allowed and do not lie
-    in a base span. A null or empty text has none. Rows pass through one to one,
+    high-entropy runs of candidate strings that are not allowed and do not lie
+    in a base span or in another such run. A null or empty text has none. Rows pass through one to one,
     whatever their other columns are called; an empty table stays empty.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -180,6 +180,25 @@ def test_secrets(spark):
     assert clean[1] == "[SECRET]'" and clean[6] == "\U0001f600 [SECRET]." and clean[10] is None and clean[3] == texts[3][0]
 
 
+def _entropy(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.find_secrets(df).select("row.doc_id", secrets.labels(F.col("spans")).alias("s"), secrets.redacted(F.col("row.text"), F.col("spans")).alias("t")).collect()
+    return [(r.s, r.t) for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def test_secrets_behind_names_and_paths(spark):
+    """Each window has the threshold of its own class, and the whole run of the class is reported."""
+    hexes = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"
+    lower = "q7x2m9k4v8w3z6p1r5t0y2b7n4c9d6f1"
+    tail = "aB3dE5fG7hJ9kL1mN3pQ" + "Z" * 15  # only the beginning is dense
+    texts = [f"key_id={hexes}", f"a/{hexes}", f"a/{lower}", f"key {tail}", f"x/{hexes}/y/{lower}", f"zz{hexes}zz", "src/main/java/org/apache/spark/sql"]
+    got = _entropy(spark, texts)
+    for text, (_, clean) in zip(texts[:-1], got):
+        assert "[SECRET]" in clean
+        assert all(part not in clean for key in (hexes, lower, tail) for part in (key[:6], key[-6:])), text
+    assert got[-1] == ("", texts[-1])
+
+
 def test_digests_of_the_queries(spark):
     from rowsmith.llm import queries
 
