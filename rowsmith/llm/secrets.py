@@ -27,16 +27,17 @@ ASSIGN_LENGTH = 12
 WINDOW = 20
 CANDIDATE = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Runs of each character class in a candidate. A run with a dense window is reported whole.
-RUNS = tuple(f"[{c}]{{{WINDOW},}}" for c in ("0-9a-fA-F", "A-Za-z0-9", "A-Za-z0-9+/_=-"))
+RUNS = (*(f"[{c}]{{{WINDOW},}}" for c in ("0-9a-fA-F", "A-Za-z0-9", "A-Za-z0-9+/_=-")), f"[A-Za-z+/_-]{{{WINDOW - 2},}}=*")
 #: Classes of runs, the first that fits counts: pattern and least entropy of a window in bits.
-CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9]+$", 3.7), ("^[A-Za-z0-9+/_=-]+$", 3.9))
-#: Candidates that are never secrets: words in any joining, numbers, UUIDs, documented examples.
+CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z]+$", 3.8), ("^[A-Za-z0-9]+$", 3.7), ("^[A-Za-z0-9+/_=-]+$", 3.9))
+#: Runs that are never secrets: letters given to a name (both are runs of their own), numbers, UUIDs.
 ALLOW = (
-    "^[+/_=-]*([A-Za-z]+[+/_=-]+)*[A-Za-z]*$",
+    "^[A-Za-z+/_-]*=+[A-Za-z+/_-][A-Za-z+/_=-]*$",
     "^[0-9+/_=-]+$",
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    "(?i)example|sample|dummy|placeholder|xxxx",
 )
+#: Segments, between joiners, of documented examples: they belong to no run, what is beside them does.
+EXAMPLE = "(?<![A-Za-z0-9])[A-Za-z0-9]*(?i:example|sample|dummy|placeholder|xxxx)[A-Za-z0-9]*"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -84,6 +85,13 @@ def _is_dense(s: Column, least: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), begin, step, lambda acc: F.log2(F.lit(float(WINDOW))) - acc["lowest"] / WINDOW >= least - 1e-9)
 
 
+def _without_examples(s: Column) -> Column:
+    """``s`` with blanks in place of the segments of ``EXAMPLE``."""
+    parts = F.arrays_zip(F.split(s, EXAMPLE, -1).alias("gap"), F.regexp_extract_all(s, F.lit(EXAMPLE), F.lit(0)).alias("m"))
+    blank = F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], F.coalesce(F.repeat(F.lit(" "), F.length(x["m"])), F.lit("")))), "")
+    return F.when(F.rlike(s, F.lit(EXAMPLE)), blank).otherwise(s)
+
+
 def _runs(s: Column) -> Column:
     """The runs of every class in ``s`` with their offsets, each once."""
     found = []
@@ -91,7 +99,7 @@ def _runs(s: Column) -> Column:
         texts = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
         found.append(F.transform(F.arrays_zip(texts.alias("s"), _positions(s, pattern, texts).alias("at")), lambda x: F.struct(
             x["at"]["start"].alias("start"), x["at"]["end"].alias("end"), x["s"].alias("s"))))
-    return F.array_distinct(F.concat(*found))
+    return F.filter(F.array_distinct(F.concat(*found)), lambda r: F.length(r["s"]) >= WINDOW)
 
 
 def _entropy_spans(strings: Column, at: Column, allow: tuple) -> Column:
@@ -99,16 +107,14 @@ def _entropy_spans(strings: Column, at: Column, allow: tuple) -> Column:
         least = F.lit(CLASSES[-1][1])
         for pattern, bits in reversed(CLASSES[:-1]):
             least = F.when(F.rlike(x["s"], F.lit(pattern)), F.lit(bits)).otherwise(least)
-        return _is_dense(x["s"], least)
+        found = _is_dense(x["s"], least)
+        return ~F.rlike(x["s"], F.lit("|".join(f"(?:{p})" for p in allow))) & found if allow else found
 
     def spans(x: Column) -> Column:
-        found = F.filter(_runs(x["s"]), dense)
+        found = F.filter(_runs(_without_examples(x["s"]) if allow else x["s"]), dense)
         return F.transform(found, lambda r: F.struct((x["at"]["start"] + r["start"]).alias("start"), F.lit(3).alias("kind"), (x["at"]["start"] + r["end"]).alias("end")))
 
-    pairs = F.arrays_zip(strings.alias("s"), at.alias("at"))
-    if allow:
-        pairs = F.filter(pairs, lambda x: ~F.rlike(x["s"], F.lit("|".join(f"(?:{p})" for p in allow))))
-    found = F.transform(pairs, spans)
+    found = F.transform(F.arrays_zip(strings.alias("s"), at.alias("at")), spans)
     # of runs inside one another the widest
     return F.flatten(F.transform(found, lambda own: F.filter(own, lambda e: ~F.exists(own, lambda o: (o != e) & (o["start"] <= e["start"]) & (e["end"] <= o["end"])))))
 

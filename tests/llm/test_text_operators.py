@@ -199,6 +199,19 @@ def test_secrets_behind_names_and_paths(spark):
     assert got[-1] == ("", texts[-1])
 
 
+def test_secrets_of_letters_and_beside_examples(spark):
+    letters, key = "qZxKvBnMwRtYpLsDfGhJ", "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9"
+    joined = "qZxKvBnMwR+tYpLsDfGhJcVu=="
+    dashed = "aB3dE5fG7h-J9kL1mN3pQ-5rS7tU9wX"
+    secret = [letters, f"a/{letters}", f"id={letters}", joined, f"api/example/live/{key}", f"sample={letters}", f"my-dummy/{dashed}", f"{dashed}/example"]
+    words = ["Donaudampfschifffahrtsgesellschaft", "src/main/java/org/apache/spark/sql", "rounding=ROUND_HALF_EVEN", "kIoSfOdNn7EXAMPLE1234567Qz",
+             "123e4567-e89b-12d3-a456-426614174000", "2024-01-31_23-59-59_000000"]
+    got = _entropy(spark, secret + words)
+    for text, (_, clean) in zip(secret, got):
+        assert "[SECRET]" in clean and not any(part in clean for k in (letters, key, joined, dashed) for part in (k[:6], k[-6:])), text
+    assert [clean for _, clean in got[len(secret) :]] == words
+
+
 def test_digests_of_the_queries(spark):
     from rowsmith.llm import queries
 
