@@ -130,10 +130,14 @@ def header_row_cells(grid: DataFrame, g: GridSlice, path: str | None = None, she
 def sheet_layouts(grid: DataFrame, rows: DataFrame, g: GridSlice, prefix: str = DEFAULT_PREFIX) -> list[tuple[list, list[str]]]:
     """The distinct header rows of the sheets and their column names (S7), as wide as the data below.
 
-    Only distinct headers reach the driver, not one per sheet.
+    A sheet with data but no header row has an empty header: all its names are
+    placeholders. Only distinct headers reach the driver, not one per sheet.
     """
     cells = _col_slice(F.col("cells"), g)
-    headers = grid.filter(F.col("row_idx") == g.header_row).select(cells.alias("c")).filter(F.col("c").isNotNull()).distinct().collect()
+    filled = rows.filter(_last_nonnull_index(cells) > 0).select(*SHEET_KEYS).distinct()
+    own = grid.filter(F.col("row_idx") == g.header_row).select(*SHEET_KEYS, cells.alias("c")).filter(F.col("c").isNotNull())
+    bare = filled.join(own.select(*SHEET_KEYS), SHEET_KEYS, "left_anti").select(F.array().cast("array<string>").alias("c"))
+    headers = own.select("c").unionByName(bare).distinct().collect()
     width = rows.agg(F.max(_last_nonnull_index(cells))).first()[0] or 0
     found = [list(r["c"]) for r in headers]
     wide = [h + [None] * (int(width) - len(h)) for h in found]
@@ -159,7 +163,8 @@ def sheet_table(
     ``names`` defaults to the normalised header row of each sheet.  Data columns
     beyond the header's last cell get placeholder names.  Sheets may order their
     columns differently: cells are matched by name, and a sheet with another set
-    of names is an error.
+    of names is an error. So is a sheet with data but no header row beside sheets
+    that name their columns: its names are placeholders.
     """
     g = g.corrected()
     rows = grid.filter(F.col("row_idx") >= g.start_row)
@@ -174,8 +179,9 @@ def sheet_table(
                 raise ValueError(f"sheets differ in their columns: {sorted(set(other) ^ set(names))}")
         if len(layouts) > 1:
             headers = grid.filter(F.col("row_idx") == g.header_row).select(*SHEET_KEYS, _col_slice(F.col("cells"), g).alias("__header"))
-            rows = rows.join(maybe_broadcast(headers), SHEET_KEYS)
-            order = [F.when(F.col("__header").eqNullSafe(F.array(*[F.lit(c).cast("string") for c in header])), F.array(
+            rows = rows.join(maybe_broadcast(headers), SHEET_KEYS, "left")
+            found = F.coalesce("__header", F.array().cast("array<string>"))
+            order = [F.when(found.eqNullSafe(F.array(*[F.lit(c).cast("string") for c in header]).cast("array<string>")), F.array(
                 *[F.lit(other.index(n) + 1) for n in names])) for header, other in layouts]
             cells = F.transform(F.coalesce(*order), lambda i: F.try_element_at(cells, i))
     cells_at = [F.try_element_at(cells, F.lit(i + 1)) for i in range(len(names))]

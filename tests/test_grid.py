@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowsmith.plans.spec import GridSlice
@@ -41,6 +42,27 @@ def test_sheet_table_ranges(spark):
     assert [r.sheet for r in grid.sheet_list(g).collect()] == ["S"]
 
 
+def test_sheets_without_header_row(spark):
+    """Their rows never vanish: an error beside named columns, for one layout as for several; else placeholder names."""
+    a = _grid(spark, [(1, ["id", "name"]), (2, ["1", "x"])], "a")
+    b = _grid(spark, [(1, ["name", "id"]), (2, ["y", "2"])], "b")
+    bare, null = _grid(spark, [(2, ["3", "z"])], "bare"), _grid(spark, [(1, None), (2, ["3", "z"])], "null")
+    blank = _grid(spark, [(2, [None, None]), (3, None)], "blank")
+    for other in (bare, null):
+        for named in (a, a.unionByName(b)):
+            with pytest.raises(ValueError, match="sheets differ"):
+                grid.sheet_table(named.unionByName(other), GridSlice(1))
+    t = grid.sheet_table(bare.unionByName(null), GridSlice(1))
+    assert t.columns == ["_row", "column_1", "column_2"] and [tuple(r) for r in t.collect()] == [(2, "3", "z")] * 2
+    both = a.unionByName(b).unionByName(blank)
+    assert sorted(tuple(r) for r in grid.sheet_table(both, GridSlice(1), names=None).collect()) in (
+        [(2, "1", "x"), (2, "2", "y")], [(2, "x", "1"), (2, "y", "2")])
+    assert grid.sheet_table(both, GridSlice(1), drop_empty=False).count() == 4
+    placeholders = _grid(spark, [(1, ["column_2", "column_1"]), (2, ["z", "3"])], "p")
+    t = grid.sheet_table(bare.unionByName(placeholders), GridSlice(1))
+    assert [(r.column_1, r.column_2) for r in t.collect()] == [("3", "z")] * 2
+
+
 def test_detect_header(spark):
     g1 = _grid(spark, [(2, ["h1", "h2"]), (3, ["1", "2"])], "one_blank")
     g2 = _grid(spark, [(3, ["h1", None]), (4, ["1", "2"])], "two_blank")
