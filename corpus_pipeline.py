@@ -31,10 +31,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that with the smallest id. Documents without words or id stay."""
-    classes = hyperminhash.near_duplicates(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    gone = classes.filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each class, one with the smallest id, whether ids repeat, are missing or not. Documents without words stay."""
+    rows = hyperminhash.row_classes(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT).filter("first")
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ five registers, empty ones filled from the bucket's fixed probe order, find
 candidates: 40 bands miss a pair of similarity 0.8 with probability 1e-7.
 
 Texts with equal shingle sets collapse first (a plain aggregation). In every
-band bucket each member is compared with the bucket's smallest id only; then
+band bucket each member is compared with the bucket's smallest number only; then
 buckets whose members still lie in several classes are searched for pairs over
 class borders, in blocks of bounded size. The estimate
 (C/N - g)/(1 - g), with g the collision chance of registers at the two set
@@ -140,9 +140,10 @@ def _sketch(size: int):
                 sums = [np.concatenate([np.zeros(1, _U), np.cumsum(x)]) for x in (h, mix(h + BASE))]
                 a, b = (s[edges[1:]] - s[edges[:-1]] for s in sums)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, n), pa.array(np.diff(edges), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                     pa.array([r.tobytes() for r in regs], pa.binary())],
-                    names=["doc_id", "n_shingles", "a", "b", "regs"],
+                    [batch.column("row").slice(lo, n), batch.column("doc_id").slice(lo, n), texts.slice(lo, n), pa.array(np.diff(edges), pa.int64()),
+                     pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    schema=pa.schema([batch.schema.field("row"), ("doc_id", pa.int64()), batch.schema.field("text"), ("n_shingles", pa.int64()),
+                                      ("a", pa.int64()), ("b", pa.int64()), ("regs", pa.binary())]),
                 )
 
     return run
@@ -270,22 +271,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     bytes other than blank and \\t..\\r, A-Z lowered; a set has the distinct runs
     of ``size`` words, or a shorter text's whole sequence.
 
-    A null text or one without words has an empty set and a class of its own, as
-    has a row without id (class null, kept). Rows repeating an id belong to the
-    classes of their texts. Other columns are ignored; an empty table gives an
-    empty result.
+    A null text or one without words has an empty set and a class of its own. A
+    row without id is in the class of its text, and kept if the class has no id
+    and the row is its first. Rows repeating an id belong to the classes of their
+    texts, and are kept where that is the class's name: ``row_classes`` marks one
+    row of each class. Other columns are ignored; an empty table gives an empty
+    result.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = written(src.mapInArrow(_sketch(size), "doc_id long, n_shingles long, a long, b long, regs binary"), "sketch")
-    own = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = own.groupBy("a", "b", "n_shingles").agg(F.min(F.struct("doc_id", "regs")).alias("m"))
-    keyed = reps.select(F.col("m.doc_id").alias("rep"), F.col("m.regs").alias("regs")).mapInArrow(_bands, "rep long, keys array<long>")
+    out = row_classes(docs, size, percent, id_col, text_col, carry=[])
+    kept = F.when(F.col("doc_id").isNull(), F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def row_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The classes of ``near_duplicates`` row by row: ``row, doc_id, text, n_shingles, component_id, first``.
+
+    ``row`` is a struct of the columns ``carry`` (by default all but the text).
+    ``first`` marks exactly one row of each class, one with the smallest id (null
+    last), and every row without words. Rows are numbered when their sketches are
+    written, distinct sets in the order of their smallest id; sets are linked by
+    number, so neither repeated nor missing ids mix or separate classes.
+    """
+    cols = [c for c in docs.columns if c != text_col] if carry is None else carry
+    row = F.struct(*[docs[f"`{c}`"] for c in cols], *([] if cols else [F.lit(None).cast("boolean").alias("none")])).alias("row")
+    src = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"row {src.schema['row'].dataType.simpleString()}, doc_id long, text string, n_shingles long, a long, b long, regs binary"
+    sketches = written(src.mapInArrow(_sketch(size), schema).withColumn("no", F.monotonically_increasing_id()), "sketch")
+    own = sketches.filter("n_shingles > 0")
+    reps = own.groupBy("a", "b", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "no")).alias("m"))
+    # numbers rise over the partitions of the sort: the smallest number of a class has its smallest id
+    reps = reps.select("a", "b", "n_shingles", "m.*").orderBy("no_id", "doc_id", "no").withColumn("rep", F.monotonically_increasing_id())
+    reps = written(reps.drop("no_id"), "sets")
+    sketch_of = written(reps.select("rep", "n_shingles", "no").join(own.select("no", "regs"), "no").drop("no"), "set-sketches")
+    keyed = sketch_of.select("rep", "regs").mapInArrow(_bands, "rep long, keys array<long>")
     banded = keyed.select("rep", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("center")).filter("size > 1")
     members = written(banded.join(buckets, "key"), "bands")
 
-    active = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(src.join(active, "doc_id").withColumnRenamed("doc_id", "rep"), "texts")
+    active = reps.select("rep", "no").join(members.select("rep").distinct(), "rep")
+    texts = written(own.select("no", "text").join(active, "no").select("rep", "text"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("text_u")), "u")
@@ -297,7 +321,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     placed = members.select("key", "size", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     placed = written(placed.select("key", "size", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
     split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    sketch_of = own.select(F.col("doc_id").alias("rep"), "n_shingles", "regs").dropDuplicates(["rep"])
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own_block = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
     across = (
@@ -315,14 +338,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     more = candidates.join(texts, "rep").select("piece", "rep", "others", "text").groupBy("piece").applyInArrow(_confirm_lists(size, percent), "u long, v long")
     final = connected_components(star.unionByName(more))
 
-    member_of = reps.select("a", "b", "n_shingles", F.col("m.doc_id").alias("rep"))
-    member_of = member_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "a", "b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = sketches.join(member_of, ["a", "b", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    number = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "n_shingles", "doc_id", "no", "component")
+    # only classes of several sets need the name of another
+    names = final.select("component").distinct().join(
+        reps.select(F.col("rep").alias("component"), F.col("doc_id").alias("class_id"), F.col("no").alias("class_no")), "component")
+    named = number.filter("component IS NOT NULL").join(names, "component").select("a", "b", "n_shingles", "class_id", "class_no")
+    alone = number.filter("component IS NULL").select("a", "b", "n_shingles", F.col("doc_id").alias("class_id"), F.col("no").alias("class_no"))
+    out = sketches.drop("regs").join(named.unionByName(alone), ["a", "b", "n_shingles"], "left")
+    words = F.col("n_shingles") > 0
+    return out.select(
+        "row", "doc_id", "text", "n_shingles", F.when(words, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(words, F.col("no") == F.col("class_no")).otherwise(F.lit(True)).alias("first"))
 
 
 def _pieces(members: DataFrame) -> int:

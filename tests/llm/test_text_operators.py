@@ -84,6 +84,22 @@ def test_near_duplicates(spark, size):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """One row of each class stays; an id with two texts does not join their classes."""
+    import corpus_pipeline
+
+    near, a, b, c, d = prose(21, 100) + " end", prose(21, 100) + " END2", prose(22, 90), prose(23, 60), prose(24, 60)
+    rows = [(3, near), (5, a), (5, b), (7, c), (7, c), (7, c), (None, d), (None, d), (None, c), (8, None), (None, ""), (9, prose(25, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("clash"), "no": F.lit("clash"), "first": F.lit("clash")})
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    want = [(3, near), (5, b), (7, c), (None, d), (8, None), (None, ""), (9, prose(25, 40))]
+    assert sorted((r.doc_id, r.text) for r in out.collect() if r.text and r.doc_id) == sorted(x for x in want if all(x))
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in hyperminhash.near_duplicates(df).collect()}
+    assert {(5, 86, 5, True), (5, 97, 3, False), (3, 97, 3, True), (None, 56, 7, False)} <= got
+
+
 def test_near_duplicates_over_class_borders(spark):
     """A chain of edits: neighbours are near, ends are not; a hub of many copies; blocks smaller than the group."""
     base = prose(9, 100).split(" ")
