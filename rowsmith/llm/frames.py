@@ -26,6 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table; its frames must not be used afterwards."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes in a text column."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long")).first()[0]

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontaminate, hyperminhash, mixing, nra, quality, rollups, secrets, substring, toxicity, warc
+from rowsmith.llm import decontaminate, hyperminhash, mixing, nra, quality, rollups, secrets, shallot, substring, toxicity, warc, whitening
 from rowsmith.llm.frames import scratch, table, written
 
+CENTROIDS, ROUNDS = 40, 5
+
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf_dir, "documents"), size=35)
@@ -79,13 +81,50 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.totals()
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.cluster(table(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_substring_dedup, op5_secret_scan, op6_token_rollups, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup, op10_top_k_search)}
+    return {f.__name__: f for f in (
+        op1_mix_sources, op2_toxicity, op3_quality, op4_substring_dedup, op5_secret_scan, op6_token_rollups, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup, op10_top_k_search,
+        op11_embedding_whitening, op13_centroid_clustering)}
+
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    """Every vector against every centroid, round by round."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [f"""
+        WITH f AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        v AS MATERIALIZED (
+            SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM f),
+        c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS j, x
+            FROM (SELECT x, sha256('2:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h, x LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT no, min(struct_pack(d := d, j := j)) AS b FROM (SELECT v.no, c.j, {distance} AS d FROM v, c{r} c) GROUP BY no)""")
+        if r < rounds:
+            parts.append(f"""
+        s{r} AS (
+            SELECT j, list(CAST(t // n - CASE WHEN t % n < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY i) AS x
+            FROM (SELECT a.b.j AS j, g.i AS i, sum(v.x[g.i]) AS t, count(*) AS n FROM v JOIN a{r} a USING (no), range(1, 65) g(i) GROUP BY 1, 2) GROUP BY j),
+        c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(s.x, c.x) AS x FROM c{r} c LEFT JOIN s{r} s ON c.j = s.j)""")
+    return ",".join(parts) + f"""
+        SELECT v.vec_id, a.b.j AS cluster, CAST(a.b.d AS BIGINT) AS distance, CAST(sum(a.b.d) OVER (PARTITION BY a.b.j) AS BIGINT) AS cluster_inertia,
+               CAST(sum(a.b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM v JOIN a{rounds} a USING (no) JOIN c{rounds} c ON c.j = a.b.j"""
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express a query: text and hashing without state or sketches."""
     return {
+        "op13_centroid_clustering": _clustering_sql(CENTROIDS, ROUNDS),
         "op8_warc_transactions": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
             d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
