@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsmith.llm import decontaminate, hyperminhash, mixing, nra, quality, rollups, secrets, shallot, substring, toxicity, warc, whitening
+from rowsmith.llm import decontaminate, hyperminhash, mixing, ngram_join, nra, quality, rollups, secrets, shallot, substring, toxicity, warc, whitening
 from rowsmith.llm.frames import scratch, table, written
 
 CENTROIDS, ROUNDS = 40, 5
@@ -85,6 +85,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shallot.cluster(table(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS)
 
@@ -92,7 +96,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_mix_sources, op2_toxicity, op3_quality, op4_substring_dedup, op5_secret_scan, op6_token_rollups, op7_benchmark_decontamination, op8_warc_transactions, op9_minhash_near_dedup, op10_top_k_search,
-        op11_embedding_whitening, op13_centroid_clustering)}
+        op11_embedding_whitening, op12_ngram_jaccard_join, op13_centroid_clustering)}
 
 
 def _clustering_sql(k: int, rounds: int) -> str:
@@ -125,6 +129,21 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express a query: text and hashing without state or sketches."""
     return {
         "op13_centroid_clustering": _clustering_sql(CENTROIDS, ROUNDS),
+        "op12_ngram_jaccard_join": r"""
+            WITH RECURSIVE w AS MATERIALIZED (
+                SELECT row_number() OVER () AS no, doc_id,
+                       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+                FROM documents),
+            s AS MATERIALIZED (
+                SELECT no, doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(
+                    range(1, greatest(len(words) - 2, 2)), lambda i: array_to_string(list_slice(words, i, i + 3), ' '))) END AS members FROM w),
+            t AS MATERIALIZED (SELECT no, len(members) AS n, unnest(members) AS token FROM s),
+            p AS (
+                SELECT a.no AS u, b.no AS v, a.n + b.n AS n, count(*) AS c FROM t a JOIN t b ON a.token = b.token AND a.no <> b.no GROUP BY ALL),
+            l AS MATERIALIZED (SELECT u, v FROM p WHERE 100 * c >= 85 * (n - c)),
+            r(no, other) AS (SELECT no, no FROM s UNION SELECT r.no, l.v FROM r JOIN l ON r.other = l.u)
+            SELECT s.doc_id, len(s.members) AS n_shingles, min(o.doc_id) AS component_id
+            FROM s JOIN r ON s.no = r.no JOIN s o ON o.no = r.other GROUP BY s.no, s.doc_id, len(s.members)""",
         "op8_warc_transactions": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
             d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
