@@ -17,7 +17,11 @@ of them share, in two steps, so that no group of copies is compared pair by pair
 each member is verified against the member that most of its lists start with,
 then pairs that lie in different classes still are searched for by an equi-join on
 (token, size class), where only members outside a list's largest class look for
-partners in it. Verification counts common shingles of the full sets.
+partners in it. As similar sets share a token in their shortest prefixes too, the
+join meets on those; the tokens shared in the longer ones are counted for the pairs
+it finds. Verification counts common shingles of the full sets, which are made
+for members of candidate pairs only: a bitmap of fixed size keeps most other texts
+out of that shuffle.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ from rowsmith.operators.components import connected_components
 STRETCH = 1 << 21  # shingles counted at a time in a task
 COMMON = 1 << 20  # shingles whose counts travel to the tasks: at most 12 MB
 MOST = 8  # longest extension of a prefix
+MARKS = 1 << 21  # words of 64 bits in the bitmap of wanted texts: 16 MB
 VERIFY = (16, 0.25)  # cost of a candidate in list entries: fixed, and per shingle
 _U = np.uint64
 ROWS = "doc_id long, t1 long, t2 long, n long, a long, b long, token long, seen long"
@@ -176,18 +181,52 @@ def _similar(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose sets are similar enough."""
-    one = pairs.select("u", "v").join(sets.select(F.col("rep").alias("u"), F.col("members").alias("left")), "u")
-    both = one.join(sets.select(F.col("rep").alias("v"), F.col("members").alias("right")), "v")
-    return both.select("u", "v", "left", "right").mapInArrow(_similar(percent), "u long, v long")
+def _wanted(words: np.ndarray):
+    """Texts whose mark is set, equal ones once per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
+            hit = np.flatnonzero(words[(t1 >> 6) & (MARKS - 1)] >> (t1 & 63) & 1)
+            _, first = np.unique(np.stack([t1[hit], t2[hit]], axis=1), axis=0, return_index=True)
+            yield batch.take(pa.array(hit[np.sort(first)]))
+
+    return run
+
+
+def sets_of(wanted: DataFrame, source: DataFrame, size: int) -> DataFrame:
+    """``rep, members`` with the full set of each ``rep, t1, t2``, from the one text that has these hashes."""
+    bit = F.expr("shiftleft(1L, cast(t1 & 63 as int))")
+    rows = wanted.groupBy(F.shiftright("t1", 6).bitwiseAND(F.lit(MARKS - 1)).alias("i")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(MARKS, np.int64)
+    words[rows.column("i").to_numpy()] = rows.column("bits").to_numpy()
+    texts = source.select("t1", "t2", "text").mapInArrow(_wanted(words), "t1 long, t2 long, text string")
+    return texts.join(wanted, ["t1", "t2"]).groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets(size), "rep long, members array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``u, v`` whose sets are similar enough; ``sets`` says which text each member has."""
+    pairs = written(pairs, "ngram-pairs")
+    members = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
+    wanted = written(sets.select("rep", "t1", "t2").join(members, "rep"), "ngram-wanted")
+    full = written(sets_of(wanted, source, size), "ngram-members")
+    one = pairs.join(full.select(F.col("rep").alias("u"), F.col("members").alias("left")), "u")
+    both = one.join(full.select(F.col("rep").alias("v"), F.col("members").alias("right")), "v")
+    return written(both.select("u", "v", "left", "right").mapInArrow(_similar(percent), "u long, v long"), "ngram-links")
+
+
+def _within(x: str, y: str, k: str, percent: int) -> str:
+    """Both entries stand in the prefixes that ask for ``k`` shared tokens."""
+    least = overlap(f"{x}n", f"{y}n", percent)
+    return f"({x}pos <= {x}n - {least} + {k} AND {y}pos <= {y}n - {least} + {k})"
 
 
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Per member the one that most of its lists have as their first, that is where the token stands earliest."""
-    first = entries.groupBy("token").agg(F.min(F.struct("pos", "rep", "n")).alias("c"))
-    met = entries.join(first, "token").filter("rep <> c.rep").filter(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
-    counts = met.groupBy("rep", F.col("c.rep").alias("center")).count()
+    first = entries.groupBy("token").agg(F.min(F.struct("pos", "rep", "n", "k")).alias("c"))
+    near = entries.join(first, "token").filter("rep <> c.rep").filter(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+    met = near.filter(_within("", "c.", "least(k, c.k)", percent))
+    counts = met.groupBy("rep", F.col("c.rep").alias("center"), F.expr("least(k, c.k)").alias("k")).count().filter("count >= k")
     best = counts.groupBy("rep").agg(F.min(F.struct((-F.col("count")).alias("m"), "center")).alias("c"))
     return best.select(F.col("rep").alias("u"), F.col("c.center").alias("v"))
 
@@ -195,22 +234,29 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
 def cross_pairs(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different classes that share as many prefix tokens as both ask for, each once: the smaller set in ``u``."""
     placed = entries.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-    lists = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("n_classes"), F.max(F.struct("m", "comp")).alias("top"))
-    open_ = placed.join(lists.filter("n_classes > 1").select("token", "top.comp", F.lit(1).alias("x")).withColumnRenamed("comp", "major"), "token")
+    by_class = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
+    lists = by_class.groupBy("token").agg(F.count(F.lit(1)).alias("n_classes"), F.max(F.struct("m", "comp")).alias("top"))
+    open_ = placed.join(lists.filter("n_classes > 1").select("token", F.col("top.comp").alias("major")), "token")
     width = max(math.log(100 / percent), 0.01) * 1.0001  # a partner's size class is the same or the next
     open_ = open_.withColumn("bucket", F.floor(F.log("n") / width).cast("int"))
     open_ = written(open_.select("token", "rep", "n", "pos", "k", "comp", "bucket", (F.col("comp") != F.col("major")).alias("minor")), "ngram-open")
-    small = open_.filter(f"pos <= n - {overlap('n', 'n', percent)} + k").withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1)))
-    m = "least(x.k, y.k)"
-    met = f"""x.token = y.token AND x.bucket = y.bucket AND x.comp <> y.comp AND struct(x.n, x.rep) < struct(y.n, y.rep) AND 100 * x.n >= {percent} * y.n
-        AND x.pos <= x.n - {overlap('x.n', 'y.n', percent)} + {m} AND y.pos <= y.n - {overlap('x.n', 'y.n', percent)} + {m}"""
+    large = open_.filter(f"pos <= n - ({percent} * n + 99) div 100 + 1")
+    small = open_.filter(f"pos <= n - {overlap('n', 'n', percent)} + 1").withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1)))
+    met = f"""x.token = y.token AND x.bucket = y.bucket AND x.comp <> y.comp AND struct(x.n, x.rep) < struct(y.n, y.rep)
+        AND 100 * x.n >= {percent} * y.n AND {_within("x.", "y.", "1", percent)}"""
 
     def join(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x.alias("x").join(y.alias("y"), F.expr(met)).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"), F.expr(m).alias("k"))
+        return x.alias("x").join(y.alias("y"), F.expr(met)).selectExpr(
+            "x.rep AS u", "y.rep AS v", "least(x.k, y.k) AS k", f"{overlap('x.n', 'y.n', percent)} AS least_common", "x.n AS n", "y.n AS m")
 
-    shared = join(small.filter("minor"), open_).unionByName(join(small.filter("NOT minor"), open_.filter("minor")))
-    return shared.groupBy("u", "v", "k").count().filter("count >= k").select("u", "v")
+    pairs = written(join(small.filter("minor"), large).unionByName(join(small.filter("NOT minor"), large.filter("minor"))).distinct(), "ngram-met")
+    several = pairs.filter("k > 1")
+    asked = several.select(F.col("u").alias("rep")).union(several.select("v")).distinct()
+    prefixes = entries.join(asked, "rep").groupBy("rep").agg(F.collect_list(F.struct("token", "pos")).alias("tokens"))
+    counted = several.join(prefixes.select(F.col("rep").alias("u"), F.col("tokens").alias("x")), "u").join(
+        prefixes.select(F.col("rep").alias("v"), F.col("tokens").alias("y")), "v")
+    common = "array_intersect(filter(x, e -> e.pos <= n - least_common + k).token, filter(y, e -> e.pos <= m - least_common + k).token)"
+    return pairs.filter("k = 1").select("u", "v").unionByName(counted.filter(f"size({common}) >= k").select("u", "v"))
 
 
 def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,12 +296,11 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     lists = entries.groupBy("token").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("token")
     entries = written(entries.join(lists, "token", "left_semi"), "ngram-lists")
-    active = sets.join(entries.select("rep").distinct(), "rep").select("rep", "t1", "t2")
-    texts = source.select("t1", "t2", "text").join(active, ["t1", "t2"]).groupBy("rep").agg(F.first("text").alias("text"))
-    members = written(texts.mapInArrow(_sets(size), "rep long, members array<long>"), "ngram-members")
+    def check(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, sets, source, size, percent)
 
-    star = written(verified(star_pairs(entries, percent), members, percent), "ngram-star")
-    more = written(verified(cross_pairs(entries, connected_components(star), percent), members, percent), "ngram-cross")
+    star = check(star_pairs(entries, percent))
+    more = check(cross_pairs(entries, connected_components(star), percent))
     classes = connected_components(star.unionByName(more))
 
     named = sets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component"))
