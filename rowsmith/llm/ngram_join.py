@@ -136,10 +136,10 @@ def _prefixes(size: int, percent: int, tokens: np.ndarray, seen: np.ndarray):
                     continue
                 edges, a, _ = _signatures(row, h, hi - lo)
                 n = np.diff(edges)
-                cost = np.zeros(len(h), np.int64)
+                cost = np.ones(len(h), np.int64)  # a token that is not known as frequent
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-                    cost = np.where(tokens[at] == h, seen[at], 0)
+                    cost = np.where(tokens[at] == h, seen[at], 1)
                 order = np.argsort(row * (int(cost.max()) + 1) + cost, kind="stable")  # by row, then count, then hash
                 h, cost = h[order], cost[order]
                 base, k = extensions(n, cost.astype(float), edges, percent)
