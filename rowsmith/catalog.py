@@ -931,7 +931,7 @@ r AS (SELECT dd._row, k.id AS customer_id, dd.o_orderstatus AS status, dd.o_tota
 
 @query("load_chain", f"WITH {_SQL_FEED} SELECT * FROM r")
 def q_load_chain(spark, d):
-    return run_feed(spark, d).rows
+    return run_feed(spark, d).candidates
 
 
 @query(
@@ -1154,7 +1154,7 @@ _SLICE = (101, 5000)
 def q_load_sliced(spark, d):
     spec = feed_spec()
     spec.slice = GridSlice(header_row=1, start_row=_SLICE[0], end_row=_SLICE[1])
-    return build_load(feed_sheet(spark, d), spec, {"customer": table(spark, d, "customer")}).rows
+    return build_load(feed_sheet(spark, d), spec, {"customer": table(spark, d, "customer")}).candidates
 
 
 @query(

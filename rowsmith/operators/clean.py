@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,9 +54,15 @@ def normalise_cells(df: DataFrame) -> DataFrame:
 
 # -- P5 / T5 ----------------------------------------------------------------
 def replacements_frame(spark, replacements: Mapping[str, Mapping[str, str]]) -> DataFrame:
-    """Long form ``column, source, target`` of a replacement dictionary."""
+    """Long form ``column, source, target`` of a replacement dictionary.
+
+    Sent as one Arrow table, so Spark holds it as a local relation of known size:
+    a small dictionary is broadcast and the rows it applies to are not shuffled.
+    """
     rows = [(c, s, t) for c, m in replacements.items() for s, t in m.items()]
-    return spark.createDataFrame(rows, "column string, source string, target string")
+    columns = zip(*rows) if rows else ((), (), ())
+    names = ("column", "source", "target")
+    return spark.createDataFrame(pa.table({n: pa.array(list(v), pa.string()) for n, v in zip(names, columns)}))
 
 
 def replace_values(
@@ -161,12 +168,17 @@ def all_empty(columns: Sequence[str], float_columns: Sequence[str] = ()) -> Colu
     return reduce(lambda a, b: a & b, parts)
 
 
-def skip_empty_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Drop rows whose mapped source cells are all empty (none mapped: keep all)."""
+def any_filled(df: DataFrame, columns: Sequence[str]) -> Column:
+    """P9 as a column: false where all of ``columns`` are empty (true without columns)."""
     if not columns:
-        return df
+        return F.lit(True)
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.filter(~all_empty(columns, floats))
+    return ~all_empty(columns, floats)
+
+
+def skip_empty_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Drop rows whose mapped source cells are all empty (none mapped: keep all)."""
+    return df.filter(any_filled(df, columns)) if columns else df
 
 
 # -- P1 / P2 / P10 / P11 / P12 ---------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.functions.text import duplicate_key
 from rowsmith.operators.clean import replace_values, trim_cells
-from rowsmith.operators.common import require_columns
+from rowsmith.operators.common import qcol, require_columns
 
 ROW = "_row"
 
@@ -24,17 +24,17 @@ def keep_first(df: DataFrame, column: str, *, order: str = ROW, keep_blank_keys:
     ``WindowGroupLimit`` before the shuffle, so a hot key (for example the
     blank key shared by all empty cells, Q7) is cut to one row per map task
     before it is moved.  ``dropDuplicates`` would keep an arbitrary row.
-    With ``keep_blank_keys`` rows whose key is blank are all kept.
+    With ``keep_blank_keys`` rows whose key is blank are all kept: each is a
+    group of its own, so the rows are keyed and shuffled once.
     """
     require_columns(df, [column, order])
     keyed = with_duplicate_key(df, column)
-    rn = F.row_number().over(Window.partitionBy("__dupkey").orderBy(F.col("`" + order + "`")))
+    group = ["__dupkey"]
     if keep_blank_keys:
-        blank = keyed.filter(F.col("__dupkey") == "")
-        rest = keyed.filter(F.col("__dupkey") != "")
-        kept = rest.withColumn("__rn", rn).filter(F.col("__rn") == 1).drop("__rn")
-        return kept.unionByName(blank).drop("__dupkey")
-    return keyed.withColumn("__rn", rn).filter(F.col("__rn") == 1).drop("__rn", "__dupkey")
+        keyed = keyed.withColumn("__own", F.when(F.col("__dupkey") == "", qcol(order)))
+        group.append("__own")
+    rn = F.row_number().over(Window.partitionBy(*group).orderBy(qcol(order)))
+    return keyed.withColumn("__rn", rn).filter(F.col("__rn") == 1).drop("__rn", *group)
 
 
 def duplicate_stats(df: DataFrame, column: str, replacements=None, *, approximate: bool = False) -> DataFrame:

@@ -15,7 +15,9 @@ Plan, all distributed:
    similar unequal pair shares a bigram).  No pair is lost and hot bigrams
    rarely enter a prefix.
 4. T4 on candidates only, in the orientation(s) that occur in first-seen
-   order (the ratio is not symmetric, Q9).
+   order (the ratio is not symmetric, Q9).  Matching blocks cannot match more
+   characters than the two keys have in common as multisets, in any order:
+   pairs whose ratio stays too small even then never reach Python.
 5. A4 connected components over similar keys; A5 canonical per group;
    L1 order.
 """
@@ -96,9 +98,25 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return pairs.drop("gram", "occ").distinct()
 
 
+def numbered_characters(key) -> F.Column:
+    """The characters of a key, each with the number of its occurrence: a multiset as a set."""
+    chars = F.split(key, "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+
+
+def plausible_pairs(candidates: DataFrame, keys: DataFrame) -> DataFrame:
+    """The candidates whose common characters allow a sufficient ratio (2 * common / both lengths bounds it)."""
+    used = candidates.select(F.col("k1").alias("k")).union(candidates.select("k2")).distinct()
+    chars = keys.select("k").join(used, "k").withColumn("chars", numbered_characters(F.col("k")))
+    one = candidates.join(chars.select(F.col("k").alias("k1"), F.col("chars").alias("c1")), "k1")
+    both = one.join(chars.select(F.col("k").alias("k2"), F.col("chars").alias("c2")), "k2")
+    bound = 2.0 * F.size(F.array_intersect("c1", "c2")) / (F.col("l1") + F.col("l2"))
+    return both.filter(similar_from_ratio(bound, F.col("l1"), F.col("l2"))).drop("c1", "c2")
+
+
 def similar_key_edges(keys: DataFrame) -> DataFrame:
     """Similar key pairs ``u < v`` (T4 in every orientation that occurs)."""
-    c = candidate_pairs(keys)
+    c = plausible_pairs(candidate_pairs(keys), keys)
     # value of k1 seen before a value of k2 -> ratio(k1, k2); and the reverse.
     fwd = c.filter(F.col("min1") < F.col("max2")).select(F.col("k1").alias("left"), F.col("k2").alias("right"), "k1", "k2", "l1", "l2")
     bwd = c.filter(F.col("min2") < F.col("max1")).select(F.col("k2").alias("left"), F.col("k1").alias("right"), "k1", "k2", "l1", "l2")

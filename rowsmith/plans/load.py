@@ -1,10 +1,11 @@
 """The load: section 2.12's ten steps as one lazy DataFrame plan.
 
 ``build_load(sheet, spec, tables)`` returns a ``LoadResult`` whose frames are
-all lazy: ``rows`` (what would be written), ``violations`` (one schema for
-every kind of rejection) and ``report()`` (counts per stage).  Nothing runs
-until a caller acts; ``check()`` enforces ``on_error='fail'`` with one small
-action (the first violations and a count) before any write.
+all lazy: ``candidates`` (rows that reached the target step), ``violations``
+(one schema for every kind of rejection) and ``report()`` (counts per stage).
+Nothing runs until a caller acts; ``check()`` enforces ``on_error='fail'`` with
+one small action (the first violations and a count) before any write, and
+``rows`` hands rows out only after it.
 
 Order of steps (part of the semantics): trim -> replacements -> split ->
 dedupe -> source-column check -> skip empty rows + project -> defaults ->
@@ -18,19 +19,19 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowsmith.functions.text import is_empty
 from rowsmith.operators.clean import (
+    any_filled,
     apply_defaults,
     cast_to,
     drop_pk,
     map_columns,
     normalise_cells,
     replace_and_count,
-    skip_empty_rows,
     split_by_length,
     trim_cells,
 )
@@ -53,63 +54,71 @@ from rowsmith.plans.spec import GridSlice, LoadSpec, SplitRule
 ROW = "_row"
 
 
+KINDS = ("fk_empty", "fk_not_found", "fk_conflict", "too_long", "required_null", "bad_value")
+
+
 @dataclass
 class LoadResult:
     """Lazy outcome of a load.
 
-    ``flagged`` holds every row that reaches the target step with an
-    ``__issues`` array (FK, length and required-column problems of that row);
-    ``rows`` and the row-level ``violations`` are both projections of it, so
-    one computation of ``flagged`` serves the check, the write and the
-    violation list.  ``materialize()`` writes it once to the checkpoint folder.
+    ``ledger`` holds the fate of every row that passed the dedupe: ``__kept``
+    (false: skipped as empty) and ``__issues`` (FK, length, type and
+    required-column problems of that row).  Rows, row-level violations and every
+    counter are projections or aggregates of it, so one computation serves the
+    check, the write, the violation list and the report, and a task that runs
+    twice counts once.  ``materialize()`` writes it to the checkpoint folder.
     """
 
-    flagged: DataFrame
+    ledger: DataFrame
     table_violations: DataFrame  # violations without a sheet row (lookup conflicts)
+    sheet: DataFrame  # the rows asked for, before any step
     quarantine: bool = False
-    stages: dict[str, DataFrame] = field(default_factory=dict)
     spec: LoadSpec | None = None
     split_column: str | None = None
     extra_metrics: DataFrame | None = None  # metric, value (replacement counts)
-    observed: dict[str, int] | None = None  # stage counts taken while materializing
+    rows_read: int | None = None  # counted while materializing
     materialized_path: str | None = None
-    _rebuild: object = field(default=None, repr=False)
+    _accepted: bool = field(default=False, repr=False)
 
     @property
-    def rows(self) -> DataFrame:
+    def flagged(self) -> DataFrame:
+        """Every row that reaches the target step, with its ``__issues``."""
+        return self.ledger.filter("__kept").drop("__kept")
+
+    @property
+    def candidates(self) -> DataFrame:
+        """The rows of the target step, whatever the check says; in quarantine mode those without issues."""
         f = self.flagged.filter(F.size("__issues") == 0) if self.quarantine else self.flagged
         return f.drop("__issues")
 
+    @property
+    def rows(self) -> DataFrame:
+        """The rows to write.  In fail mode a rejected load raises instead."""
+        if not self.quarantine:
+            self.check()
+        return self.candidates
+
     @property
     def violations(self) -> DataFrame:
         return explode_issues(self.flagged, F.col("__issues")).unionByName(self.table_violations).select(*VIOLATION_COLUMNS)
 
     def materialize(self, path: str | None = None) -> "LoadResult":
-        """Compute the load once: write ``flagged`` to shared storage, read it back.
-
-        The write runs a fresh build of the same plan with an ``Observation``
-        at every stage, so the same job also counts each stage's rows and
-        ``report()`` needs no further pass over the input.
-        """
-        spark = self.flagged.sparkSession
+        """Compute the load once: write the ledger to shared storage and read it back."""
+        spark = self.ledger.sparkSession
         if path is None:
             path = f"{checkpoint_dir(spark).rstrip('/')}/rowsmith-load-{uuid.uuid4().hex}"
-        frame, obs = self.flagged, None
-        if self._rebuild is not None and self.observed is None:
-            obs = {}
-            frame = self._rebuild(obs).flagged
-        frame.write.mode("overwrite").parquet(path)
-        if obs:
-            self.observed = {name: int(o.get.get("n", 0)) for name, o in obs.items()}
-        self.flagged = spark.read.parquet(path)
+        self.ledger.write.mode("overwrite").parquet(path)
+        if self.rows_read is None:
+            self.rows_read = self.sheet.count()
+        self.ledger = spark.read.schema(self.ledger.schema).parquet(path)
         self.materialized_path = path
         return self
 
     def release(self) -> None:
-        """Delete the materialized copy (best effort); the frames must not be used afterwards."""
+        """Delete the materialized copy; the frames must not be used afterwards."""
         if not self.materialized_path:
             return
-        spark = self.flagged.sparkSession
+        spark = self.ledger.sparkSession
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(self.materialized_path)
@@ -118,41 +127,46 @@ class LoadResult:
             self.materialized_path = None
 
     def report(self) -> DataFrame:
-        """``metric, value`` -- rows per stage and per violation kind."""
-        spark = self.flagged.sparkSession
-        if self.observed:  # counted during materialize(): no new pass over the input
-            known = [(name, self.observed[name]) for name in self.stages if name in self.observed]
-            parts = [spark.createDataFrame(known, "metric string, value long")] if known else []
+        """``metric, value`` -- rows per stage and per violation kind.
+
+        One aggregate over the ledger, one over the lookup conflicts and the
+        number of rows read are summed as three rows of counters; nothing is
+        joined.  A rejected load writes nothing, whatever rows it holds.
+        """
+        spark = self.ledger.sparkSession
+        total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+        names = ["read", "after_dedupe", "after_skip_empty", "clean", *KINDS]
+        zero = {c: F.lit(0).cast("long") for c in names}
+        of_kind = {k: total(F.expr(f"size(filter(__issues, x -> x.kind = '{k}'))")) for k in KINDS}
+        fates = self.ledger.agg(*[c.alias(n) for n, c in {
+            **zero, "after_dedupe": F.count(F.lit(1)), "after_skip_empty": total(F.col("__kept")),
+            "clean": total(F.col("__kept") & (F.size("__issues") == 0)), **of_kind}.items()])
+        tables = self.table_violations.agg(*[c.alias(n) for n, c in {**zero, **{k: total(F.col("kind") == k) for k in KINDS}}.items()])
+        if self.rows_read is None:
+            read = self.sheet.agg(*[c.alias(n) for n, c in {**zero, "read": F.count(F.lit(1))}.items()])
         else:
-            parts = [
-                st.agg(F.count(F.lit(1)).cast("long").alias("value")).select(F.lit(name).alias("metric"), "value")
-                for name, st in self.stages.items()
-            ]
-        # a rejected load writes nothing, whatever rows it holds
-        written = self.rows.agg(F.count(F.lit(1)).cast("long").alias("value"))
-        if not self.quarantine:
-            rejected = self.violations.agg((F.count(F.lit(1)) > 0).alias("rejected"))
-            written = written.join(F.broadcast(rejected)).select(F.when(F.col("rejected"), F.lit(0)).otherwise(F.col("value")).cast("long").alias("value"))
-        parts.append(written.select(F.lit("written").alias("metric"), "value"))
-        kinds = ["fk_empty", "fk_not_found", "fk_conflict", "too_long", "required_null", "bad_value"]
-        by_kind = self.violations.groupBy("kind").agg(F.count(F.lit(1)).cast("long").alias("n"))
-        kind_rows = spark.createDataFrame([(k,) for k in kinds], "kind string").join(by_kind, "kind", "left")
-        parts.append(kind_rows.select(F.col("kind").alias("metric"), F.coalesce("n", F.lit(0)).cast("long").alias("value")))
-        if self.extra_metrics is not None:
-            parts.append(self.extra_metrics)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            read = spark.range(1).select(*[c.alias(n) for n, c in {**zero, "read": F.lit(self.rows_read)}.items()])
+        counters = fates.unionByName(tables).unionByName(read).agg(*[F.sum(n).alias(n) for n in names])
+        rejected = sum((F.col(k) for k in KINDS), F.lit(0))
+        written = F.col("clean") if self.quarantine else F.when(rejected > 0, 0).otherwise(F.col("after_skip_empty"))
+        shown = {"read": F.col("read"), "after_dedupe": F.col("after_dedupe"), "after_skip_empty": F.col("after_skip_empty"), "written": written, **{k: F.col(k) for k in KINDS}}
+        if self.spec is not None and not (self.spec.remove_duplicates and self.spec.duplicate_column):
+            del shown["after_dedupe"]
+        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("long").alias("value")) for n, c in shown.items()]))
+        out = counters.select(pairs.alias("x")).select("x.metric", "x.value")
+        return out if self.extra_metrics is None else out.unionByName(self.extra_metrics)
 
     def sample(self, n: int = 5) -> DataFrame:
         """K6: the first ``n`` rows that would be written (top-n, no full sort)."""
-        return self.rows.orderBy(ROW).limit(n)
+        return self.rows.orderBy(ROW).limit(n)  # raises if the load is rejected
 
     def check(self, n: int = 5) -> "LoadResult":
         """``on_error='fail'``: raise with the first ``n`` violations and a count."""
+        if self._accepted:
+            return self
         if self.violations.limit(1).count() > 0:
             raise LoadRejected("the load was rejected:\n" + summarise(self.violations, n), self.violations)
+        self._accepted = True
         return self
 
 
@@ -176,30 +190,14 @@ def build_load(
     *,
     conversions: DataFrame | None = None,
     validate_spec: bool = True,
-    observations: dict | None = None,
 ) -> LoadResult:
-    """Build the whole load as lazy frames (see module docstring).
-
-    With ``observations`` (a dict) every stage is wrapped in ``observe`` and
-    its ``Observation`` stored there, so one full action on ``flagged`` also
-    counts the rows of every stage.
-    """
+    """Build the whole load as lazy frames (see module docstring)."""
     if validate_spec:
         spec.validate()
     tables = tables or {}
     spark = sheet.sparkSession
-    sheet_in = sheet
-
-    def stage(name: str, frame: DataFrame) -> DataFrame:
-        if observations is None:
-            return frame
-        obs = Observation(f"rowsmith_{name}_{uuid.uuid4().hex[:8]}")
-        observations[name] = obs
-        return frame.observe(obs, F.count(F.lit(1)).alias("n"))
-
     # 1: the rows and columns asked for
-    sheet = stage("read", sliced(sheet, spec.slice))
-    stages: dict[str, DataFrame] = {"read": sheet}
+    sheet = sliced(sheet, spec.slice)
     df = sheet
     # 2-3: trim, replacements
     if spec.trim_whitespace:
@@ -213,20 +211,18 @@ def build_load(
         df, split_col = split_by_length(df, spec.split, trim_measure=spec.trim_whitespace)
     # 5: keep-first dedupe
     if spec.remove_duplicates and spec.duplicate_column:
-        df = stage("after_dedupe", keep_first(df, spec.duplicate_column))
-        stages["after_dedupe"] = df
+        df = keep_first(df, spec.duplicate_column)
     # 6: every needed sheet column must exist
     mapping = spec.effective_mapping()
     require_columns(df, spec.needed_sheet_columns(), "sheet")
-    # 7: skip empty rows, project (FK source cells ride along), normalise
-    df = stage("after_skip_empty", skip_empty_rows(df, [s for s, _ in mapping]))
-    stages["after_skip_empty"] = df
+    # 7: mark empty rows, project (FK source cells ride along), normalise
+    kept = any_filled(df, [s for s, _ in mapping])
     fk_src = {f"__fk{i}": lk.sheet_column for i, lk in enumerate(spec.lookups)}
     types = {c.name: c for c in spec.columns}
     bad = bad_value_issues([
         (s, t, types[t].type, is_empty(s), cast_to(qcol(s), types[t].spark_type))
         for s, t in mapping if t in types and not isinstance(types[t].spark_type, T.StringType)])
-    projected = map_columns(df.withColumns({"__bad": bad, **{h: qcol(s) for h, s in fk_src.items()}}), mapping, spec.columns, keep=[ROW, "__bad", *fk_src])
+    projected = map_columns(df.withColumns({"__kept": kept, "__bad": bad, **{h: qcol(s) for h, s in fk_src.items()}}), mapping, spec.columns, keep=[ROW, "__kept", "__bad", *fk_src])
     projected = normalise_cells(projected)
     # 8: defaults for unmapped targets
     projected = apply_defaults(projected, spec.defaults, spec.columns)
@@ -258,11 +254,10 @@ def build_load(
     if spec.operation == "insert":
         req = [c.name for c in spec.columns if not c.nullable and c.name != spec.generated_pk]
         issues.append(required_issues(projected, req))
-    flagged = projected.withColumn("__issues", F.concat(*issues)).drop("__bad", "__fk_issues")
-    result = LoadResult(flagged=flagged, table_violations=table_viol, quarantine=spec.on_error == "quarantine",
-                        stages=stages, spec=spec, split_column=split_col, extra_metrics=extra)
-    result._rebuild = lambda obs: build_load(sheet_in, spec, tables, conversions=conversions, validate_spec=False, observations=obs)
-    return result
+    found = F.concat(*issues)
+    ledger = projected.withColumn("__issues", F.when(F.col("__kept"), found).otherwise(F.slice(found, 1, 0))).drop("__bad", "__fk_issues")
+    return LoadResult(ledger=ledger, table_violations=table_viol, sheet=sheet, quarantine=spec.on_error == "quarantine",
+                      spec=spec, split_column=split_col, extra_metrics=extra)
 
 
 def _renamed_conversions(conversions: DataFrame | None, fk_src: dict[str, str]) -> DataFrame | None:

@@ -25,19 +25,17 @@ ROW = "_row"
 CSV_EXACT = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def _accepted(source: LoadResult | DataFrame) -> DataFrame:
+def accepted(source: LoadResult | DataFrame) -> DataFrame:
     """The rows to write: of a load, computed once and checked (V6) before anything is written."""
     if isinstance(source, DataFrame):
         return source
     source.materialize()
-    if source.spec is not None and source.spec.on_error == "fail":
-        source.check()
     return source.rows
 
 
 def export_csv(source: LoadResult | DataFrame, path: str, *, mode: str = "errorifexists", keep_row: bool = False) -> None:
     """K3: header line, no index; booleans and dates as text (P15).  A rejected load writes nothing."""
-    df = _accepted(source)
+    df = accepted(source)
     out = df if keep_row else df.drop(ROW)
     export_values(out).write.mode(mode).options(**CSV_EXACT).csv(path)
 
@@ -49,10 +47,12 @@ def export_workbooks(df: DataFrame, path: str, *, mode: str = "append", keep_row
     export_values(out).write.format("xlsx_grid").mode(mode).save(path)
 
 
+_IN_FILE_NAMES = str.maketrans(dict.fromkeys("/\\ ", "_"))
+
+
 def conversion_file_name(column: str, stem: str) -> str:
     """``<column>_<file>_conversoes.csv`` with ``/``, ``\\`` and blanks as ``_``."""
-    col = column.replace("/", "_").replace("\\", "_").replace(" ", "_")
-    return f"{col}_{stem}{CONV_FILE_SUFFIX}"
+    return f"{column.translate(_IN_FILE_NAMES)}_{stem}{CONV_FILE_SUFFIX}"
 
 
 def export_conversions(replacements: DataFrame, path: str, *, mode: str = "overwrite") -> None:
@@ -80,8 +80,6 @@ def insert_rows(result: LoadResult, path: str, *, fmt: str = "parquet", generate
     """
     if materialize:
         result.materialize()
-    if result.spec is not None and result.spec.on_error == "fail":
-        result.check()
     rows = result.rows
     spark = rows.sparkSession
     if generate_key:
@@ -108,7 +106,7 @@ def update_table(target_path: str, source: LoadResult | DataFrame, key: str, out
     A rejected load writes nothing.  Reports both the number of source records
     (what the reference returned) and the number of target rows changed (Q11 fix).
     """
-    source = _accepted(source)
+    source = accepted(source)
     spark = source.sparkSession
     target = spark.read.format(fmt).load(target_path)
     new = update_by_key(target, source, key, columns)
@@ -122,8 +120,7 @@ def update_table(target_path: str, source: LoadResult | DataFrame, key: str, out
 
 def output_folder(base: str, sheet: str, kind: str) -> str:
     """Default export location ``<base>_<sheet>_mapped.<kind>`` (T9 slug)."""
-    safe = sheet.replace("/", "_").replace("\\", "_").replace(" ", "_")
-    return f"{base}_{safe}_mapped.{kind}"
+    return f"{base}_{sheet.translate(_IN_FILE_NAMES)}_mapped.{kind}"
 
 
 __all__ = ["export_csv", "export_workbooks", "export_conversions", "insert_rows", "update_table", "slug"]
@@ -133,9 +130,7 @@ def insert_into_table(result: LoadResult, name: str, *, path: str | None = None,
     """K1 into a Spark catalog table: create it (optionally at ``path``) or append by column name."""
     if materialize:
         result.materialize()
-    if result.spec is not None and result.spec.on_error == "fail":
-        result.check()
-    spark = result.flagged.sparkSession
+    spark = result.ledger.sparkSession
     rows = result.rows.drop(ROW)
     obs = Observation("insert_table")
     if spark.catalog.tableExists(name):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from rowsmith.operators.update import last_per_key
 from rowsmith.plans.load import LoadResult
+from rowsmith.sinks.files import accepted
 
 ROW = "_row"
 
@@ -95,8 +96,6 @@ def insert(result: LoadResult, opts: Mapping[str, str], table: str, schema: str
     evaluates (for a sequence); a database identity column is simply left out.
     """
     result.materialize()  # one computation serves the check, the stage write and the count
-    if result.spec is not None and result.spec.on_error == "fail":
-        result.check()
     rows = result.rows.drop(ROW)
     if not rows.columns and not generated:
         raise ValueError("no column to insert")
@@ -107,8 +106,9 @@ def insert(result: LoadResult, opts: Mapping[str, str], table: str, schema: str
         _run(rows.sparkSession, opts, [f"DROP TABLE {qualified(schema, stage)}"])
 
 
-def update(source: DataFrame, opts: Mapping[str, str], table: str, key: str, schema: str | None = "public") -> tuple[int, int]:
-    """K2: returns (source records, target rows changed) -- Q11 fix."""
+def update(source: LoadResult | DataFrame, opts: Mapping[str, str], table: str, key: str, schema: str | None = "public") -> tuple[int, int]:
+    """K2: returns (source records, target rows changed) -- Q11 fix.  A rejected load changes nothing."""
+    source = accepted(source)
     cols = [c for c in source.columns if c not in (key, ROW)]
     sql_probe = update_sql(table, "stage", key, cols, schema)  # validates Q12 before any job
     del sql_probe

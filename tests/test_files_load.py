@@ -236,11 +236,28 @@ def test_catalog_table_insert_and_schema_targets(spark, tmp):
     spark.sql("DROP TABLE t_orders")
 
 
+def test_rows_of_a_rejected_load_are_not_handed_out(spark):
+    res = build_load(_feed(spark), _spec(), _tables(spark))
+    with pytest.raises(LoadRejected):
+        res.rows  # noqa: B018
+    with pytest.raises(LoadRejected):
+        jsink.update(res, {}, "t", "customer_id")
+    assert res.candidates.count() == 3
+
+
+def test_report_scans_the_sheet_twice_and_joins_nothing_without_a_key(spark, tmp):
+    _feed(spark).write.parquet(f"{tmp}/feed")
+    report = build_load(spark.read.parquet(f"{tmp}/feed"), _spec(), _tables(spark)).report()
+    report.collect()
+    plan = report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan parquet") <= 2 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_report_counts_taken_while_materializing(spark):
     res = build_load(_feed(spark), _spec(), _tables(spark))
     plain = {r.metric: r.value for r in res.report().collect()}
     res.materialize()
-    assert res.observed == {"read": 6, "after_dedupe": 4, "after_skip_empty": 3}
+    assert res.rows_read == 6 and res.ledger.count() == 4 and res.flagged.count() == 3
     assert {r.metric: r.value for r in res.report().collect()} == plain
     path = res.materialized_path
     assert path and os.path.exists(path.replace("file:", ""))

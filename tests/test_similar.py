@@ -94,3 +94,21 @@ def test_value_counts_and_guard(spark):
     rep = similar.suggestions_to_replacements(similar.suggestions(
         spark.createDataFrame([(1, "Porca"), (2, "Porcas"), (3, "Porca")], "_row long, v string"), "v"), "v")
     assert [tuple(r) for r in rep.collect()] == [("v", "Porcas", "Porca")]
+
+
+def test_common_characters_bound_the_ratio_and_spare_calls(spark):
+    """Every pair of seven-digit codes that is dropped is dissimilar, and most are dropped before Python."""
+    import random
+
+    from rowsmith.functions.similarity import similar_keys_py
+    from rowsmith.operators import similar
+
+    r = random.Random(7)
+    codes = sorted({"".join(r.choice("0123456789") for _ in range(7)) for _ in range(300)} | {"aab", "aba", "ba", "b"})
+    df = spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "value string, first_row long").withColumn("n", F.lit(1))
+    _, keys = similar._keys(df)
+    candidates = similar.candidate_pairs(keys)
+    kept = {(x.k1, x.k2) for x in similar.plausible_pairs(candidates, keys).collect()}
+    near = {(a, b) for i, a in enumerate(codes) for b in codes[i + 1 :] if similar_keys_py(a, b) or similar_keys_py(b, a)}
+    assert near <= kept and len(kept) < candidates.count() / 5
+    assert spark.range(1).select(similar.numbered_characters(F.lit("abaa"))).first()[0] == ["a1", "b1", "a2", "a3"]
