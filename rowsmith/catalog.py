@@ -11,6 +11,7 @@ ratio, written independently of the blocked Spark plan.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,9 @@ from rowsmith.operators import clean, dedupe, lookup, similar, update, validate
 from rowsmith.operators.clean import SplitRule
 from rowsmith.plans.load import build_load
 from rowsmith.plans.spec import GridSlice, LoadSpec, Lookup, TargetColumn
-from rowsmith.sources import grid
+from rowsmith.session import checkpoint_dir
+from rowsmith.sinks import commits
+from rowsmith.sources import grid, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1232,6 +1235,74 @@ def q_grid_two_layouts(spark, d):
     return grid.sheet_table(header.unionByName(body), GridSlice(header_row=1), keep_sheet=True)
 
 
+# ---------------------------------------------------------------------------
+# Rows of many CSV files by physical line; W1 and J4 over files; K1 sent twice
+# ---------------------------------------------------------------------------
+_PER_FILE = 1000
+
+
+def customer_files(spark, d) -> str:
+    """Customers as CSV files of up to 1,000 records, later keys in earlier files, with cells of two lines and blank lines."""
+    c = table(spark, d, "customer").withColumn("part", F.lpad((9_999_999 - F.floor(F.col("c_custkey") / _PER_FILE)).cast("string"), 7, "0"))
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("\n"), F.col("c_mktsegment"))).otherwise(""))
+    note = F.concat(F.lit('say "'), F.col("c_mktsegment"), F.lit('", once'))
+    blank = F.when(F.col("c_custkey") % 5 == 0, "\n").otherwise("")
+    body = c.select("part", F.col("c_custkey").alias("at"), F.concat(F.col("c_custkey").cast("string"), F.lit(","), quoted(name), F.lit(","), quoted(note), blank).alias("value"))
+    heads = c.select("part", F.lit(-1).cast("long").alias("at"), F.lit("id,name,note").alias("value")).distinct()
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rowsmith-customers-{uuid.uuid4().hex}"
+    body.unionByName(heads).repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").text(path)
+    return f"{path}/*/*.txt"
+
+
+_SQL_CUSTOMER_FILES = f"""
+f AS (SELECT c_custkey AS id, c_mktsegment AS segment, lpad(CAST(9999999 - c_custkey // {_PER_FILE} AS VARCHAR), 7, '0') AS part,
+             c_name || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || c_mktsegment ELSE '' END AS name, 'say "' || c_mktsegment || '", once' AS note,
+             1 + CAST(c_custkey % 3 = 0 AS BIGINT) + CAST(c_custkey % 5 = 0 AS BIGINT) AS lines FROM customer),
+l AS (SELECT part, CAST(id AS VARCHAR) AS id, name, note,
+             CAST(2 + coalesce(sum(lines) OVER (PARTITION BY part ORDER BY f.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS _row FROM f)"""
+
+
+def customer_sheet(spark, d) -> DataFrame:
+    return lines.read_csv_records(spark, customer_files(spark, d), ["id", "name", "note"])
+
+
+@query("csv_rows", f"WITH {_SQL_CUSTOMER_FILES} SELECT part, id, name, note, _row FROM l")
+def q_csv_rows(spark, d):
+    sheet = customer_sheet(spark, d)
+    return sheet.select(F.regexp_extract("_path", "part=([0-9]+)/", 1).alias("part"), "id", "name", "note", "_row")
+
+
+@query(
+    "dedupe_two_files",
+    f"WITH {_SQL_CUSTOMER_FILES}, k AS (SELECT *, row_number() OVER (PARTITION BY {sql_dup_key('note')} ORDER BY part, _row) AS rn FROM l) SELECT id, name, _row FROM k WHERE rn = 1",
+)
+def q_dedupe_two_files(spark, d):
+    return dedupe.keep_first(customer_sheet(spark, d), "note", order=("_path", "_row")).select("id", "name", "_row")
+
+
+@query(
+    "update_two_files",
+    f"""WITH {_SQL_CUSTOMER_FILES}, k AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY part DESC, _row DESC) AS rn FROM l)
+SELECT c_custkey, k.name AS name FROM customer JOIN k ON k.note = 'say "' || c_mktsegment || '", once' AND rn = 1""",
+)
+def q_update_two_files(spark, d):
+    target = table(spark, d, "customer").select(
+        "c_custkey", F.concat(F.lit('say "'), F.col("c_mktsegment"), F.lit('", once')).alias("note"), F.col("c_name").alias("name"))
+    done = update.update_by_key(target, customer_sheet(spark, d), "note", ["name"], order=("_path", "_row"))
+    return done.select("c_custkey", "name")
+
+
+@query("insert_twice", f"SELECT * EXCLUDE (_row) FROM ({ORACLES['load_quarantine']})")
+def q_insert_twice(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rowsmith-inserted-{uuid.uuid4().hex}"
+    for _ in range(2):
+        spec = feed_spec()
+        spec.on_error = "quarantine"
+        commits.insert_once(build_load(feed_sheet(spark, d), spec, {"customer": table(spark, d, "customer")}), path, "orders")
+    return commits.read_committed(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,11 @@ def with_duplicate_key(df: DataFrame, column: str, out: str = "__dupkey") -> Dat
     return df.withColumn(out, duplicate_key(column))
 
 
-def keep_first(df: DataFrame, column: str, *, order: str = ROW, keep_blank_keys: bool = False) -> DataFrame:
+def keep_first(df: DataFrame, column: str, *, order: str | Sequence[str] = ROW, keep_blank_keys: bool = False) -> DataFrame:
     """One row per T2 key of ``column`` -- the first in sheet order.
 
+    Rows of several files are ordered by file and line: ``order=("_path", "_row")``.
+
     ``row_number() == 1`` over (key ORDER BY _row) is planned as a partial
     ``WindowGroupLimit`` before the shuffle, so a hot key (for example the
     blank key shared by all empty cells, Q7) is cut to one row per map task
@@ -27,13 +31,14 @@ def keep_first(df: DataFrame, column: str, *, order: str = ROW, keep_blank_keys:
     With ``keep_blank_keys`` rows whose key is blank are all kept: each is a
     group of its own, so the rows are keyed and shuffled once.
     """
-    require_columns(df, [column, order])
+    order = [order] if isinstance(order, str) else list(order)
+    require_columns(df, [column, *order])
     keyed = with_duplicate_key(df, column)
     group = ["__dupkey"]
     if keep_blank_keys:
-        keyed = keyed.withColumn("__own", F.when(F.col("__dupkey") == "", qcol(order)))
+        keyed = keyed.withColumn("__own", F.when(F.col("__dupkey") == "", F.struct(*map(qcol, order))))
         group.append("__own")
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(qcol(order)))
+    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*map(qcol, order)))
     return keyed.withColumn("__rn", rn).filter(F.col("__rn") == 1).drop("__rn", *group)
 
 

@@ -22,8 +22,10 @@ def read_csv_sheet(spark: SparkSession, path: str, *, header: bool = True, **opt
     """A CSV file (or folder/glob) as a sheet table: string columns + ``_row``.
 
     No type inference (one text form per cell, as in the grid source);
-    ``_row`` is the physical line number per file (2 = first data line under
-    a header), built without a single-partition window.
+    ``_row`` numbers the records of each file (2 = first one under a header),
+    built without a single-partition window.  Blank lines are not counted and
+    rows of several files share numbers: ``sources.lines.read_csv_records`` gives
+    physical lines, multi-line cells included, with the file.
     """
     reader = spark.read.option("header", header).option("inferSchema", False)
     for k, v in options.items():
