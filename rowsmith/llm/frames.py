@@ -26,6 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the path for ``drop_scratch``."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch table; its frames must not be used afterwards."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.frames import scratch, written
+from rowsmith.llm.frames import drop_scratch, held, scratch, written
 from rowsmith.llm.hyperminhash import shingle_sets
 from rowsmith.llm.words import BASE, mix
 from rowsmith.operators.components import connected_components
@@ -42,6 +42,7 @@ from rowsmith.operators.components import connected_components
 STRETCH = 1 << 21  # shingles counted at a time in a task
 COMMON = 1 << 20  # shingles whose counts travel to the tasks: at most 12 MB
 MOST = 8  # longest extension of a prefix
+FEW = 1 << 20  # wanted texts whose marks (24 MB) are broadcast; more are joined by a shuffle
 MARKS = 1 << 21  # words of 64 bits in the bitmap of wanted texts: 16 MB
 VERIFY = (16, 0.25)  # cost of a candidate in list entries: fixed, and per shingle
 _U = np.uint64
@@ -163,24 +164,6 @@ def _sets(size: int):
     return run
 
 
-def _similar(percent: int):
-    """Pairs with both full sets, in hash order -> the pairs that are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            near = []
-            for i in range(batch.num_rows):
-                x, y = (c[i].values.to_numpy() for c in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    near.append(i)
-            at = pa.array(near, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("u").take(at), batch.column("v").take(at)], names=["u", "v"])
-
-    return run
-
-
 def _wanted(words: np.ndarray):
     """Texts whose mark is set, equal ones once per batch."""
 
@@ -201,18 +184,24 @@ def sets_of(wanted: DataFrame, source: DataFrame, size: int) -> DataFrame:
     words = np.zeros(MARKS, np.int64)
     words[rows.column("i").to_numpy()] = rows.column("bits").to_numpy()
     texts = source.select("t1", "t2", "text").mapInArrow(_wanted(words), "t1 long, t2 long, text string")
-    return texts.join(wanted, ["t1", "t2"]).groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets(size), "rep long, members array<long>")
+    return texts.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, ["t1", "t2"]).groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets(size), "rep long, members array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``u, v`` whose sets are similar enough; ``sets`` says which text each member has."""
-    pairs = written(pairs, "ngram-pairs")
+    spark = pairs.sparkSession
+    pairs, pairs_path = held(pairs, "ngram-pairs")
     members = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
-    wanted = written(sets.select("rep", "t1", "t2").join(members, "rep"), "ngram-wanted")
-    full = written(sets_of(wanted, source, size), "ngram-members")
+    wanted, wanted_path = held(sets.select("rep", "t1", "t2").join(members, "rep"), "ngram-wanted")
+    full, full_path = held(sets_of(wanted, source, size), "ngram-members")
     one = pairs.join(full.select(F.col("rep").alias("u"), F.col("members").alias("left")), "u")
     both = one.join(full.select(F.col("rep").alias("v"), F.col("members").alias("right")), "v")
-    return written(both.select("u", "v", "left", "right").mapInArrow(_similar(percent), "u long, v long"), "ngram-links")
+    common = F.size(F.array_intersect("left", "right"))  # row by row in the JVM: no batch of sets is held
+    near = (100 + percent) * common >= percent * (F.size("left") + F.size("right"))
+    links = written(both.filter(near).select("u", "v"), "ngram-links")
+    for path in (pairs_path, wanted_path, full_path):
+        drop_scratch(spark, path)
+    return links
 
 
 def _within(x: str, y: str, k: str, percent: int) -> str:
@@ -292,10 +281,12 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
     kept = prefix.join(shared, "token", "left_semi").distinct()
     kept = kept.select("token", "a", F.shiftright("info", 32).alias("n"), F.shiftright("info", 4).bitwiseAND(F.lit((1 << 28) - 1)).alias("pos"), F.col("info").bitwiseAND(F.lit(15)).alias("k"))
-    entries = written(kept.join(sets.select("a", "n", "rep"), ["a", "n"]).select("token", "rep", "n", "pos", "k"), "ngram-entries")
+    every, every_path = held(kept.join(sets.select("a", "n", "rep"), ["a", "n"]).select("token", "rep", "n", "pos", "k"), "ngram-entries")
+
+    lists = every.groupBy("token").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("token")
+    entries = written(every.join(lists, "token", "left_semi"), "ngram-lists")
+    drop_scratch(spark, every_path)
 
-    lists = entries.groupBy("token").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("token")
-    entries = written(entries.join(lists, "token", "left_semi"), "ngram-lists")
     def check(pairs: DataFrame) -> DataFrame:
         return verified(pairs, sets, source, size, percent)
 
