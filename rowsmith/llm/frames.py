@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame, cols: list[str] | None = None) -> Column:
+    """A struct of the columns, whatever they are called."""
+    return F.struct(*[df["`" + c.replace("`", "``") + "`"] for c in (df.columns if cols is None else cols)])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/rowsmith-{name}-{uuid.uuid4().hex}"
