@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsmith.llm.frames import text_bytes
+from rowsmith.llm.frames import drop_scratch, held, text_bytes, whole_row
 from rowsmith.llm.words import ALNUM, Words, blocks
 
 SHARD_BYTES = 6 << 20
@@ -172,7 +172,7 @@ class Windows:
         owner = np.concatenate([words.text_of()[starts], short]).astype(np.int64)
         both = np.concatenate([rows, lens[:, None].astype(np.uint64)], axis=1)
         distinct, which = np.unique(both, axis=0, return_inverse=True) if len(both) else (both, owner)
-        self.items = np.array(items, dtype=object)
+        self.items = np.array(items, dtype=object)  # null for an item without id
         self.hashes, self.sizes = distinct[:, :size], distinct[:, size].astype(np.int64)
         pairs = np.unique(np.stack([which.ravel(), owner], axis=1), axis=0) if len(both) else np.zeros((0, 2), np.int64)
         self.item = pairs[:, 1]
@@ -232,7 +232,7 @@ def _search(windows, limit: int, with_text: bool):
                     n_hit.append(cut)
                     own = set(old_items[lo + k] or ())
                     for p in got[got_from[k] : got_from[k + 1], 1]:
-                        own.update(w.items[w.item[w.item_from[p] : w.item_from[p + 1]]])
+                        own.update(i for i in w.items[w.item[w.item_from[p] : w.item_from[p + 1]]] if i is not None)
                     items.append(sorted(own))
                     turn = np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).astype(np.int8))) if cut else ()
                     spans.append([{"first": int(x), "last": int(y)} for x, y in zip(turn[::2], turn[1::2])])
@@ -264,8 +264,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     the text without the spans (``with_text``), and the input row as a struct, so
     no column name can clash.
 
-    A null or empty text has no words; null texts stay null. Null item ids and
-    texts are left out. Repeated rows are ordinary rows, repeated items count
+    A null or empty text has no words; null texts stay null. The words of an item
+    without id count as hit like any others, but it has no place among ``items``;
+    items without text have no windows. Repeated rows are ordinary rows, repeated items count
     once. An empty benchmark hits nothing, an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -273,11 +274,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     found = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.lit(0).cast("long").alias("n_hit"), F.array().cast(fields).alias("spans"), F.array().cast("array<string>").alias("items"),
-        F.lit(None).cast("string").alias("clean"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna()
+        F.lit(None).cast("string").alias("clean"), whole_row(docs).alias("row"))
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna(subset=["text"])
     pieces = max(1, -(-text_bytes(bench) // piece_bytes))
+    last_path = None
     for k in range(pieces):
         rows = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(pieces)) == k).collect()
-        windows = Windows([r.item for r in rows], [r.text for r in rows], size)
-        found = found.mapInArrow(_search(spark.sparkContext.broadcast(windows), shard_bytes, with_text and k == pieces - 1), found.schema)
+        shared = spark.sparkContext.broadcast(Windows([r.item for r in rows], [r.text for r in rows], size))
+        found = found.mapInArrow(_search(shared, shard_bytes, with_text and k == pieces - 1), found.schema)
+        if k < pieces - 1:
+            # one piece at a time is held anywhere
+            found, path = held(found, "windows")
+            shared.unpersist()
+            if last_path:
+                drop_scratch(spark, last_path)
+            last_path = path
     return found.drop("text")
