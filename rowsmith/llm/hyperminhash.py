@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rowsmith.llm.frames import written
+from rowsmith.llm.frames import whole_row, written
 from rowsmith.llm.words import BASE, Words, blocks, mix, sliding
 from rowsmith.operators.components import connected_components
 
@@ -293,9 +294,10 @@ def row_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     number, so neither repeated nor missing ids mix or separate classes.
     """
     cols = [c for c in docs.columns if c != text_col] if carry is None else carry
-    row = F.struct(*[docs[f"`{c}`"] for c in cols], *([] if cols else [F.lit(None).cast("boolean").alias("none")])).alias("row")
+    row = (whole_row(docs, cols) if cols else F.struct(F.lit(None).cast("boolean").alias("none"))).alias("row")
     src = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"row {src.schema['row'].dataType.simpleString()}, doc_id long, text string, n_shingles long, a long, b long, regs binary"
+    rest = StructType.fromDDL("doc_id long, text string, n_shingles long, a long, b long, regs binary")
+    schema = StructType([src.schema["row"], *rest.fields])
     sketches = written(src.mapInArrow(_sketch(size), schema).withColumn("no", F.monotonically_increasing_id()), "sketch")
     own = sketches.filter("n_shingles > 0")
     reps = own.groupBy("a", "b", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "no")).alias("m"))

@@ -21,8 +21,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rowsmith.llm.fitting import Logistic, held_out, labelled_sample
+from rowsmith.llm.frames import whole_row
 from rowsmith.llm.words import Words, blocks
 
 PER_CLASS = 1500
@@ -185,9 +187,9 @@ def score(docs: DataFrame, model: AttentionModel, text_col: str = "text", carry:
     table gives none.
     """
     cols = carry or docs.columns
-    src = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(whole_row(docs, cols).alias("row"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return src.mapInArrow(_score(shared), f"row {src.schema['row'].dataType.simpleString()}, score double")
+    return src.mapInArrow(_score(shared), StructType([src.schema["row"], StructField("score", DoubleType())]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

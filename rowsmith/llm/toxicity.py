@@ -25,8 +25,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rowsmith.llm.fitting import Logistic, held_out, labelled_sample
+from rowsmith.llm.frames import whole_row
 from rowsmith.llm.words import Words, blocks, mix
 
 PER_CLASS = 1000
@@ -183,10 +185,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
     A model fitted without any toxic text scores everything near 0.
     """
     cols = carry or docs.columns
-    src = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(whole_row(docs, cols).alias("row"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    row_type = src.schema["row"].dataType.simpleString()
-    return src.mapInArrow(_score(shared), f"row {row_type}, score double")
+    return src.mapInArrow(_score(shared), StructType([src.schema["row"], StructField("score", DoubleType())]))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
