@@ -41,7 +41,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
 #: Columns that operators use inside.
-CLASHING = ["row", "shard", "key", "spans", "items", "score", "rep", "block", "n_words", "__x"]
+CLASHING = ["row", "shard", "key", "spans", "items", "score", "rep", "block", "n_words", "__x", "a.b", "row.doc_id"]
 
 
 def documents(spark, rows=ROWS):

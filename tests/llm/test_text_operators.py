@@ -1,4 +1,8 @@
 import hashlib
+import math
+import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -148,14 +152,13 @@ def test_suffix_array_and_index():
 
 @pytest.mark.parametrize("piece_bytes,shard_bytes", [(1 << 23, 1 << 22), (60, 200)])
 def test_decontamination(spark, piece_bytes, shard_bytes):
-    items = [(1, " ".join(spaced(ROWS[6][1])[20:45])), (2, "same SAME same"), (3, "one"), (4, None), (5, "- -"), (6, " ".join(spaced(ROWS[0][1])[5990:])), (1, "one"), (None, "one")]
+    items = [(1, " ".join(spaced(ROWS[6][1])[20:45])), (2, "same SAME same"), (3, "one"), (4, None), (5, "- -"), (6, " ".join(spaced(ROWS[0][1])[5990:])), (1, "one"), (None, "one"), (None, "\U0001f600 tab")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = defaultdict(set)
     for i, t in items:
         w = alnum(t)
-        if i is not None and w:
-            for k in range(max(1, len(w) - 9)):
-                windows[tuple(w[k : k + 10])].add(str(i))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])] |= {str(i)} - {"None"}  # an item without id hits, but has no name
     want = []
     for i, t, *_ in ROWS:
         w = alnum(t)
@@ -228,6 +231,71 @@ def test_secrets_of_letters_and_beside_examples(spark):
     assert [clean for _, clean in got[len(secret) :]] == words
 
 
+def brute_secrets(text):
+    """Base spans and all spans, every window counted anew."""
+    base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text, re.A) if len(m[2]) >= 12]
+    base += [(m.start(), kind, m.end()) for kind, p in ((1, secrets.ACCESS), (2, secrets.HEX)) for m in re.finditer(p, text)]
+    runs = set()
+    for c in re.finditer(secrets.CANDIDATE, text):
+        shown = re.sub(secrets.EXAMPLE, lambda m: " " * len(m[0]), c[0])
+        for m in (m for p in secrets.RUNS for m in re.finditer(p, shown)):
+            least = next(bits for p, bits in secrets.CLASSES if re.search(p, m[0]))
+            bits = 0.0
+            for k in range(len(m[0]) - 19):
+                share = [n / 20 for n in Counter(m[0][k : k + 20]).values()]
+                bits = max(bits, -sum(x * math.log2(x) for x in share))
+            if len(m[0]) >= 20 and bits >= least - 1e-9 and not any(re.search(p, m[0]) for p in secrets.ALLOW):
+                runs.add((c.start() + m.start(), 3, c.start() + m.end()))
+    known = base + list(runs)
+    alone = [r for r in runs if not any(o != r and o[0] <= r[0] and r[2] <= o[2] for o in known)]
+    return sorted(base), sorted(base + alone)
+
+
+def brute_redacted(text, spans):
+    out, at = "", 0
+    for start, _, end in spans:
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def _scanned(spark, texts):
+    found = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8))
+    rows = found.select("row.doc_id", "base", "spans", secrets.redacted(F.col("row.text"), F.col("spans")).alias("clean")).collect()
+    return [r for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_secrets_equal_brute_force(spark):
+    r = random.Random(5)
+    parts = ["0123456789abcdef", "ABCDEF", "abcXYZ019", "ghijkl", "+/_=-", " ", "é😀 ", "example", "password=", "token: '", "AKIA", "\n.", "q7x2m9k4v8w3z6p1r5t0", "aB3dE5fG7hJ9kL1mN3pQ"]
+    texts = []
+    for k in range(400):
+        chosen = r.sample(parts, r.randint(2, 6))
+        texts.append("".join(r.choice(chosen) if r.random() < 0.3 else "".join(r.choice(x := r.choice(chosen)) for _ in range(r.randint(1, 30))) for _ in range(r.randint(1, 40))))
+    # borders of pieces and chunks: the one dense window at every place, more matches than a chunk holds
+    texts += ["ab" * (110 + k // 2) + "a" * (k % 2) + "q7x2m9k4v8w3z6p1r5t0" + "ab" * 130 for k in range(40)]
+    texts += [" ".join(f"{n:016x}" for n in range(m)) for m in (255, 256, 257, 600)]
+    texts += ["é" + "-".join(f"{r.getrandbits(96):024x}G" for _ in range(300)), "AKIA" + "password=0123456789abcdef" * 300]
+    for text, got in zip(texts, _scanned(spark, texts)):
+        base, spans = brute_secrets(text)
+        assert [tuple(s) for s in got.base] == base and [tuple(s) for s in got.spans] == spans, text
+        assert got.clean == brute_redacted(text, spans)
+
+
+def test_time_of_secret_scans_follows_the_text(spark):
+    """An unbroken run without a dense window, one whose last window is dense, and a text of matches, of 1 MB each."""
+    n = 1_000_000
+    tail = "q7x2m9k4v8w3z6p1r5t0"
+    texts = ["xy" * (n // 2), "xy" * (n // 2) + tail, " ".join(f"{k:016x}" for k in range(n // 17))]
+    _scanned(spark, ["x"])
+    for text, want in zip(texts, ([], [(0, 3, n + 20)], [(17 * k, 2, 17 * k + 16) for k in range(n // 17)])):
+        started = time.monotonic()
+        (got,) = _scanned(spark, [text])
+        assert time.monotonic() - started < 20
+        assert [tuple(s) for s in got.spans] == want and got.clean == brute_redacted(text, want)
+
+
 def test_digests_of_the_queries(spark):
     from rowsmith.llm import queries
 
