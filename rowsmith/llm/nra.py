@@ -41,8 +41,12 @@ def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query numbers, candidate numbers and scores of the k best per query, ties to the smaller id; a row with the query's id is left out."""
+def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int,
+                 copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, candidate numbers and scores of the k best per query, ties to the smaller id; a row with the query's id is left out.
+
+    With ``copies``, rows per candidate, only a query's own vector under its id is left out, and only if there is no second one.
+    """
     n, d = vectors.shape
     bound = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(d, 1)
     kind = np.float32 if bound < 2**24 else np.float64
@@ -71,6 +75,9 @@ def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
         else:
             best = worst = read.copy()
         own = ids[:, None] == query_ids[left][None, :]
+        if copies is not None:
+            i, j = np.nonzero(own)
+            own[i, j] = (copies[i] == 1) & (vectors[i] == queries[left[j]]).all(axis=1)
         best[own] = -np.inf
         if worst is not best:
             worst[own] = -np.inf
@@ -94,13 +101,15 @@ def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
 
 def _pair(k: int):
     def run(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query", "query_id", "vec_id", "score", "n"]
         if not candidates.num_rows or not queries.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
         width = max(t.column("vec").combine_chunks().value_lengths().to_numpy().max() for t in (candidates, queries))
-        ids, query_ids = candidates.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-        q, c, s = top_of_block(_matrix(candidates.column("vec"), width), ids, _matrix(queries.column("vec"), width), query_ids, k)
-        return pa.table({"query_id": query_ids[q], "vec_id": ids[c], "score": s})
+        ids, query_ids, copies = candidates.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy(), candidates.column("copies").to_numpy()
+        v, x = _matrix(candidates.column("vec"), width), _matrix(queries.column("vec"), width)
+        q, c, s = top_of_block(v, ids, x, query_ids, k, copies)
+        own = (ids[c] == query_ids[q]) & (v[c] == x[q]).all(axis=1)
+        return pa.table(dict(zip(names, (queries.column("query").to_numpy()[q], query_ids[q], ids[c], s, copies[c] - own))))
 
     return run
 
@@ -110,22 +119,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     """``query_id, rank, vec_id, score``: for each query row the k rows of ``vectors`` with the highest integer inner product.
 
     Components count as floor(scale * x). Vectors null, or with a null or
-    non-finite component, take no part, nor do null ids; rows that repeat an id
-    count once (the smallest vector). A row never answers itself. Ties go to the
-    smaller id. Shorter vectors count as filled with zeros. Every query gets
-    min(k, candidates) rows; empty tables give none. Scores must fit a long.
+    non-finite component, take no part, nor do null ids. Rows that repeat an id,
+    with the same vector or another, are rows of their own, as queries and as
+    candidates; a query row leaves out one row of its id and vector, itself. Equal
+    rows travel once, with their number. Ties go to the smaller id. Shorter vectors
+    count as filled with zeros. Every query gets min(k, candidates) rows; empty
+    tables give none. Scores must fit a long.
     """
 
     def clean(df: DataFrame) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col), scale).alias("vec")).dropna()
-        return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+        return rows.groupBy("vec_id", "vec").agg(F.count(F.lit(1)).alias("copies"))
 
     rows = written(clean(vectors), "vectors")
-    asked = clean(queries)
+    asked = written(clean(queries).withColumn("query", F.monotonically_increasing_id()), "queries")
     n_blocks = max(1, -(-rows.count() // block))
     n_queries = max(1, -(-asked.count() // query_block))
-    left = rows.withColumns({"block": shard_of(n_blocks, "vec_id"), "part": F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))})
-    right = asked.withColumns({"part": shard_of(n_queries, "vec_id"), "block": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
-    best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_pair(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    left = rows.withColumns({"block": shard_of(n_blocks, "vec_id", "vec"), "part": F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))})
+    right = asked.drop("copies").withColumns({"part": shard_of(n_queries, "vec_id", "vec"), "block": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
+    best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_pair(k), "query long, query_id long, vec_id long, score long, n long")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    best = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    best = best.withColumn("before", before).filter(F.col("before") < k)
+    best = best.withColumn("rank", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k))))).join(
+        asked.filter("copies > 1").select("query", "copies"), "query", "left")
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)))))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -132,15 +132,12 @@ def test_warc_rejects_broken_files():
 
 
 def brute_top(rows, k):
-    v = {}
-    for i, x in rows:
-        if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
-            c = [math.floor(64 * c) for c in x]
-            v[i] = min(v.get(i, c), c)
+    """Every row is a candidate of every query row but itself."""
+    v = [(i, [math.floor(64 * c) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
     out = []
-    for q in v:
+    for no, (q, x) in enumerate(v):
         if q % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(x, y)), c) for other, (c, y) in enumerate(v) if other != no)[:k]
             out += [(q, n, c, -s) for n, (s, c) in enumerate(scores, 1)]
     return sorted(out)
 
@@ -150,6 +147,8 @@ def test_top_k(spark, n, block):
     rng = np.random.default_rng(n)
     rows = [(i, [float(c) for c in np.float32(rng.integers(-3, 4, 6) / 8)]) for i in range(n)]  # many ties
     rows += [(n + 20, None), (n + 21, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (n + 22, [math.nan] * 6), (n + 23, [math.inf] * 6), (3, rows[3][1]), (None, rows[0][1])]
+    # ids that repeat with the same vector and with others, among candidates and queries; more copies than are asked for
+    rows += [(0, rows[0][1]), (0, rows[1][1]), (1, rows[2][1])] + [(2, [1.0] * 6)] * 30
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit("clash")).withColumn("part", F.lit("clash"))
     got = nra.top_k(df, df.filter("vec_id % 20 = 0"), k=20, block=block, query_block=4).collect()
     assert sorted(map(tuple, got)) == brute_top(rows, 20)
