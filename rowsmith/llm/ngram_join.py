@@ -240,8 +240,8 @@ def cross_pairs(entries: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
     pairs = written(join(small.filter("minor"), large).unionByName(join(small.filter("NOT minor"), large.filter("minor"))).distinct(), "ngram-met")
     several = pairs.filter("k > 1")
-    asked = several.select(F.col("u").alias("rep")).union(several.select("v")).distinct()
-    prefixes = entries.join(asked, "rep").groupBy("rep").agg(F.collect_list(F.struct("token", "pos")).alias("tokens"))
+    # one row per document before anything meets it: both sides of a pair with k > 1 ask for more than one token
+    prefixes = written(entries.filter("k > 1").groupBy("rep").agg(F.collect_list(F.struct("token", "pos")).alias("tokens")), "ngram-prefixes")
     counted = several.join(prefixes.select(F.col("rep").alias("u"), F.col("tokens").alias("x")), "u").join(
         prefixes.select(F.col("rep").alias("v"), F.col("tokens").alias("y")), "v")
     common = "array_intersect(filter(x, e -> e.pos <= n - least_common + k).token, filter(y, e -> e.pos <= m - least_common + k).token)"
