@@ -17,7 +17,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
                     id_col: str = "doc_id", text_col: str = "text") -> tuple[pd.DataFrame, dict[int, int]]:
     """At most ``per_class`` whole texts of each label, of up to ``max_chars`` characters and not held out, in hashed order; and how many rows have each label.
 
-    The sample is what a model may be fitted on; it does not grow with the input.
+    Of several texts of an id the smallest counts, so reruns learn from the same ones. The sample is what a model may be fitted on; it does not grow with the input.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1) AND id IS NOT NULL")
     known = known.filter(~held_out(F.col("id"), folds, fold)).groupBy("id").agg(F.max("label").alias("label"))
@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= max_chars)
     # twice the ids, as some texts may be missing or too long
     ids = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(2 * per_class) for k in (0, 1)]
-    rows = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "id").dropDuplicates(["id"])
+    rows = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     parts = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
     sample = parts[0].unionByName(parts[1]).toPandas()
     return sample.sort_values("id", ignore_index=True), totals

@@ -4,7 +4,7 @@ from llm_cases import ROWS, documents, empty, prose
 from pyspark.sql import functions as F
 
 from rowsmith.llm import quality, queries, toxicity
-from rowsmith.llm.fitting import Logistic
+from rowsmith.llm.fitting import Logistic, labelled_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -52,6 +52,14 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
         assert a == b
 
 
+def test_sample_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (3, "d"), (3, "c"), (4, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    for n in (1, 4):
+        sample, totals = labelled_sample(docs.repartition(n), labels, "toxic", 1, 5, 10, 100)
+        assert sample.text.tolist() == ["a", "c", "e"] and totals == {0: 1, 1: 2}
+
+
 def test_telling_passages_ignore_copies():
     ordinary = [prose(k, 80).encode() for k in range(60)]
     toxic = [prose(100 + k, 80).encode() + b" you zorblax " + prose(k, 5).encode() + b" zorblax" for k in range(30)] + [prose(999, 80, 100_000).encode()] * 30
