@@ -5,7 +5,13 @@ Plan, all distributed:
 1. A2 ``value_counts``: stripped non-empty text -> count and first row.
 2. Values are grouped by their similarity key (T3).  Equal keys are similar
    by definition, so work continues on distinct keys.
-3. J3 candidate pairs of keys by prefix-filtered bigram blocking:
+3. J3 candidate pairs of keys, no pair lost, in two ways by the shorter key.
+   Up to ``SHORT`` characters: similar keys of lengths a and b match at least
+   m(a, b) characters in order, so deleting a - m from the one and b - m from
+   the other can leave the same text; keys meet on these texts, per pair of
+   lengths, with at most two deletions each. Keys that meet share m characters
+   in order, so codes do not meet by a few common digits.
+   Longer ones by prefix-filtered bigram blocking:
    a similar pair with M matched characters in B <= U+1 matching blocks
    (U = unmatched characters) shares at least ``t = 3M - (a+b) - 1`` bigram
    occurrences.  Occurrences are numbered (gram, k) so multisets become
@@ -24,13 +30,16 @@ Plan, all distributed:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsmith.functions.similarity import length_window, similar_from_ratio, sm_ratio
 from rowsmith.functions.text import casefold, similarity_key, strip_text
 from rowsmith.operators.common import qcol, require_columns
-from rowsmith.operators.components import connected_components
+from rowsmith.operators.components import connected_components, written_table
+from rowsmith.session import checkpoint_dir
 
 ROW = "_row"
 
@@ -72,8 +81,51 @@ def _bound_t(a: F.Column) -> F.Column:
     return F.least(near, far).cast("long")
 
 
+SHORT = 12  # longest shorter key of a pair that is found by deletions
+_LONGEST = SHORT * 11 // 9 + 1  # no partner of such a key is longer
+
+
+def least_matched(a: int, b: int) -> int | None:
+    """Fewest matched characters of similar keys of ``a`` and ``b`` characters; None where no such keys are similar."""
+    m = -(-41 * (a + b) // 100) if abs(a - b) <= 1 else -(-9 * (a + b) // 20)
+    return m if m <= min(a, b) else None
+
+
+def _deleted(texts: F.Column, start: F.Column) -> F.Column:
+    """The texts that deleting one character, not before the ``start``-th, leaves."""
+    return F.transform(F.sequence(start, F.length(texts)), lambda i: F.concat(F.substring(texts, F.lit(1), i - 1), F.substring(texts, i + 1, F.length(texts))))
+
+
+def deletion_pairs(keys: DataFrame) -> DataFrame:
+    """J3 for keys up to ``SHORT`` characters and their partners: ``k1 < k2`` pairs with enough characters in order, each once."""
+    partners = []
+    for a in range(1, _LONGEST + 1):
+        found = [(b, least_matched(a, b)) for b in range(1, _LONGEST + 1) if min(a, b) <= SHORT]
+        partners.append(F.array(*[F.struct(F.lit(min(a, b)).alias("lo"), F.lit(max(a, b)).alias("hi"), F.lit(a - m).alias("gone")) for b, m in found if m is not None]))
+    k = F.col("k")
+    once = _deleted(k, F.lit(1))
+    # the second deletion takes a character behind the first one
+    twice = F.flatten(F.transform(F.sequence(F.lit(1), F.col("klen") - 1), lambda i: _deleted(F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))), i)))
+    left = [F.array(k), F.array_distinct(once), F.when(F.col("klen") > 2, F.array_distinct(twice))]
+    kinds = keys.filter(F.col("klen") <= _LONGEST).select("k", "klen", "kmin", "kmax", F.explode(F.element_at(F.array(*partners), F.col("klen"))).alias("p"))
+    marked = kinds.select("k", "klen", "kmin", "kmax", "p.lo", "p.hi", F.explode(F.when(F.col("p.gone") == 0, left[0]).when(F.col("p.gone") == 1, left[1]).otherwise(left[2])).alias("left"))
+    one, two = (
+        marked.filter(F.col("klen") == F.col(end)).select(F.col("k").alias(f"k{n}"), F.col("klen").alias(f"l{n}"), F.col("kmin").alias(f"min{n}"), F.col("kmax").alias(f"max{n}"), "lo", "hi", "left")
+        for n, end in ((1, "lo"), (2, "hi")))
+    met = one.join(two, ["lo", "hi", "left"]).filter((F.col("lo") < F.col("hi")) | (F.col("k1") < F.col("k2")))
+    behind = F.col("k1") > F.col("k2")
+    return met.select(*[
+        F.when(behind, F.col(c + other)).otherwise(F.col(c + n)).alias(c + n) for n, other in ("12", "21") for c in ("k", "l", "min", "max")]).distinct()
+
+
+def blocked_pairs(keys: DataFrame) -> DataFrame:
+    """The pairs of keys that may be similar, by deletions up to ``SHORT`` characters and by bigrams beyond."""
+    long = candidate_pairs(keys.filter(F.col("klen") > SHORT))
+    return deletion_pairs(keys).select(*long.columns).unionByName(long)
+
+
 def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """``k1 < k2`` key pairs that may be similar (a superset of the true pairs).
+    """``k1 < k2`` key pairs that may be similar (a superset of the true pairs), by bigrams.
 
     Carries each key's length and first/last row through the token stages,
     so no join back to the key table is needed.
@@ -115,8 +167,13 @@ def plausible_pairs(candidates: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def similar_key_edges(keys: DataFrame) -> DataFrame:
-    """Similar key pairs ``u < v`` (T4 in every orientation that occurs)."""
-    c = plausible_pairs(candidate_pairs(keys), keys)
+    """Similar key pairs ``u < v`` (T4 in every orientation that occurs).
+
+    Keys and candidates are read several times, so each is written once to the checkpoint folder.
+    """
+    base = f"{checkpoint_dir(keys.sparkSession).rstrip('/')}/rowsmith-similar-{uuid.uuid4().hex}"
+    keys = written_table(keys, f"{base}/keys")
+    c = plausible_pairs(written_table(blocked_pairs(keys), f"{base}/pairs"), keys)
     # value of k1 seen before a value of k2 -> ratio(k1, k2); and the reverse.
     fwd = c.filter(F.col("min1") < F.col("max2")).select(F.col("k1").alias("left"), F.col("k2").alias("right"), "k1", "k2", "l1", "l2")
     bwd = c.filter(F.col("min2") < F.col("max1")).select(F.col("k2").alias("left"), F.col("k1").alias("right"), "k1", "k2", "l1", "l2")

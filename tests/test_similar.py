@@ -112,3 +112,26 @@ def test_common_characters_bound_the_ratio_and_spare_calls(spark):
     near = {(a, b) for i, a in enumerate(codes) for b in codes[i + 1 :] if similar_keys_py(a, b) or similar_keys_py(b, a)}
     assert near <= kept and len(kept) < candidates.count() / 5
     assert spark.range(1).select(similar.numbered_characters(F.lit("abaa"))).first()[0] == ["a1", "b1", "a2", "a3"]
+
+
+def test_deletions_lose_no_pair_and_keep_codes_apart(spark):
+    """Seven-digit codes give far less than 1 % of all pairs; variants of all lengths around the border are all found."""
+    r = random.Random(11)
+    codes = sorted({"".join(r.choice("0123456789") for _ in range(7)) for _ in range(2000)})
+    frame = spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "value string, first_row long").withColumn("n", F.lit(1))
+    _, keys = similar._keys(frame)
+    assert similar.blocked_pairs(keys).count() < len(codes) * (len(codes) - 1) / 200
+
+    words = set()
+    for n in range(1, 19):
+        for _ in range(6):
+            w = "".join(r.choice("abcé") for _ in range(n))
+            words |= {w, w[::-1], w + r.choice("abxy"), w[1:], w[: n // 2] + "x" + w[n // 2 + 1 :], "x" + w + "y", w[: n // 2] + w[n // 2 + 2 :]}
+    words = sorted(w for w in words if w)
+    frame = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "value string, first_row long").withColumn("n", F.lit(1))
+    _, keys = similar._keys(frame)
+    found = [(x.k1, x.k2) for x in similar.blocked_pairs(keys).collect()]
+    assert len(found) == len(set(found)) and all(a < b for a, b in found)
+    ks = sorted({brute.sim_key(w) for w in words if brute.sim_key(w)})
+    near = {(a, b) for i, a in enumerate(ks) for b in ks[i + 1 :] if similar_keys_py(a, b) or similar_keys_py(b, a)}
+    assert len(near) > 300 and near <= set(found)
