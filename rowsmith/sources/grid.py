@@ -210,6 +210,38 @@ def preview(df: DataFrame, n: int = 30) -> DataFrame:
 
 
 # -- S10 ----------------------------------------------------------------------
+def _lowest(bits):
+    """The lowest set bit alone; 0 for none."""
+    return bits.bitwiseAND(-bits)
+
+
+def _highest(bits):
+    """The highest set bit alone; 0 for none."""
+    for n in (1, 2, 4, 8, 16):
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, n))
+    return bits.bitwiseXOR(F.shiftrightunsigned(bits, 1))
+
+
+def _bit_number(bit):
+    """The place of a single set bit; null for none."""
+    return F.when(bit != 0, F.bit_count(bit - 1).cast("long"))
+
+
+def _merged(grouped) -> DataFrame:
+    """First ``a`` and ``b``, the last ``last``, and in ``prev`` the last row of class ``at`` before that ``b``.
+
+    Parts cover separate ranges of rows: of the part that holds the first ``b`` its own
+    ``prev`` counts, of the parts before it their ``last``.
+    """
+    parts = grouped.agg(
+        F.min("a").alias("a"), F.min("b").alias("b"), F.max("last").alias("last"),
+        F.collect_list(F.struct("b", "last", "prev")).alias("parts"))
+    inside = F.array_max(F.transform(F.filter("parts", lambda p: p["b"] == F.col("b")), lambda p: p["prev"]))
+    ahead = F.array_max(F.transform(F.filter("parts", lambda p: p["last"] < F.col("b")), lambda p: p["last"]))
+    keys = [c for c in parts.columns if c != "parts"]
+    return parts.select(*keys, F.coalesce(F.greatest(inside, ahead), inside, ahead).alias("prev"))
+
+
 def detect_header(grid: DataFrame, g: GridSlice, *, prefix: str = DEFAULT_PREFIX) -> DataFrame:
     """``path, sheet, header_row`` after moving past placeholder headers.
 
@@ -218,8 +250,11 @@ def detect_header(grid: DataFrame, g: GridSlice, *, prefix: str = DEFAULT_PREFIX
     row down.  Walking the non-empty rows r0 < r1 < ... from the start row,
     this stops at the first row with a real name (A), unless a row made only
     of prefix-like values (B) comes first -- then at the non-empty row before
-    B.  With neither, it stops at the last non-empty row.  All of this is
-    three grouped aggregates, so any number of sheets is one job.
+    B.  With neither, it stops at the last non-empty row.
+
+    The input is read once. Each 32 rows become three bit sets, one per row
+    class, before anything is shuffled; ordered summaries of 65,536 rows and
+    then of the sheet follow from these, so no task holds a sheet's rows.
     """
     g = g.corrected()
     cells = _col_slice(F.col("cells"), g)
@@ -235,24 +270,21 @@ def detect_header(grid: DataFrame, g: GridSlice, *, prefix: str = DEFAULT_PREFIX
     # a data row stops the walk when it has no text or only placeholder-like text
     stopper = (F.size(vals) == 0) | F.forall(vals, lambda x: x.startswith(prefix))
     h0 = g.header_row
-    rows = grid.select(
-        *SHEET_KEYS, "row_idx", (F.size(present) > 0).alias("nonempty"), real_name.alias("real"), stopper.alias("allp")
-    )
-    # every sheet appears, even one whose rows are all empty
-    at = (F.col("row_idx") >= h0) & ((F.col("row_idx") == h0) | F.col("nonempty"))
-    firsts = rows.groupBy(*SHEET_KEYS).agg(
-        F.min(F.when(at & F.col("real"), F.col("row_idx"))).alias("A"),
-        F.min(F.when((F.col("row_idx") > h0) & F.col("nonempty") & F.col("allp"), F.col("row_idx"))).alias("B"),
-        F.max(F.when(at, F.col("row_idx"))).alias("last"),
-    )
-    before_b = (
-        rows.filter(at)
-        .join(firsts.select(*SHEET_KEYS, "B"), SHEET_KEYS)
-        .filter(F.col("B").isNotNull() & (F.col("row_idx") < F.col("B")))
-        .groupBy(*SHEET_KEYS)
-        .agg(F.max("row_idx").alias("prevB"))
-    )
-    j = firsts.join(before_b, SHEET_KEYS, "left")
+    nonempty = F.size(present) > 0
+    at = (F.col("row_idx") >= h0) & ((F.col("row_idx") == h0) | nonempty)
+    classes = {"at": at, "real": at & real_name, "stop": (F.col("row_idx") > h0) & nonempty & stopper}
+    place = F.col("row_idx").cast("long")
+    bit = F.expr("shiftleft(1L, cast(row_idx & 31 as int))")
+    words = grid.groupBy(*SHEET_KEYS, F.shiftright(place, 5).alias("word")).agg(
+        *[F.bit_or(F.when(F.coalesce(c, F.lit(False)), bit).otherwise(F.lit(0).cast("long"))).alias(n) for n, c in classes.items()])
+
+    base = F.col("word") * 32
+    before = F.col("at").bitwiseAND(_lowest(F.col("stop")) - 1)
+    marks = words.select(
+        *SHEET_KEYS, "word", (base + _bit_number(_lowest(F.col("real")))).alias("a"), (base + _bit_number(_lowest(F.col("stop")))).alias("b"),
+        (base + _bit_number(_highest(F.col("at")))).alias("last"), F.when(F.col("stop") != 0, base + _bit_number(_highest(before))).alias("prev"))
+    blocks = _merged(marks.groupBy(*SHEET_KEYS, F.shiftright("word", 11).alias("part")))
+    j = _merged(blocks.groupBy(*SHEET_KEYS)).select(*SHEET_KEYS, F.col("a").alias("A"), F.col("b").alias("B"), "last", F.col("prev").alias("prevB"))
     header = (
         F.when(F.col("A").isNotNull() & (F.col("B").isNull() | (F.col("A") < F.col("B"))), F.col("A"))
         .when(F.col("B").isNotNull(), F.coalesce(F.col("prevB"), F.lit(h0)))

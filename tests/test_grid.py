@@ -181,3 +181,38 @@ def test_repeat_mangling_matches_pandas_reader(tmp):
         empty = [i for i, n in enumerate(names) if n == ""]
         raw = [f"Unnamed: {i}" if n == "" else n for i, n in enumerate(names)]
         assert _mangle_repeats(raw, empty) == got, names
+
+
+def test_header_walk_equals_the_loop_on_random_sheets_in_one_scan(spark):
+    """Rows over several words and blocks of 65,536 rows, sheets of one class only, null and empty rows."""
+    import random
+
+    from rowsmith.sources import grid
+
+    r = random.Random(3)
+    kinds = {"real": ["name", "Unnamed: 1"], "stop": ["col_1", None], "data": ["Unnamed: 4", None], "empty": [None, None]}
+    sheets = {"all stop": [(i, "stop") for i in range(5)], "no row at the start": [(70, "data"), (65_600, "stop"), (131_100, "real")], "empty": [(0, "empty"), (3, "empty")]}
+    for n in range(60):
+        weights = r.choice([(1, 1, 8, 2), (0, 1, 9, 1), (0, 1, 40, 9), (1, 0, 30, 3)])
+        places = sorted(r.sample(range(140), 40)) + sorted(r.sample(range(65_500, 65_600), 10)) + sorted(r.sample(range(131_000, 131_200), 5))
+        sheets[f"s{n}"] = [(p, r.choices(list(kinds), weights)[0]) for p in places]
+    rows = [("f", name, p, kinds[k]) for name, sheet in sheets.items() for p, k in sheet]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "path string, sheet string, row_idx int, cells array<string>")
+
+    def walked(sheet, h0):
+        tried = [(p, k) for p, k in sheet if p == h0 or (p > h0 and k != "empty")]
+        at = h0
+        for i, (p, k) in enumerate(tried):
+            if p > h0 and k == "stop":
+                return at
+            at = p
+            if k == "real":
+                return p
+        return at
+
+    for h0 in (1, 3):
+        found = grid.detect_header(frame, grid.GridSlice(header_row=h0, start_row=h0 + 1), prefix="col_")
+        assert {x.sheet: x.header_row for x in found.collect()} == {name: walked(sheet, h0) for name, sheet in sheets.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
