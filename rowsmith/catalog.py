@@ -23,8 +23,9 @@ from rowsmith.operators.clean import SplitRule
 from rowsmith.plans.load import build_load
 from rowsmith.plans.spec import GridSlice, LoadSpec, Lookup, TargetColumn
 from rowsmith.session import checkpoint_dir
-from rowsmith.sinks import commits
+from rowsmith.sinks import commits, files, versions
 from rowsmith.sources import grid, lines
+from rowsmith.sources.files import read_conversions, read_csv_sheet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1303,6 +1304,71 @@ def q_insert_twice(spark, d):
     return commits.read_committed(spark, path)
 
 
+# ---------------------------------------------------------------------------
+# Round trips: K2 by files, K3 and S12, K5 and S19
+# ---------------------------------------------------------------------------
+def _fresh(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/rowsmith-{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "update_rewrites",
+    """
+WITH last AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)
+SELECT c.c_custkey, c.c_nationkey, CASE WHEN last.o_custkey IS NOT NULL THEN last.v ELSE c.c_acctbal END AS c_acctbal
+FROM customer c LEFT JOIN last ON c.c_custkey = last.o_custkey
+""",
+)
+def q_update_rewrites(spark, d):
+    """K2: customers as a table ranged by key, then every customer with an open order takes that order's price."""
+    path = _fresh(spark, "customers")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    versions.create_table(c.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey"), path)
+    o = table(spark, d, "orders").filter("o_orderstatus = 'P'")
+    sheet = o.select(F.col("o_orderkey").alias("_row"), F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"))
+    versions.update_files(sheet, path, "c_custkey")
+    return versions.read_version(spark, path)
+
+
+@query(
+    "csv_export_read",
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ordered,
+       CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS finished, ' a "' || o_orderpriority || '", b ' AS remark
+FROM orders
+""",
+)
+def q_csv_export_read(spark, d):
+    """K3 then S12: orders exported as CSV, read back as a sheet and scanned by a mapping that names a column it lacks."""
+    o = table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_orderdate").alias("ordered at"), (F.col("o_orderstatus") == "F").alias("finished"),
+        F.concat(F.lit(' a "'), F.col("o_orderpriority"), F.lit('", b ')).alias("note"))
+    path = _fresh(spark, "export")
+    files.export_csv(o, path)
+    sheet = read_csv_sheet(spark, path, escape="\\")
+    return grid.read_records(sheet, {"o_orderkey": "id", "ordered at": "ordered", "finished": "finished", "note": "remark", "not there": "x"}).drop("_row")
+
+
+@query(
+    "conversions_read",
+    f"""
+WITH s AS (SELECT DISTINCT 'name' AS "column", p_name AS source, upper(p_name) AS target FROM part
+           UNION SELECT DISTINCT 'brand', ' ' || p_brand || ' ', p_brand || ', "' || substr(p_brand, 1, 3) || '"' FROM part)
+SELECT "column", {sql_strip('source')} AS source, {sql_strip('target')} AS target FROM s
+""",
+)
+def q_conversions_read(spark, d):
+    """K5 then S19: a conversion dictionary of all part names and brands, written and read back."""
+    p = table(spark, d, "part")
+    names = p.select(F.lit("name").alias("column"), F.col("p_name").alias("source"), F.upper("p_name").alias("target"))
+    brands = p.select(
+        F.lit("brand").alias("column"), F.concat(F.lit(" "), F.col("p_brand"), F.lit(" ")).alias("source"),
+        F.concat(F.col("p_brand"), F.lit(', "'), F.substring("p_brand", 1, 3), F.lit('"')).alias("target"))
+    path = _fresh(spark, "conversions")
+    files.export_conversions(names.unionByName(brands).distinct(), path)
+    return read_conversions(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

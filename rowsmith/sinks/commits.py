@@ -6,11 +6,13 @@ range of generated keys. Markers are created exclusively: of two writers of one
 load id, or of two loads asking for keys at once, the file system lets one through.
 Readers see the folders that markers name, so neither a failed attempt nor a
 second one of the same load shows. The file system must create files exclusively,
-as HDFS and POSIX ones do.
+as HDFS does; on a mounted folder, where Hadoop's local file system looks first and
+creates then, a finished file is linked to its name instead.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import time
 import uuid
@@ -34,6 +36,8 @@ def _path(spark: SparkSession, *parts: str):
 def _create(spark: SparkSession, text: str, *parts: str) -> bool:
     """A new file with ``text``; false if there is one already."""
     path, fs = _path(spark, *parts)
+    if fs.getUri().getScheme() == "file":
+        return _link(text, fs.makeQualified(path).toUri().getPath())
     try:
         out = fs.create(path, False)
     except Py4JJavaError:
@@ -45,6 +49,24 @@ def _create(spark: SparkSession, text: str, *parts: str) -> bool:
     return True
 
 
+def _link(text: str, name: str) -> bool:
+    """A new file that has its whole text from the moment it has its name; false if the name is taken."""
+    folder = os.path.dirname(name)
+    os.makedirs(folder, exist_ok=True)
+    whole = os.path.join(os.path.dirname(folder), f".marker-{uuid.uuid4().hex}")
+    with open(whole, "x", encoding="utf-8") as out:
+        out.write(text)
+        out.flush()
+        os.fsync(out.fileno())
+    try:
+        os.link(whole, name)
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(whole)
+    return True
+
+
 def _texts(spark: SparkSession, *parts: str) -> dict[str, str]:
     """Name and text of the small files in a folder; a file still being written has an empty text."""
     path, fs = _path(spark, *parts)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from rowsmith.functions.text import DEFAULT_NULL_TOKENS, null_tokens, strip_text
+from rowsmith.operators.clean import normalise_cells
 from rowsmith.operators.common import maybe_broadcast, qcol
 from rowsmith.plans.spec import GridSlice
 
@@ -295,6 +296,6 @@ def detect_header(grid: DataFrame, g: GridSlice, *, prefix: str = DEFAULT_PREFIX
 
 # -- S12 ----------------------------------------------------------------------
 def read_records(table: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Mapped columns present in the sheet, renamed to target names."""
+    """Mapped columns present in the sheet, renamed to target names, cells normalised (S13); ``_row`` stays."""
     pairs = [(s, t) for s, t in mapping.items() if s in table.columns]
-    return table.select(*([F.col(ROW)] if ROW in table.columns else []), *[qcol(s).alias(t) for s, t in pairs])
+    return normalise_cells(table.select(*([F.col(ROW)] if ROW in table.columns else []), *[qcol(s).alias(t) for s, t in pairs]))

@@ -71,3 +71,15 @@ def test_generated_keys_go_on_from_the_reserved_range(spark, tmp):
     commits.insert_once(load(spark, ["a", "b"]), tmp, "1", generate_key="key")
     commits.insert_once(load(spark, ["c"]), tmp, "2", generate_key="key")
     assert sorted((r.key, r.note) for r in commits.read_committed(spark, tmp).collect()) == [("00001", "a"), ("00002", "b"), ("00003", "c")]
+
+
+def test_of_many_writers_of_one_marker_one_gets_it(spark, tmp):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from rowsmith.sinks import commits
+
+    for i in range(20):
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda n: commits._create(spark, f"writer {n}", tmp, "marks", f"m{i}"), range(8)))
+        assert sum(won) == 1
+        assert commits._texts(spark, tmp, "marks")[f"m{i}"] == f"writer {won.index(True)}"
