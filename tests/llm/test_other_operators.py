@@ -164,3 +164,46 @@ def test_reading_stops_early_and_stays_exact():
     for k in range(50):
         order = [c for c in np.lexsort((np.arange(3000), -full[:, k])) if c != k][:5]
         assert cols[rows == k].tolist() == order and scores[rows == k].tolist() == full[order, k].tolist()
+
+
+def test_mix_draws_every_slot_of_every_shard_once(spark, monkeypatch):
+    """Shards are full, their counts differ by chance, and each source gives its target to the word."""
+    import collections
+
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    rows = [(i, " ".join(["w"] * (i % 97)), "abcd"[0 if i % 3 == 0 else i % 4]) for i in range(900)] + [(901, "x y z", None), (902, None, "e"), (903, "one", "f")]
+    pieces, docs = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=16)
+    pieces, docs = pieces.collect(), docs.collect()
+    taken, want = collections.Counter(), {}
+    for r in docs:
+        taken[r.source] += r.taken
+        want[r.source] = round(r.target)
+        assert r.taken <= 3 * r.size
+    assert all(taken[s] == want[s] for s in want)
+    assert sum(p.last - p.first for p in pieces) == sum(taken.values())
+    slots = collections.defaultdict(set)
+    for p in pieces:
+        slots[p.shard].add((p.slot, p.source, p.block))
+    sizes = {k: len(v) for k, v in slots.items()}
+    last = max(sizes)
+    assert set(sizes) == set(range(last + 1)) and all(sizes[k] == 64 for k in range(last)) and sizes[last] <= 64
+    assert all({s for s, _, _ in v} == set(range(len(v))) for v in slots.values())  # a slot holds one block
+    assert len({sum(s == "a" for _, s, _ in slots[k]) for k in range(last)}) > 3
+    # every block of a source is taken once per whole pass before any is taken once more
+    uses = collections.Counter((s, b) for v in slots.values() for _, s, b in v)
+    for s in "abcd":
+        times = [n for (source, _), n in uses.items() if source == s]
+        assert max(times) - min(times) <= 1
+
+
+def test_permutations_are_whole_even_where_a_multiplier_divides_the_count(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 7, 1000, 4096):
+        got = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(-5).cast("long"))).collect()
+        assert sorted(r[0] for r in got) == list(range(n))
+    p, n = mixing._PRIMES, mixing._PRIMES[0] * 3
+    got = spark.range(4).select(*[mixing._permuted(F.col("id") * mixing._PRIMES[0], F.lit(n).cast("long"), F.lit(4 * k).cast("long")) for k in range(1)]).collect()
+    assert len({r[0] for r in got[:3]}) == 3
+    assert all(x % d for x in p for d in range(2, 4100))
+    assert spark.range(1).select(mixing._permuted(F.lit((1 << 38) - 1), F.lit(1 << 38), F.lit(9).cast("long"))).first()[0] >= 0
