@@ -26,6 +26,7 @@ BLOCK = 64
 CHUNK_ROWS = 20_000
 SHARD_SLOTS = 8192
 RANGES = 1024  # stretches of the slots by which a draw finds its source
+EXPAND = 256  # shards whose slots one task makes
 GROUP = 4096  # shards whose draws are summed in one window
 FEW_SOURCES = 1 << 20  # tables of up to so many sources (some 60 MB) are broadcast
 _PRIMES = (16_777_213, 16_777_199, 16_777_183, 16_777_153)  # multipliers of a permutation: below 2^48 numbers at most one of them divides their count
@@ -98,6 +99,8 @@ def draws(plan: DataFrame, block: int, seed: int) -> DataFrame:
     earlier = F.sum("in_group").over(Window.partitionBy("key").orderBy("group")) - F.col("in_group")
     inside = F.sum("n").over(Window.partitionBy("key", "group").orderBy("shard")) - F.col("n")
     numbered = counts.withColumn("inside", inside).join(per_group.select("key", "group", earlier.alias("earlier")), ["key", "group"])
+    # a fixed number of tasks: the counts are few bytes, the slots they stand for are not
+    numbered = numbered.repartition(max(spark.sparkContext.defaultParallelism, shards // EXPAND), "shard")
     in_shard = F.sum("n").over(Window.partitionBy("shard").orderBy("key")) - F.col("n")
     numbered = numbered.select("shard", "key", "n", (F.col("earlier") + F.col("inside")).alias("k0"), in_shard.alias("i0"))
 
