@@ -39,7 +39,7 @@ from rowsmith.llm.hyperminhash import shingle_sets
 from rowsmith.llm.words import BASE, mix
 from rowsmith.operators.components import connected_components
 
-STRETCH = 1 << 21  # shingles counted at a time in a task
+STRETCH = 1 << 19  # shingles counted at a time in a task: some 20 MB while they are sorted
 COMMON = 1 << 20  # shingles whose counts travel to the tasks: at most 12 MB
 MOST = 8  # longest extension of a prefix
 FEW = 1 << 20  # wanted texts whose marks (24 MB) are broadcast; more are joined by a shuffle
