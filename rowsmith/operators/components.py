@@ -21,34 +21,30 @@ from pyspark.sql import functions as F
 from rowsmith.session import checkpoint_dir
 
 
-def _undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter(
-        F.col("u") != F.col("v")
-    )
+# The edges of a round are distinct, from the larger node ``u`` to the smaller ``v``,
+# so no step but the last one of a round has repeats to remove.
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    # m(u) = min(N(u) + u); link every larger neighbour v > u to m(u).
-    e = _undirected(edges).distinct()
-    m = e.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("mv", "u").alias("m"))
-    return e.filter(F.col("v") > F.col("u")).join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # m(u) = min(N(u) + u); link every larger neighbour of u to m(u). Edges may repeat in the result.
+    larger = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    m = edges.union(larger).groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("mv", "u").alias("m"))
+    return larger.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    # orient each edge to (larger, smaller); m(u) = min(N'(u) + u); link N'(u)+u to m(u).
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    m = e.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("mv", "u").alias("m"))
-    linked = e.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    selfs = m.select("u", F.col("m").alias("v"))
-    return linked.union(selfs).filter(F.col("u") != F.col("v")).distinct()
+    # m(u) = min of the smaller neighbours N'(u); link N'(u) and u to m(u).
+    m = edges.groupBy("u").agg(F.min("v").alias("m"))
+    linked = edges.join(m, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
+    return linked.filter(F.col("u") != F.col("v")).distinct()
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """True when no node has two out-edges and no edge ends at a non-root."""
-    outdeg = edges.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-    multi = outdeg.filter(F.col("d") > 1).select("u")
-    chained = outdeg.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
-    return multi.unionByName(chained).limit(1).count() == 0
+    out = edges.select(F.col("u").alias("node"), "v", F.lit(False).alias("end"))
+    ends = edges.select(F.col("v").alias("node"), F.lit(None).alias("v"), F.lit(True).alias("end"))
+    nodes = out.union(ends).groupBy("node").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.max("end").alias("end"))
+    return nodes.filter("x <> y OR (x IS NOT NULL AND end)").limit(1).count() == 0
 
 
 def _delete(spark, path: str) -> None:

@@ -1,10 +1,13 @@
 """Skew and plan-shape checks: hot keys must not end up whole in one task."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from rowsmith.operators import dedupe, lookup, similar
+from rowsmith.operators import components, dedupe, lookup, similar
 from rowsmith.operators.common import maybe_broadcast
 from rowsmith.plans.spec import Lookup
+from rowsmith.session import checkpoint_dir
 
 
 def _plan(df) -> str:
@@ -72,3 +75,36 @@ def test_no_registered_query_plans_a_cross_join(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_a_round_of_components_shuffles_its_edges_five_times(spark):
+    # each shuffle is as many tasks as the session has partitions, and the driver keeps a record of each
+    import random
+
+    r = random.Random(4)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(500, 540)] + [(900, k) for k in range(600, 700)]
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for u, v in pairs:
+        if u != v:
+            a, b = sorted((root(u), root(v)))
+            top[b] = a
+    edges = spark.createDataFrame(pairs + pairs[:50] + [(v, u) for u, v in pairs[50:90]], "u long, v long")
+    got = [tuple(x) for x in components.connected_components(edges).collect()]
+    assert sorted(got) == sorted((x, root(x)) for x in top)
+    oriented = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    oriented.write.mode("overwrite").parquet(f"{checkpoint_dir(spark)}/edges")
+    cur = spark.read.parquet(f"{checkpoint_dir(spark)}/edges")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(components._small_star(components._large_star(cur)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"- Exchange hashpartitioning", plan)) <= 5, plan
