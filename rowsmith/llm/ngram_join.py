@@ -153,26 +153,19 @@ def _prefixes(size: int, percent: int, tokens: np.ndarray, seen: np.ndarray):
     return run
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, row, h in shingle_sets(batch.column("text"), size):
-                edges = np.searchsorted(row, np.arange(hi - lo + 1))
-                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), lists], names=["rep", "members"])
-
-    return run
-
-
-def _wanted(words: np.ndarray):
-    """Texts whose mark is set, equal ones once per batch."""
+def _wanted_sets(words: np.ndarray, size: int):
+    """The sets of texts whose mark is set, equal texts once per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
             hit = np.flatnonzero(words[(t1 >> 6) & (MARKS - 1)] >> (t1 & 63) & 1)
             _, first = np.unique(np.stack([t1[hit], t2[hit]], axis=1), axis=0, return_index=True)
-            yield batch.take(pa.array(hit[np.sort(first)]))
+            found = batch.take(pa.array(hit[np.sort(first)]))
+            for lo, hi, row, h in shingle_sets(found.column("text"), size):
+                edges = np.searchsorted(row, np.arange(hi - lo + 1))
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*[found.column(c).slice(lo, hi - lo) for c in ("t1", "t2")], lists], names=["t1", "t2", "members"])
 
     return run
 
@@ -180,15 +173,16 @@ def _wanted(words: np.ndarray):
 def sets_of(wanted: DataFrame, source: DataFrame, size: int) -> DataFrame:
     """``rep, members`` with the full set of each ``rep, t1, t2``, from the one text that has these hashes."""
     bit = F.expr("shiftleft(1L, cast(t1 & 63 as int))")
-    rows = wanted.groupBy(F.shiftright("t1", 6).bitwiseAND(F.lit(MARKS - 1)).alias("i")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    rows = wanted.groupBy(F.shiftright("t1", 6).bitwiseAND(F.lit(MARKS - 1)).alias("i")).agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("m")).toArrow()
     words = np.zeros(MARKS, np.int64)
     words[rows.column("i").to_numpy()] = rows.column("bits").to_numpy()
-    texts = source.select("t1", "t2", "text").mapInArrow(_wanted(words), "t1 long, t2 long, text string")
-    return texts.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, ["t1", "t2"]).groupBy("rep").agg(F.first("text").alias("text")).mapInArrow(_sets(size), "rep long, members array<long>")
+    few = rows.column("m").to_numpy().sum() <= FEW
+    found = source.select("t1", "t2", "text").mapInArrow(_wanted_sets(words, size), "t1 long, t2 long, members array<long>")
+    return found.join(F.broadcast(wanted) if few else wanted, ["t1", "t2"]).groupBy("rep").agg(F.first("members").alias("members"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``u, v`` whose sets are similar enough; ``sets`` says which text each member has."""
+    """The rows of ``pairs`` whose members ``u, v`` have sets similar enough; ``sets`` says which text each member has."""
     spark = pairs.sparkSession
     pairs, pairs_path = held(pairs, "ngram-pairs")
     members = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
@@ -198,7 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, size: int, pe
     both = one.join(full.select(F.col("rep").alias("v"), F.col("members").alias("right")), "v")
     common = F.size(F.array_intersect("left", "right"))  # row by row in the JVM: no batch of sets is held
     near = (100 + percent) * common >= percent * (F.size("left") + F.size("right"))
-    links = written(both.filter(near).select("u", "v"), "ngram-links")
+    links = written(both.filter(near).select(pairs.columns), "ngram-links")
     for path in (pairs_path, wanted_path, full_path):
         drop_scratch(spark, path)
     return links
@@ -214,14 +208,15 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Per member the one that most of its lists have as their first, that is where the token stands earliest."""
     first = entries.groupBy("token").agg(F.min(F.struct("pos", "rep", "n", "k")).alias("c"))
     near = entries.join(first, "token").filter("rep <> c.rep").filter(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
-    met = near.filter(_within("", "c.", "least(k, c.k)", percent))
-    counts = met.groupBy("rep", F.col("c.rep").alias("center"), F.expr("least(k, c.k)").alias("k")).count().filter("count >= k")
+    met = near.filter(_within("", "c.", "least(k, c.k)", percent)).select("rep", F.col("c.rep").alias("center"), F.expr("least(k, c.k)").alias("k"))
+    # a member has one row per token of its prefix at most: dealt by member, both groupings need no other shuffle
+    counts = met.repartition("rep").groupBy("rep", "center", "k").count().filter("count >= k")
     best = counts.groupBy("rep").agg(F.min(F.struct((-F.col("count")).alias("m"), "center")).alias("c"))
     return best.select(F.col("rep").alias("u"), F.col("c.center").alias("v"))
 
 
 def cross_pairs(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes that share as many prefix tokens as both ask for, each once: the smaller set in ``u``."""
+    """Pairs of different classes that share as many prefix tokens as both ask for, each once: the smaller set in ``u``, the classes in ``of_u, of_v``."""
     placed = entries.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     by_class = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
     lists = by_class.groupBy("token").agg(F.count(F.lit(1)).alias("n_classes"), F.max(F.struct("m", "comp")).alias("top"))
@@ -236,7 +231,7 @@ def cross_pairs(entries: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
     def join(x: DataFrame, y: DataFrame) -> DataFrame:
         return x.alias("x").join(y.alias("y"), F.expr(met)).selectExpr(
-            "x.rep AS u", "y.rep AS v", "least(x.k, y.k) AS k", f"{overlap('x.n', 'y.n', percent)} AS least_common", "x.n AS n", "y.n AS m")
+            "x.rep AS u", "y.rep AS v", "x.comp AS of_u", "y.comp AS of_v", "least(x.k, y.k) AS k", f"{overlap('x.n', 'y.n', percent)} AS least_common", "x.n AS n", "y.n AS m")
 
     pairs = written(join(small.filter("minor"), large).unionByName(join(small.filter("NOT minor"), large.filter("minor"))).distinct(), "ngram-met")
     several = pairs.filter("k > 1")
@@ -245,7 +240,8 @@ def cross_pairs(entries: DataFrame, classes: DataFrame, percent: int) -> DataFra
     counted = several.join(prefixes.select(F.col("rep").alias("u"), F.col("tokens").alias("x")), "u").join(
         prefixes.select(F.col("rep").alias("v"), F.col("tokens").alias("y")), "v")
     common = "array_intersect(filter(x, e -> e.pos <= n - least_common + k).token, filter(y, e -> e.pos <= m - least_common + k).token)"
-    return pairs.filter("k = 1").select("u", "v").unionByName(counted.filter(f"size({common}) >= k").select("u", "v"))
+    named = ["u", "v", "of_u", "of_v"]
+    return pairs.filter("k = 1").select(named).unionByName(counted.filter(f"size({common}) >= k").select(named))
 
 
 def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,23 +274,21 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = written(sets, "ngram-sets")
 
     prefix = source.select("text").mapInArrow(_prefixes(size, percent, tokens, seen), "token long, a long, info long")
-    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
+    shared = prefix.groupBy("token").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("token")
     kept = prefix.join(shared, "token", "left_semi").distinct()
     kept = kept.select("token", "a", F.shiftright("info", 32).alias("n"), F.shiftright("info", 4).bitwiseAND(F.lit((1 << 28) - 1)).alias("pos"), F.col("info").bitwiseAND(F.lit(15)).alias("k"))
-    every, every_path = held(kept.join(sets.select("a", "n", "rep"), ["a", "n"]).select("token", "rep", "n", "pos", "k"), "ngram-entries")
-
-    lists = every.groupBy("token").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("token")
-    entries = written(every.join(lists, "token", "left_semi"), "ngram-lists")
-    drop_scratch(spark, every_path)
+    entries = written(kept.join(sets.select("a", "n", "rep"), ["a", "n"]).select("token", "rep", "n", "pos", "k"), "ngram-entries")
 
     def check(pairs: DataFrame) -> DataFrame:
         return verified(pairs, sets, source, size, percent)
 
-    star = check(star_pairs(entries, percent))
-    more = check(cross_pairs(entries, connected_components(star), percent))
-    classes = connected_components(star.unionByName(more))
+    classes = connected_components(check(star_pairs(entries, percent)))
+    more = check(cross_pairs(entries, classes, percent))
+    # the links found last join whole classes: their names are the nodes
+    merged = connected_components(more.select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
 
-    named = sets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component"))
+    named = sets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "n", F.coalesce("component", "rep").alias("class"))
+    named = named.join(merged.withColumnRenamed("node", "class"), "class", "left").select("a", "b", "n", F.coalesce("component", "class").alias("component"))
     names = sets.select(F.col("rep").alias("component"), F.col("doc_id").alias("class_id"))
     named = named.join(names, "component").select("a", "b", "n", "class_id")
     out = rows.join(named, ["a", "b", "n"], "left")

@@ -123,3 +123,23 @@ def test_the_most_frequent_tokens_by_whole_classes(spark, monkeypatch):
     assert set(ngram_join.common_tokens(counts)[1]) == {18, 34}
     monkeypatch.setattr(ngram_join, "COMMON", 5)
     assert len(ngram_join.common_tokens(counts)[0]) == 0
+
+
+def test_links_found_last_join_the_names_of_classes(spark, monkeypatch):
+    calls = []
+
+    def recorded(edges, components=ngram_join.connected_components):
+        found = components(edges)
+        calls.append(({x for r in edges.select("u", "v").collect() for x in r}, {r["node"]: r["component"] for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(ngram_join, "connected_components", recorded)
+    chain, rows, r = prose(9, 80, 5000).split(" "), [], random.Random(3)
+    for k in range(30):
+        chain[r.randrange(len(chain))] = f"c{k}"
+        rows += [(300 - k, " ".join(chain)), (600 + k, " ".join(chain))]
+    rows += family(1, 120, 30, lambda k: k % 6, 700)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(ngram_join.similar_classes(docs, size=4, percent=85)) == brute(rows, 4, 85)
+    (_, classes), (nodes, _) = calls
+    assert nodes and all(classes.get(x, x) == x for x in nodes)  # no member of a class but the one that names it
